@@ -85,15 +85,15 @@ def top_k(vectors, k=5, every=50, n_pivots=64, queries_per_group=1024, rows_per_
     h = F.abs(F.hash("vec_id", "v") % 2**30)
     # both routing tables hold at most n_pivots rows for each group of queries
     data = d.join(F.broadcast(needed), "cell").select("vec_id", "v", "grp", (h % F.col("salts")).cast("int").alias("salt"))
-    qs = d.where(is_q).join(F.broadcast(homes), "cell").select("vec_id", "v", (F.col("grp0") + h % F.col("blocks")).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    qs = d.where(is_q).join(F.broadcast(homes), "cell").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"), (F.col("grp0") + h % F.col("blocks")).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     bound = max((r["qn"] or 0) for r in s.values()) * max(r["r"] + np.linalg.norm(P[c]) for c, r in s.items())
 
     def solve(left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         kind = np.float64 if bound < 2**52 else object  # float64 products are exact below 2^53
-        a, b = np.array(left["v"].to_pylist(), kind), np.array(right["v"].to_pylist(), kind)
-        qi, vi, out = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), []
+        a, b = np.array(left["qv"].to_pylist(), kind), np.array(right["v"].to_pylist(), kind)
+        qi, vi, out = left["qid"].to_numpy(), right["vec_id"].to_numpy(), []
         order = np.argsort(vi, kind="stable")
         b, vi = b[order], vi[order]
         for i in range(0, len(a), 256):
