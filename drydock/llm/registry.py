@@ -2,7 +2,7 @@
 import corpus_pipeline
 import public_tokenizers as P
 
-from . import bpe, jaccard, knn, packing, pii, quality, sharding, suffix
+from . import bpe, jaccard, knn, licenses, packing, pii, quality, sharding, suffix
 from .common import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_byte_bpe": lambda s, d: bpe.encoded(documents(s, d), P.path("byte_bpe_multi_50k.tiktoken")),
     "op3_jaccard_join": lambda s, d: jaccard.joined(documents(s, d)),
     "op4_suffix_dedup": lambda s, d: suffix.digests(documents(s, d)),
+    "op5_license_scan": lambda s, d: licenses.scan(documents(s, d)),
     "op6_voronoi_topk": lambda s, d: knn.top_k(s.read.parquet(f"{d}/embeddings.parquet")),
     "op9_pii_surrogates": lambda s, d: pii.replaced(documents(s, d)),
     "op7_kd_sharding": lambda s, d: sharding.sharded(documents(s, d)),

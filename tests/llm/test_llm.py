@@ -1,0 +1,109 @@
+"""Each operator on small fixtures: libraries, brute force, nulls, repeats, empty tables."""
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from drydock.llm import bpe, jaccard, knn, licenses, packing, pii, quality, sharding, suffix
+
+RND = random.Random(7)
+WORDS = ["".join(RND.choices("abcdeé", k=RND.randint(1, 7))) for _ in range(60)]
+
+
+def text(n):
+    return " ".join(RND.choices(WORDS, k=n))
+
+
+SHARED = text(70)
+TEXTS = [None, "", "a", text(4), SHARED, SHARED, text(30) + " " + SHARED + " " + text(30), text(300)] + [text(80) for _ in range(20)]
+TEXTS += [" ".join(w if i != 40 else "zz" for i, w in enumerate(SHARED.split()))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 9 else None, t, "x", i) for i, t in enumerate(TEXTS)] + [(4, SHARED, "y", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, size string, node long").repartition(3)
+
+
+def rows_of(docs):
+    return docs.select("doc_id", "text").collect()
+
+
+def test_bpe_matches_libraries(docs):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = sorted((r["n_bytes"], r["n_tokens"]) for r in bpe.token_counts(docs, P.path("byte_bpe_50k.json")).collect())
+    assert got == sorted((len((r["text"] or "").encode()), len(tok.encode(r["text"] or "").ids)) for r in rows_of(docs))
+    ranks = bpe.Ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.token, special_tokens={})
+    for t in [*filter(None, TEXTS), "don't  \n\n x　y <|endoftext|> 漢字 12"]:
+        assert np.frombuffer(ranks.encode(t), "<u4").tolist() == own.encode_ordinary(t)
+        assert ranks.decode(ranks.encode(t)) == t.encode()
+    assert bpe.encoded(docs, P.path("byte_bpe_multi_50k.tiktoken")).count() == docs.count()
+
+
+def test_jaccard(docs):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(docs).collect()}
+    assert got[4][1] == got[5][1] == 4 and got[1] == (0, 1) and got[2] == (1, 2)
+    base, near = ({tuple(t.split()[i:i + 5]) for i in range(66)} for t in (SHARED, TEXTS[-1]))
+    assert got[len(TEXTS) - 1][1] == (4 if 4 * len(base & near) >= 3 * len(base | near) else len(TEXTS) - 1)
+
+
+def test_suffix(docs):
+    seen, want = {}, {}
+    for r in sorted(rows_of(docs), key=lambda r: (r["doc_id"] is None, r["doc_id"])):
+        b, k = (r["text"] or "").encode(), (2**63 - 1 if r["doc_id"] is None else r["doc_id"])
+        gone = {j for i in range(len(b) - 49) if seen.get(b[i:i + 50], k) < k for j in range(i, i + 50)}
+        for i in range(len(b) - 49):
+            seen.setdefault(b[i:i + 50], k)
+        want[r["doc_id"]] = len(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.digests(docs).collect()} == want
+
+
+def test_top_k(spark):
+    v = [(i, [RND.uniform(-1, 1) for _ in range(6)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 330)]
+    d = spark.createDataFrame(v + [(900, None), (950, [float("nan")] * 6)], "vec_id long, embedding array<float>")
+    q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in v}
+    want = {(a, k + 1, b) for a in q if a % 50 == 0 for k, (_, b) in enumerate(sorted((-int(q[a] @ q[b]), b) for b in q if a != b)[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in knn.top_k(d, queries_per_group=3, rows_per_task=50).collect()} == want
+
+
+def test_sharding(docs):
+    got = sharding.sharded(docs, 4).toPandas()
+    assert len(got) == docs.count() and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+
+
+def test_packing(docs):
+    tok, got = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.packed_documents(docs).toPandas()
+    want = sorted(zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for r in rows_of(docs))
+    assert sorted(got.ids_crc32) == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
+
+
+def test_quality(spark, docs):
+    t = "a b c d e f a b c d e x #\n x \n x "
+    r = quality.scored(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (15, 1, 1, 10)
+    assert quality.scored(docs).count() == docs.count()
+
+
+def test_pii(spark):
+    rows = [(1, "mail bob.x1@mail.example.com or 10.2.3.4"), (2, "bob.x1@mail.example.com"), (3, None), (4, "clean")]
+    got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "bob" not in got[1]["text"] and "10.2.3.4" not in got[1]["text"] and got[2]["text"] in got[1]["text"]
+    assert got[3]["text"] is None and got[4]["text"] == "clean" and got[1]["n_entities"] == 2
+
+
+def test_licenses(spark):
+    rows = [(1, "Hello. Released under the MIT License. Bye"), (2, None), (3, "released under a tree")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(1, "MIT")]
+
+
+@pytest.mark.parametrize("op", [lambda d: bpe.token_counts(d, P.path("byte_bpe_50k.json")), jaccard.joined, suffix.digests, sharding.sharded, quality.scored, pii.replaced, licenses.scan, packing.packed_documents])
+def test_empty(spark, op):
+    assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
