@@ -1,4 +1,5 @@
 """Shared helpers: shared-folder tables, safe column names, Arrow batches."""
+import gc
 import os
 import uuid
 
@@ -18,6 +19,8 @@ def written(df, name):
     path = os.path.join(shared_dir(df.sparkSession), f"drydock-{name}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of what is no longer referred to can go
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
