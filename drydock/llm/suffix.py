@@ -58,6 +58,11 @@ def blobs(key, cols, buckets):
     return [pa.array(ks, pa.int32()), *[pa.array(p, pa.binary()) for p in packs]]
 
 
+def short(h):
+    """32 of the bits; equal ones of unequal grams only add a context to compare."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _unpack(col, kind):
     return np.frombuffer(b"".join(col.to_pylist()), kind)
 
@@ -65,14 +70,13 @@ def _unpack(col, kind):
 def _anchor_rows(buckets):
     def run(batches):
         for b in batches:
-            h, key, pos = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, g = anchors(t.encode())
-                g, first = np.unique(g, return_index=True)
+            h, key = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for k, t in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())).items():  # equal texts of a batch once
+                g = np.unique(anchors(t.encode())[1])
                 h.append(g)
                 key.append(np.full(len(g), k, np.int64))
             h, key = np.concatenate(h), np.concatenate(key)
-            yield pa.RecordBatch.from_arrays(blobs(h, [h, key], buckets), names=["bucket", "h", "k"])
+            yield pa.RecordBatch.from_arrays(blobs(h, [short(h), key], buckets), names=["bucket", "h", "k"])
     return run
 
 
@@ -84,7 +88,11 @@ def _by_key(key, *cols):
 
 
 def _shared(t):
-    h, key = _unpack(t["h"], np.uint64), _unpack(t["k"], np.int64)
+    h, key = _unpack(t["h"], np.uint32), _unpack(t["k"], np.int64)
+    order = np.lexsort((key, h))
+    h, key = h[order], key[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])))[:len(h)]  # copies of a text count once
+    h, key = h[new], key[new]
     _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
     on = n[inv] > 1
     k, (hs,) = _by_key(key[on], h[on])
@@ -95,10 +103,10 @@ def _context_rows(buckets):
     def run(batches):
         for b in batches:
             H, K, D, P, C = [], [], [], [], []
-            for k, d, t, hs in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, (d, t, hs) in {r[0]: r[1:] for r in zip(*(b.column(i).to_pylist() for i in range(4)))}.items():  # repeated rows once
                 raw = t.encode()
                 at, g = anchors(raw)
-                on = np.isin(g, np.frombuffer(b"".join(hs), np.uint64))
+                on = np.isin(short(g), np.frombuffer(b"".join(hs), np.uint32))
                 at, g = at[on], g[on]
                 pad = np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(SPAN, np.uint8)])
                 c = pad[at[:, None] + np.arange(LEFT + SPAN)]
@@ -246,11 +254,12 @@ def removals(docs):
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.sha2("text", 256))
     heads = written(d.where(F.octet_length("text") >= SPAN).groupBy("x").agg(F.min("d").alias("head")).withColumn("k", F.xxhash64("x")), "heads")
     buckets = max(16, heads.count() // 1000)
-    # one row for each text; of rows that share it the one with the smallest doc_id
-    one = d.join(heads.withColumnRenamed("head", "d"), ["x", "d"]).select("k", "d", "text").dropDuplicates(["k"])
-    first = one.select("k", "text").mapInArrow(_anchor_rows(buckets), "bucket int, h binary, k binary")
+    long = d.where(F.octet_length("text") >= SPAN).withColumn("k", F.xxhash64("x"))
+    first = long.select("k", "text").mapInArrow(_anchor_rows(buckets), "bucket int, h binary, k binary")
     shared = written(first.groupBy("bucket").applyInArrow(_shared, "k long, h binary").groupBy("k").agg(F.collect_list("h").alias("hs")), "shared")
-    ctx = one.join(shared, "k").select("k", "d", "text", "hs").mapInArrow(_context_rows(buckets), "bucket int, h binary, k binary, d binary, p binary, c binary")
+    # of rows that share a text those with the smallest doc_id stand for it; texts move once
+    at = shared.join(heads.select("k", F.col("head").alias("d")), "k")
+    ctx = long.select("k", "d", "text").join(at, ["k", "d"]).select("k", "d", "text", "hs").mapInArrow(_context_rows(buckets), "bucket int, h binary, k binary, d binary, p binary, c binary")
     spans = written(ctx.groupBy("bucket").applyInArrow(_spans, "k long, s binary, e binary").groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "spans")
     marks = heads.join(spans, "k", "left").select("x", "head", "s", "e")
     return d.join(marks, "x", "left").select("doc_id", "text", F.coalesce(F.col("d") > F.col("head"), F.lit(False)).alias("whole"), "s", "e")
