@@ -122,27 +122,34 @@ def _context_rows(buckets):
     return run
 
 
-def suffix_order(text, start, seg):
-    """Order of the suffixes at `start` (SPAN bytes each) within equal, adjacent `seg`."""
+def prefix_hashes(text):
+    """Prefix polynomial hashes of a text and the inverse powers that align them."""
     n = len(text)
     pw, ipw = np.full(n + 1, B, np.uint64), np.full(n + 1, B_INV, np.uint64)
     pw[0] = ipw[0] = 1
     pw, ipw = np.cumprod(pw, dtype=np.uint64), np.cumprod(ipw, dtype=np.uint64)
-    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * pw[:n], dtype=np.uint64)])
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * pw[:n], dtype=np.uint64)]), ipw
 
+
+def suffix_order(text, pre, ipw, start, whole, seg):
+    """Order of the suffixes at `start` (SPAN bytes each, hashed in `whole`) within equal, adjacent `seg`."""
     def common(i, j):
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), SPAN, np.int64)
+        """Common extension of suffixes that differ, by binary search."""
+        lo, hi, a, b = np.zeros(len(i), np.int64), np.full(len(i), SPAN - 1, np.int64), ipw[i], ipw[j]
+        pa, pb = pre[i], pre[j]
         for _ in range(6):
             mid = (lo + hi + 1) // 2
-            same = (pre[i + mid] - pre[i]) * ipw[i] == (pre[j + mid] - pre[j]) * ipw[j]
+            same = (pre[i + mid] - pa) * a == (pre[j + mid] - pb) * b
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def compare(i, j):
+    def compare(x, y):
+        out = np.zeros(len(x), np.int64)
+        at = np.flatnonzero(whole[x] != whole[y])
+        i, j = start[x[at]], start[y[at]]
         k = common(i, j)
-        end = k == SPAN
-        k = np.where(end, 0, k)
-        return np.where(end, 0, np.sign(text[i + k].astype(np.int64) - text[j + k]))
+        out[at] = np.sign(text[i + k].astype(np.int64) - text[j + k])
+        return out
 
     first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     size = np.diff(np.append(first, len(seg)))
@@ -157,7 +164,7 @@ def suffix_order(text, start, seg):
         live = np.flatnonzero(lo < hi)
         while len(live):  # binary search of each suffix in the neighbouring run
             mid = (lo[live] + hi[live]) // 2
-            c = compare(start[order[mid]], start[order[slot[live]]])
+            c = compare(order[mid], order[slot[live]])
             less = np.where(run[live] % 2 == 0, c < 0, c <= 0)
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
@@ -166,7 +173,7 @@ def suffix_order(text, start, seg):
         moved = np.empty_like(order)
         moved[new] = order
         order, width = moved, width * 2
-    return order, common
+    return order
 
 
 def _spans(t):
@@ -198,13 +205,21 @@ def _spans(t):
             continue
         grp = np.cumsum(np.concatenate(([True], h[a + 1:b] != h[a:b - 1])))
         seg = grp[i] * (LEFT + 1) + o
-        by = np.argsort(seg, kind="stable")
-        i, o, seg = i[by], o[by], seg[by]
         text = c[a:b, :-2].ravel()
         start = i * (LEFT + SPAN) + o
-        order, common = suffix_order(text, start, seg)
-        i, o, start = i[order], o[order], start[order]
-        eq = (common(start[1:], start[:-1]) == SPAN) & (seg[1:] == seg[:-1])
+        pre, ipw = prefix_hashes(text)
+        whole = (pre[start + SPAN] - pre[start]) * ipw[start]
+        # a suffix whose hash stands alone in its group equals no other: it need not be sorted
+        by = np.lexsort((whole, seg))
+        same = (whole[by[1:]] == whole[by[:-1]]) & (seg[by[1:]] == seg[by[:-1]])
+        by = np.sort(by[np.append(same, False) | np.append(False, same)])
+        if not len(by):
+            continue
+        by = by[np.argsort(seg[by], kind="stable")]
+        i, o, seg, start, whole = i[by], o[by], seg[by], start[by], whole[by]
+        order = suffix_order(text, pre, ipw, start, whole, seg)
+        i, o, start, whole = i[order], o[order], start[order], whole[order]
+        eq = (whole[1:] == whole[:-1]) & (seg[1:] == seg[:-1])
         at = np.flatnonzero(eq)  # verification byte by byte of what the hashes call equal
         eq[at] = (text[start[at + 1][:, None] + np.arange(SPAN)] == text[start[at][:, None] + np.arange(SPAN)]).all(1)
         run = np.cumsum(np.concatenate(([True], ~eq))) - 1
