@@ -39,12 +39,12 @@ def anchors(raw):
         width *= 2
     n = len(h) - LEFT
     low = np.minimum(low[:n], low[LEFT + 1 - width:LEFT + 1 - width + n])
-    near = np.concatenate([low[:1].repeat(LEFT), low, low[-1:].repeat(LEFT)])
-    pick = np.zeros(len(h), bool)
-    for k in range(LEFT + 1):  # a place is taken if it is the least of some window that holds it
-        w = near[k:k + len(h)]
-        pick |= h == w
-    at = np.flatnonzero(pick)
+    near, width = np.concatenate([low[:1].repeat(LEFT), low, low[-1:].repeat(LEFT)]), 1
+    while width * 2 <= LEFT + 1:  # sliding maximum of the minima
+        near = np.maximum(near[:-width], near[width:])
+        width *= 2
+    # a place is taken if it is the least of some window that holds it
+    at = np.flatnonzero(h == np.maximum(near[:len(h)], near[LEFT + 1 - width:LEFT + 1 - width + len(h)]))
     return at, h[at]
 
 
