@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from .common import mapped, written
@@ -118,7 +119,9 @@ def _context_rows(buckets):
                 C.append(np.concatenate([c, edge], 1))
             if H:
                 h = np.concatenate(H)
-                yield pa.RecordBatch.from_arrays(blobs(h, [h, *map(np.concatenate, (K, D, P, C))], buckets), names=["bucket", "h", "k", "d", "p", "c"])
+                *cols, c = blobs(h, [h, *map(np.concatenate, (K, D, P, C))], buckets)
+                zip_ = zstandard.ZstdCompressor(level=1).compress
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(map(zip_, c.to_pylist()), pa.binary())], names=["bucket", "h", "k", "d", "p", "c"])
     return run
 
 
@@ -179,7 +182,8 @@ def suffix_order(text, pre, ipw, start, whole, seg):
 def _spans(t):
     """Removed stretches (key, begin, end) that the contexts of one bucket show."""
     h, key, d, p = (_unpack(t[c], k) for c, k in (("h", np.uint64), ("k", np.int64), ("d", np.int64), ("p", np.int32)))
-    c = _unpack(t["c"], np.uint8).reshape(-1, LEFT + SPAN + 2)
+    unzip = zstandard.ZstdDecompressor().decompress
+    c = np.frombuffer(b"".join(map(unzip, t["c"].to_pylist())), np.uint8).reshape(-1, LEFT + SPAN + 2)
     if not len(h):
         return _span_table(key, p, p)
     row = np.ascontiguousarray(c).view(f"V{c.shape[1]}").ravel()
@@ -268,9 +272,10 @@ def removals(docs):
     """docs(doc_id, text) -> doc_id, text, whole (an earlier equal text), s, e: packed stretches."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.sha2("text", 256))
     heads = written(d.where(F.octet_length("text") >= SPAN).groupBy("x").agg(F.min("d").alias("head")).withColumn("k", F.xxhash64("x")), "heads")
-    buckets = max(16, heads.count() // 1000)
+    texts = heads.count()
+    buckets = max(16, texts // 1000)
     long = d.where(F.octet_length("text") >= SPAN).withColumn("k", F.xxhash64("x"))
-    first = long.select("k", "text").mapInArrow(_anchor_rows(buckets), "bucket int, h binary, k binary")
+    first = long.select("k", "text").mapInArrow(_anchor_rows(max(16, texts // 8000)), "bucket int, h binary, k binary")
     shared = written(first.groupBy("bucket").applyInArrow(_shared, "k long, h binary").groupBy("k").agg(F.collect_list("h").alias("hs")), "shared")
     # of rows that share a text those with the smallest doc_id stand for it; texts move once
     at = shared.join(heads.select("k", F.col("head").alias("d")), "k")
