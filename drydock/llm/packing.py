@@ -11,10 +11,10 @@ import public_tokenizers as P
 import regex
 from pyspark.sql import functions as F
 
-from .bpe import loaded
+from .bpe import Splitter, loaded
 from .common import mapped, written
 
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PRETOKEN = Splitter("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 #: Texts of these characters alone are stable under NFC and lower-case one to one.
 SIMPLE = regex.compile(r"[\t-\r -~\xa1-\xa9\xab-\xb3\xb6-\xb9\xbb-įĲ-ňŊ-ž]*+")
 MEMO = 400_000
