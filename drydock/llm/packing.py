@@ -11,7 +11,7 @@ import public_tokenizers as P
 import regex
 from pyspark.sql import functions as F
 
-from .bpe import Splitter, loaded
+from .bpe import Splitter, byte_symbols, loaded
 from .common import mapped, written
 
 PRETOKEN = Splitter("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
@@ -26,6 +26,7 @@ class Words(dict):
     def __init__(self, path):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.model, self.symbols = self.tok.model, byte_symbols()
 
     def ids(self, text):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -33,7 +34,9 @@ class Words(dict):
     def __missing__(self, word):
         if len(self) >= MEMO:
             self.clear()
-        self[word] = got = self.ids(word)
+        # a pretoken of a simple text is normal and whole already: only the model remains
+        found = self.model.tokenize("".join([self.symbols[b] for b in word.encode()]))
+        self[word] = got = np.array([t.id for t in found], "<u4").tobytes()
         return got
 
     def encode(self, text):
