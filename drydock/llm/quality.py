@@ -6,7 +6,17 @@ from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Frequent function words of the four languages (fixed values).
-STOP = "the of and to in is that for with as was on by de la le et les des en que el y los un der die und das von mit ist zu den".split()
+STOP = sorted(set("""the of and to in is that for with as was on a an at it he she they we you i this these those be are were been have has had not no from or but by
+his her their its which who will would can all so if there what when one do than then them our your my me us into out up about also only
+de la le et les des en que du une un dans pour qui est pas plus par sur au aux ce cette ces il elle ils elles nous vous je se sa son ses ne ou mais avec sont être été leur leurs comme tout
+el y los del las una unos unas por con para no su sus al lo como más pero o es fue ha han este esta estos estas ser sobre entre también ya muy sin
+der die und das von mit ist zu den ein eine einer eines einem einen nicht auch sich auf für dem im am aus bei nach wie oder aber wird werden sind war hat haben er sie wir ihr ich so nur noch zum zur über um durch""".split()))
+#: Signs that may stand around a word.
+PUNCT = ".,;:!?\"'()[]{}<>/*_#|~`-–—…«»‹›„“”‚‘’¿¡"
+#: Codes of the languages that STOP holds; a text said to be in another one has no stop_ratio rule.
+LANGS = "en fr de es eng fra fre deu ger spa".split()
+#: A ratio says nothing about a text of fewer words or lines than these.
+MIN_STOP_WORDS, MIN_DUP_LINES = 50, 10
 #: name, lowest, highest; a document is kept when every ratio lies within its row.
 RULES = [("symbol_ratio", None, 0.1), ("dup_line_ratio", None, 0.3), ("pipe_line_ratio", None, 0.5), ("mean_word_length", 1.0, 20.0), ("stop_ratio", 0.005, None), ("bang_ratio", None, 0.5)]
 
@@ -18,7 +28,7 @@ def measures():
         {"text": F.coalesce("text", F.lit(""))},
         {"words": F.array_remove(F.split("text", SPACE + "+"), ""), "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))},
         {"n_words": F.size("words").cast("long"), "wh": F.transform("words", lambda w: F.xxhash64(w)), "word_chars": F.length("text").cast("long") - rc(SPACE),
-         "n_symbols": rc("[#*$%&|<>]"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")},
+         "n_symbols": rc("[#*$%&|<>]"), "n_foreign": rc(r"[\x{370}-\x{10FFFF}&&\p{L}&&\P{IsLatin}]"), "n_unspaced": rc(r"[\x{E00}-\x{FFFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")},
         {"grams": F.expr("CASE WHEN n_words < 6 THEN array() ELSE transform(sequence(0, int(n_words) - 5), i -> xxhash64(wh[i], wh[i+1], wh[i+2], wh[i+3], wh[i+4])) END")},
         {"runs": F.expr("CASE WHEN size(array_distinct(grams)) = size(grams) THEN array() ELSE sort_array(transform(grams, (h, i) -> named_struct('h', h, 'i', i))) END")},
         {"starts": F.expr("sort_array(transform(filter(transform(runs, (r, j) -> named_struct('i', r.i, 'dup', (j > 0 AND runs[greatest(j - 1, 0)].h = r.h) OR (j + 1 < size(runs) AND runs[least(j + 1, size(runs) - 1)].h = r.h))), x -> x.dup), x -> x.i))")},
@@ -30,16 +40,23 @@ def ratios():
     n = F.greatest("n_words", F.lit(1))
     return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("lines"), F.lit(1)),
             "pipe_line_ratio": F.size(F.filter("words", lambda w: w == "|")) / n, "mean_word_length": F.col("word_chars") / n,
-            "stop_ratio": F.size(F.filter("words", lambda w: F.lower(w).isin(STOP))) / n, "bang_ratio": F.size(F.filter("words", lambda w: w.endswith("!!"))) / n}
+            "stop_ratio": F.size(F.filter("words", lambda w: F.lower(F.btrim(w, F.lit(PUNCT))).isin(STOP))) / n, "bang_ratio": F.size(F.filter("words", lambda w: w.endswith("!!"))) / n}
+
+
+def meaningful():
+    """Where a rule may reject; rules that are not named hold for every text."""
+    ours = F.col("lang").isNull() | F.regexp_extract(F.lower("lang"), "^[a-z]*", 0).isin("", *LANGS)
+    return {"dup_line_ratio": F.size("lines") >= MIN_DUP_LINES, "mean_word_length": 2 * F.col("n_unspaced") < F.greatest("word_chars", F.lit(1)),
+            "stop_ratio": (F.col("n_words") >= MIN_STOP_WORDS) & ours & (2 * F.col("n_foreign") <= F.col("word_chars"))}
 
 
 def scored(docs):
-    """docs (any columns) -> doc_id, the counts, base_failed, kept; one projection, no shuffle."""
-    d = docs.select("doc_id", "text")
+    """docs (doc_id, text, lang if there is one) -> doc_id, the counts, base_failed, kept; one projection, no shuffle."""
+    d = docs.select("doc_id", "text", docs["lang"].cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
     for step in measures():
         d = d.withColumns(step)
-    r, ok = ratios(), F.lit(True)
+    r, where, ok = ratios(), meaningful(), F.lit(True)
     for name, low, high in RULES:
-        ok = ok & (F.lit(True) if low is None else r[name] >= low) & (F.lit(True) if high is None else r[name] <= high)
+        ok = ok & (~where.get(name, F.lit(True)) | (F.lit(True) if low is None else r[name] >= low) & (F.lit(True) if high is None else r[name] <= high))
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", bad.alias("base_failed"), (~bad & ok).alias("kept"))

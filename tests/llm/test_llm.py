@@ -91,6 +91,19 @@ def test_quality(spark, docs):
     assert quality.scored(docs).count() == docs.count()
 
 
+def test_quality_keeps_clean_texts(spark):
+    """Short texts, other languages and a repeated line of a few; stop-word-free Latin text still goes."""
+    plain = "At inou thhainghe annt re erre eringou ndti thener ened on."
+    russian = " ".join(f"слово{chr(0x430 + i % 32)}{i}" for i in range(80))
+    czech = " ".join(f"slovo{i}" for i in range(80))
+    lines = "\n".join(["Head line of the text"] + [" ".join(f"w{i}" for i in range(60)) + " the"] + ["Head line of the text"])
+    stops = " ".join(f"slovo{i}," + (" den," if i % 20 == 0 else "") for i in range(80))
+    junk = "\n".join(["x"] * 8 + [" ".join(f"the{i} of" for i in range(60)), "a", "b", "c"])
+    rows = [(1, plain, "en"), (2, russian, "ru"), (3, russian, None), (4, czech, "cs"), (5, lines, "en"), (6, stops, "de"), (7, czech, "en"), (8, junk, "en")]
+    got = {r["doc_id"]: r["kept"] for r in quality.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: False}
+
+
 def test_pii(spark):
     rows = [(1, "mail bob.x1@mail.example.com or 10.2.3.4"), (2, "bob.x1@mail.example.com"), (3, None), (4, "clean")]
     got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
