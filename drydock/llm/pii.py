@@ -1,7 +1,7 @@
 """PII surrogates with built-in expressions alone: no Python on the executors.
 
 Each entity found by PATTERNS gets a replacement from a keyed hash: digits for digits,
-letters of the same case and script for letters, names of the same gender for names. The
+letters of the same case and script for letters, names of the same gender and script for names. The
 same entity gets the same surrogate everywhere; entities whose surrogates collide, or equal
 an entity of the corpus, take the next attempt. Null text stays null with no entities.
 """
@@ -9,12 +9,34 @@ from pyspark.sql import functions as F, Window as W
 
 from .common import written
 
-MALE, FEMALE = "James John Robert Michael William David Thomas Peter Paul Hans".split(), "Mary Anna Linda Susan Karen Laura Sarah Emma Marie Julia".split()
-NAMES = r"(?:Mr|Mrs|Ms|Herr|Frau)\.? [A-Z]\p{Ll}+(?: [A-Z]\p{Ll}+)?"
+#: Given names by script, men's and women's (fixed values).
+GIVEN = {
+    "Latin": ("James John Robert Michael William David Thomas Peter Paul Hans".split(), "Mary Anna Linda Susan Karen Laura Sarah Emma Marie Julia".split()),
+    "Cyrillic": ("Иван Пётр Павел Сергей Андрей Алексей Дмитрий Михаил Николай Юрий".split(), "Анна Мария Ольга Елена Ирина Наталья Татьяна Светлана Вера Юлия".split()),
+    "Greek": ("Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παύλος Πέτρος Ανδρέας Σπύρος Μιχάλης".split(), "Μαρία Ελένη Άννα Σοφία Ειρήνη Κατερίνα Γεωργία Δέσποινα Ιωάννα Βασιλική".split()),
+}
+#: First letters and sixteen further ones of the family names.
+FAMILY = {"Latin": ("BCDFGHKLMNPRSTVW", "ghiklmnoprabcdef"), "Cyrillic": ("БВГДЖЗКЛМНПРСТФХ", "абвгдежзиклмнопр"), "Greek": ("ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧ", "αβγδεζηθικλμνοπρ")}
+#: Titles of the four languages, of Russian and of Greek; a name is found only after one.
+MEN = r"Mr|MR|Mister|Sir|Herrn?|HERR|M\.|Monsieur|monsieur|Sr|SR|Señor|señor|Don|don|Г-н|г-н|Господин|господин|Κύριος|κύριος|Κύριε|κύριε|Κος|κος|κ\."
+WOMEN = r"Mrs|MRS|Ms|MS|Miss|Frau|FRAU|Fräulein|Mme|MME|Mlle|Madame|madame|Mademoiselle|mademoiselle|Sra|SRA|Srta|Señora|señora|Señorita|señorita|Doña|doña|Г-жа|г-жа|Госпожа|госпожа|Κυρία|κυρία|Κα|κα"
+TITLE = rf"(?:{MEN}|{WOMEN})\.?[ \u00A0]"
+_WORD = r"\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{Lu}[\p{L}\p{M}]*)*"
+NAMES = rf"(?<![\p{{L}}\p{{N}}])(?=[MSHFDmsdГгΚκ]){TITLE}(?:\p{{Lu}}\.[ \u00A0]?)*{_WORD}(?: (?:(?:de|del|la|las|los|von|van|der|den|zu|du|di|da) )*{_WORD}){{0,2}}"
+#: Alphabets by the pattern of a letter; the first that fits is taken, so a surrogate keeps script and case.
+ALPHABETS = [
+    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("[\\\\p{IsCyrillic}&&\\\\p{Ll}]", "абвгдежзиклмнопрстуфхцчшщэюя"), ("[\\\\p{IsCyrillic}&&\\\\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
+    ("[\\\\p{IsGreek}&&\\\\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[\\\\p{IsGreek}&&\\\\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    ("\\\\p{Ll}", "àáâäèéêëìíîïòóôöùúûü"), ("\\\\p{Lu}", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ"),
+    ("\\\\p{IsHan}", "天地人山水火木金土日月星风云雨雪花草江河"), ("\\\\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"), ("\\\\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+    ("\\\\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보"), ("\\\\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغف"), ("\\\\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקר"), ("\\\\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+    ("\\\\p{N}", "0123456789"),
+]
 #: kind, pattern; the order decides where two could start at one place.
 PATTERNS = [
-    ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("secret", r"\b(?:token|password|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?"),
+    ("email", r"[\p{L}\p{M}\p{N}_.+-]++@[\p{L}\p{M}\p{N}_-]+(?:\.[\p{L}\p{M}\p{N}_-]+)+"), ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("secret", r"(?<![\p{L}\p{N}])(?=[tTpPsSaAcCmM])(?iu:token|password|passwort|passwd|pwd|secret|api[_-]?key|contraseña|mot de passe)[\"']?\s*[=:]\s*[\"']?[\p{L}\p{M}\p{N}_\-]{8,}[\"']?"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b"),
     ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("card", r"\b\d(?:[ -]?\d){12,18}\b"), ("name", NAMES),
@@ -30,21 +52,22 @@ def surrogate(e, kind, key, attempt):
     """A keyed, format-preserving replacement of the string column e."""
     salt = lambda n: F.sha2(F.concat(F.lit(f"{key}:{n}:"), attempt.cast("string"), F.lit(":"), kind, F.lit(":"), e), 256)
     pool = F.concat(*[salt(n) for n in range(4)])  # 256 hexadecimal digits
-    keep = F.when(kind == "secret", F.regexp_extract(e, r"^\w+\s*[=:]\s*\"?", 0)).when(kind == "aws_key", F.substring(e, 1, 4)).otherwise(F.lit(""))
+    keep = F.when(kind == "secret", F.regexp_extract(e, r"^[^=:]+[=:]\s*[\"']?", 0)).when(kind == "aws_key", F.substring(e, 1, 4)).otherwise(F.lit(""))
     body = F.expr("substring(e, length(keep) + 1)")
     num = "conv(substr(pool, 1 + (2 * i) % 254, 2), 16, 10)"
+    letters = " ".join(f"WHEN c RLIKE '{p}' THEN substr('{x}', 1 + int({num}) % {len(x)}, 1)" for p, x in ALPHABETS)
     swap = f"""array_join(transform(split(body, ''), (c, i) -> CASE
       WHEN kind = 'ip' AND c RLIKE '[0-9]' THEN CAST(1 + int({num}) % 9 AS STRING)
       WHEN c RLIKE '[0-9]' THEN CAST(int({num}) % 10 AS STRING)
       WHEN kind = 'secret' AND c RLIKE '[a-f]' THEN substr('abcdef', 1 + int({num}) % 6, 1)
-      WHEN c RLIKE '[a-z]' THEN substr('abcdefghijklmnopqrstuvwxyz', 1 + int({num}) % 26, 1)
-      WHEN c RLIKE '[A-Z]' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + int({num}) % 26, 1)
-      WHEN c RLIKE '\\\\p{{Ll}}' THEN substr('àáâäèéêëìíîïòóôöùúûü', 1 + int({num}) % 20, 1)
-      WHEN c RLIKE '\\\\p{{Lu}}' THEN substr('ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ', 1 + int({num}) % 20, 1) ELSE c END), '')"""
+      {letters} ELSE c END), '')"""
     octets = "concat_ws('.', transform(sequence(0, 3), i -> CAST(1 + int(conv(substr(pool, 1 + 4 * i, 4), 16, 10)) % 254 AS STRING)))"
     lists = lambda xs: "array(" + ",".join(f"'{x}'" for x in xs) + ")"
     pick = "1 + int(conv(substr(pool, 1, 4), 16, 10)) % 10"
-    name = f"concat(regexp_extract(e, '^[A-Za-z]+[.]? ', 0), element_at(CASE WHEN e RLIKE '^(Mr|Herr)\\\\b' THEN {lists(MALE)} ELSE {lists(FEMALE)} END, {pick}), ' ', substr('BCDFGHKLMNPRSTVW', 1 + int(conv(substr(pool, 5, 2), 16, 10)) % 16, 1), translate(substr(pool, 9, 6), '0123456789', 'ghiklmnopr'))"
+    given = lambda g: f"element_at(CASE WHEN e RLIKE '^(?:{MEN})[. \u00A0]'".replace("\\", "\\\\") + f" THEN {lists(g[0])} ELSE {lists(g[1])} END, {pick})"
+    full = lambda k: f"concat({given(GIVEN[k])}, ' ', substr('{FAMILY[k][0]}', 1 + int(conv(substr(pool, 5, 2), 16, 10)) % 16, 1), translate(substr(pool, 9, 6), '0123456789abcdef', '{FAMILY[k][1]}'))"
+    title, bare = f"regexp_extract(e, '^{TITLE}', 0)".replace("\\", "\\\\"), f"regexp_replace(e, '^{TITLE}', '')".replace("\\", "\\\\")
+    name = f"concat({title}, CASE WHEN {bare} RLIKE '\\\\p{{IsCyrillic}}' THEN {full('Cyrillic')} WHEN {bare} RLIKE '\\\\p{{IsGreek}}' THEN {full('Greek')} ELSE {full('Latin')} END)"
     return F.struct(e.alias("e"), kind.alias("kind"), pool.alias("pool"), keep.alias("keep")), body, f"CASE WHEN kind = 'ip' THEN {octets} WHEN kind = 'name' THEN {name} ELSE concat(keep, {swap}) END"
 
 

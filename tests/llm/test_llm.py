@@ -111,6 +111,22 @@ def test_pii(spark):
     assert got[3]["text"] is None and got[4]["text"] == "clean" and got[1]["n_entities"] == 2
 
 
+def test_pii_finds_cases_titles_and_scripts(spark):
+    hidden = ['TOKEN = "9233A8ECF7C5B09F"', "Password: hunter2hunter", "MY_API_KEY=abcd1234efgh", "Passwort: geheim1234", '"token": "abcd1234wxyz"', "M. Dupont", "Mme Élodie Besson", "Sra. Núñez", "Señor Muñoz",
+              "Herr Öztürk", "Frau Müller-Lüdenscheidt", "г-н Смирнов", "госпожа Кузнецова", "κύριος Παπαδόπουλος", "jürgen.größe@exämple.de", "иван@почта.рф"]
+    left = ["the secret of a good text", "M is a letter", "Sr is short"]
+    out = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(list(enumerate(f"see {t}, then." for t in hidden + left)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(hidden):
+        tail = t.split()[-1].strip('"')
+        assert out[i]["n_entities"] == 1 and tail not in out[i]["text"] and not set(t.split("@")) & set(out[i]["text"][4:-7].split("@")), (t, out[i]["text"])
+    assert all(out[i]["n_entities"] == 0 for i in range(len(hidden), len(hidden) + len(left)))
+    from re import search
+    assert search("г-н [А-Яа-яё]+ [А-Я][а-я]{6}, then", out[11]["text"]) and any(g in out[11]["text"] for g in pii.GIVEN["Cyrillic"][0])
+    assert any(g in out[12]["text"] for g in pii.GIVEN["Cyrillic"][1]) and any(g in out[13]["text"] for g in pii.GIVEN["Greek"][0])
+    assert any(g in out[6]["text"] for g in pii.GIVEN["Latin"][1]) and any(g in out[5]["text"] for g in pii.GIVEN["Latin"][0])
+    assert search("[Ѐ-ӿ]{4}@[Ѐ-ӿ]{5}[.][Ѐ-ӿ]{2},", out[15]["text"])
+
+
 def test_licenses(spark):
     rows = [(1, "Hello. Released under the MIT License. Bye"), (2, None), (3, "released under a tree")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
