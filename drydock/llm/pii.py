@@ -3,7 +3,7 @@
 Each entity found by PATTERNS gets a replacement from a keyed hash: digits for digits,
 letters of the same case and script for letters, names of the same gender and script for names. The
 same entity gets the same surrogate everywhere; entities whose surrogates collide, or equal
-an entity of the corpus, take the next attempt. Null text stays null with no entities.
+an entity of the corpus, take the next attempt, and after the last a longer, numbered one. Null text stays null with no entities.
 """
 from pyspark.sql import functions as F, Window as W
 
@@ -36,7 +36,7 @@ ALPHABETS = [
 #: kind, pattern; the order decides where two could start at one place.
 PATTERNS = [
     ("email", r"[\p{L}\p{M}\p{N}_.+-]++@[\p{L}\p{M}\p{N}_-]+(?:\.[\p{L}\p{M}\p{N}_-]+)+"), ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("secret", r"(?<![\p{L}\p{N}])(?=[tTpPsSaAcCmM])(?iu:token|password|passwort|passwd|pwd|secret|api[_-]?key|contraseña|mot de passe)[\"']?\s*[=:]\s*[\"']?[\p{L}\p{M}\p{N}_\-]{8,}[\"']?"),
+    ("secret", r"(?<![\p{L}\p{N}])(?=[tTpPsSaAcCmM])(?iu:token|password|passwort|passwd|pwd|secret|api[_-]?key|contraseña|mot de passe)[\"']?\s*[=:]\s*[\"']?(?=[_\-]*[\p{L}\p{N}])[\p{L}\p{M}\p{N}_\-]{8,}[\"']?"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b"),
     ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("card", r"\b\d(?:[ -]?\d){12,18}\b"), ("name", NAMES),
@@ -94,7 +94,18 @@ def surrogate_table(docs, key, attempts=8):
         todo = got.where("NOT ok").select("e", "n", "kind")
         if todo.isEmpty():
             return done
-    raise ValueError(f"surrogates of some entities still collide after {attempts} attempts; change the key")
+    # the rest get a number of fixed width, distinct within what would be equal; a width over every taken string ends it
+    width = 12
+    while True:
+        taken = all_e.unionByName(done.select("s")).distinct().withColumn("taken", F.lit(True))
+        number = F.row_number().over(W.partitionBy("s").orderBy("e"))
+        got = with_surrogates(todo, key, attempts - 1).withColumn("s", F.concat("s", F.lpad(number.cast("string"), width, "0")))
+        got = written(got.join(taken, "s", "left").withColumn("ok", F.col("taken").isNull()), "surrogates")
+        done = done.unionByName(got.where("ok").select("e", "kind", "s", "n"))
+        todo = got.where("NOT ok").select("e", "n", "kind")
+        if todo.isEmpty():
+            return done
+        width *= 2
 
 
 def replaced(docs, key="drydock", hot=1000, salts=16):

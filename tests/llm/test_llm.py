@@ -127,6 +127,17 @@ def test_pii_finds_cases_titles_and_scripts(spark):
     assert search("[Ѐ-ӿ]{4}@[Ѐ-ӿ]{5}[.][Ѐ-ӿ]{2},", out[15]["text"])
 
 
+def test_pii_never_gives_up(spark):
+    rows = [(1, "password: ________"), (2, "secret = --------"), (3, "mail --@-.- now"), (4, "ip 10.2.3.4")]
+    got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == "password: ________" and got[1]["n_entities"] == got[2]["n_entities"] == 0
+    assert got[3]["n_entities"] == 1 and got[3]["text"] != rows[2][1] and "10.2.3.4" not in got[4]["text"]
+    # every e-mail of one letter at each place is an entity, so no surrogate of that length is free
+    some = [f"{a}@b.{c}" for a in "abcdefgh" for c in "abcdefgh"] + ["--@-.-", "--@-.-000000000001"]
+    table = pii.surrogate_table(spark.createDataFrame([(t,) for t in some], "text string"), "k", attempts=1).collect()
+    assert len(table) == len({r["s"] for r in table}) == len(some) and not {r["s"] for r in table} & set(some)
+
+
 def test_licenses(spark):
     rows = [(1, "Hello. Released under the MIT License. Bye"), (2, None), (3, "released under a tree")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
