@@ -144,6 +144,17 @@ def test_licenses(spark):
     assert [(r["doc_id"], r["license"]) for r in got] == [(1, "MIT")]
 
 
+def test_licenses_common_notices(spark):
+    texts = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ([ts] if isinstance(ts, str) else ts)]
+    edited = licenses.TEMPLATES["MIT"][1].split()
+    edited = " ".join(edited[:40] + "one two three four five six seven eight nine ten".split() + edited[40:])
+    rows = list(enumerate([f"Some words before.\n/* {t} */\nand words after" for _, t in texts] + [edited, "all the rights of the software and of the public"]))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert got == {i: [n] for i, (n, _) in enumerate(texts)} | {len(texts): ["MIT"]}
+
+
 @pytest.mark.parametrize("op", [lambda d: bpe.token_counts(d, P.path("byte_bpe_50k.json")), jaccard.joined, suffix.digests, sharding.sharded, quality.scored, pii.replaced, licenses.scan, packing.packed_documents])
 def test_empty(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
