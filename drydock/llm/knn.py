@@ -1,7 +1,7 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Vectors that are null or hold null or non-finite components take no part; ties go to the
-smaller vec_id; repeated ids stay separate rows; an empty table gives no rows.
+smaller vec_id; rows of one query id are ranked together, as in the SQL; an empty table gives no rows.
 """
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,10 @@ def top_k(vectors, k=5, every=50, n_pivots=64, queries_per_group=1024, rows_per_
     P = np.array(pivots, np.float64)
     is_q = F.col("vec_id") % every == 0
     s = {r["cell"]: r for r in d.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.sum(is_q.cast("int")).alias("nq"), F.max(F.when(is_q, F.col("r"))).alias("qr"), F.max(F.when(is_q, F.col("norm"))).alias("qn")).collect()}
+    # copies of one query id, which are no neighbours of it: the most in a cell, and the most in all
+    copies = d.where(is_q).groupBy("vec_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    own = {r["cell"]: r["n"] for r in copies.groupBy("cell").agg(F.max("n").alias("n")).collect()}
+    most = copies.groupBy("vec_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
     groups, size = [], 0  # cells of queries side by side until a group is full; a hot cell is cut into salted groups
     for c in sorted((c for c in s if s[c]["nq"]), key=lambda c: tuple(P[c])):
         if not groups or size + s[c]["nq"] > queries_per_group:
@@ -70,10 +74,11 @@ def top_k(vectors, k=5, every=50, n_pivots=64, queries_per_group=1024, rows_per_
         use = set()
         for c in cells:  # bounds of q.x over queries of c and rows of e, from the summaries alone
             x = [(P[c] @ P[e] - s[c]["qr"] * np.linalg.norm(P[e]) - s[c]["qn"] * s[e]["r"], P[c] @ P[e] + s[c]["qr"] * np.linalg.norm(P[e]) + s[c]["qn"] * s[e]["r"], e) for e in s]
-            seen, floor = 0, -np.inf
+            seen, same, floor = 0, 0, -np.inf
             for low, _, e in sorted(x, reverse=True):
                 seen += s[e]["n"]
-                if seen > k:  # one more than k: the query itself may be among them
+                same += own.get(e, 0)
+                if seen - min(same, most) >= k:  # so many rows at least have another id than the query
                     floor = low
                     break
             use |= {e for _, high, e in x if high >= floor - 1e-6 * (1 + abs(floor))}

@@ -71,6 +71,18 @@ def test_top_k(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in knn.top_k(d, queries_per_group=3, rows_per_task=50).collect()} == want
 
 
+def test_top_k_of_a_hot_id(spark):
+    rnd = random.Random(3)
+    v = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(1, 300)] + [(50, [0.9] * 6)] * 40
+    d = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    q = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in v]
+    want = []
+    for a in {i for i, _ in q if i % 50 == 0}:  # as the SQL: the pairs of all rows of one query id together
+        best = sorted((-int(x @ y), b) for i, x in q if i == a for b, y in q if b != a)[:5]
+        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(d, n_pivots=400, queries_per_group=1).collect()) == sorted(want)
+
+
 def test_sharding(docs):
     got = sharding.sharded(docs, 4).toPandas()
     assert len(got) == docs.count() and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
