@@ -268,9 +268,9 @@ def _span_table(key, s, e):
     return pa.table([k, a, b], names=["k", "s", "e"])
 
 
-def removals(docs):
+def removals(docs, *more):
     """docs(doc_id, text) -> doc_id, text, whole (an earlier equal text), s, e: packed stretches."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.sha2("text", 256))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.sha2("text", 256))
     heads = written(d.where(F.octet_length("text") >= SPAN).groupBy("x").agg(F.min("d").alias("head")).withColumn("k", F.xxhash64("x")), "heads")
     texts = heads.count()
     buckets = max(16, texts // 1000)
@@ -282,7 +282,7 @@ def removals(docs):
     ctx = long.select("k", "d", "text").join(at, ["k", "d"]).select("k", "d", "text", "hs").mapInArrow(_context_rows(buckets), "bucket int, h binary, k binary, d binary, p binary, c binary")
     spans = written(ctx.groupBy("bucket").applyInArrow(_spans, "k long, s binary, e binary").groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "spans")
     marks = heads.join(spans, "k", "left").select("x", "head", "s", "e")
-    return d.join(marks, "x", "left").select("doc_id", "text", F.coalesce(F.col("d") > F.col("head"), F.lit(False)).alias("whole"), "s", "e")
+    return d.join(marks, "x", "left").select("doc_id", "text", F.coalesce(F.col("d") > F.col("head"), F.lit(False)).alias("whole"), "s", "e", *more)
 
 
 def stretches(raw, whole, s, e):
@@ -310,7 +310,10 @@ def digests(docs):
 
 
 def deduplicated(docs):
-    """docs(doc_id, text) with passages removed; characters cut in part go whole."""
-    def run(ids, texts, whole, s, e):
-        return {"doc_id": ids, "text": [kept_bytes(t.encode(), *stretches(t.encode(), w, x, y)).decode("utf-8", "ignore") for t, w, x, y in zip(texts, whole, s, e)]}
-    return mapped(removals(docs), run, "doc_id long, text string")
+    """docs with passages removed from text, each row with its other columns; characters cut in part go whole."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    docs, names = docs.select("doc_id", "text", rest.alias("rest")), docs.columns
+    def run(ids, texts, whole, s, e, rest):
+        return {"rest": rest, "text": [kept_bytes(t.encode(), *stretches(t.encode(), w, x, y)).decode("utf-8", "ignore") for t, w, x, y in zip(texts, whole, s, e)]}
+    kind = docs.select("rest", "text").schema
+    return mapped(removals(docs, "rest"), run, kind).select(*["text" if c == "text" else F.col("rest")[c].alias(c) for c in names])

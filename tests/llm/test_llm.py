@@ -116,6 +116,15 @@ def test_quality_keeps_clean_texts(spark):
     assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: False}
 
 
+def test_pipeline_keeps_rows_of_a_repeated_id(spark):
+    import corpus_pipeline
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in ("red", "blue"))
+    rows = [(1, one, "a", 0), (1, two, "b", 0), (2, one, "c", 0), (None, "left over here", "d", 0), (None, "right over there", "e", 0)]
+    near = corpus_pipeline._near(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long"), None)
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in near.collect()} == {r[:3] for r in rows if r[0] != 2}
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline._repeats(spark, near, None).collect()} == {r[:3] for r in rows if r[0] != 2}
+
+
 def test_pii(spark):
     rows = [(1, "mail bob.x1@mail.example.com or 10.2.3.4"), (2, "bob.x1@mail.example.com"), (3, None), (4, "clean")]
     got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
