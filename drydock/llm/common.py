@@ -10,8 +10,11 @@ WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 
 
 def shared_dir(spark):
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The cluster's checkpoint folder; a folder of our own only in local mode, where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or "file:///tmp/checkpoints").rstrip("/")
 
 
 def written(df, name):
@@ -24,6 +27,14 @@ def written(df, name):
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def free_name(name, df):
+    """name, lengthened until no column of df bears it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 

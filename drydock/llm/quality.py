@@ -1,6 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in expressions.
 
-Null text has no words and fails; the rows of null or repeated doc_ids are kept.
+Null and empty texts have no words and fail; the rows of null or repeated doc_ids are judged
+each by itself; texts of any length are read whole; no measure knows ties; an empty table
+gives no rows; further columns are not read (scored) or stay with their row (kept).
 """
 from pyspark.sql import functions as F
 
@@ -50,13 +52,34 @@ def meaningful():
             "stop_ratio": (F.col("n_words") >= MIN_STOP_WORDS) & ours & (2 * F.col("n_foreign") <= F.col("word_chars"))}
 
 
-def scored(docs):
-    """docs (doc_id, text, lang if there is one) -> doc_id, the counts, base_failed, kept; one projection, no shuffle."""
-    d = docs.select("doc_id", "text", docs["lang"].cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+def judged(docs):
+    """docs(doc_id, text, lang, ...) with the measures, base_failed and kept; lang must be there."""
+    d = docs
     for step in measures():
         d = d.withColumns(step)
     r, where, ok = ratios(), meaningful(), F.lit(True)
     for name, low, high in RULES:
         ok = ok & (~where.get(name, F.lit(True)) | (F.lit(True) if low is None else r[name] >= low) & (F.lit(True) if high is None else r[name] <= high))
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", bad.alias("base_failed"), (~bad & ok).alias("kept"))
+    return d.withColumns({"base_failed": bad, "kept": ~bad & ok})
+
+
+def _lang(docs):
+    return docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+def scored(docs):
+    """docs (doc_id, text, lang if there is one) -> doc_id, the counts, base_failed, kept; one projection, no shuffle."""
+    d = judged(docs.select("doc_id", "text", _lang(docs).alias("lang")))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept(docs):
+    """The rows of docs that the rules keep, with all their columns; no shuffle.
+
+    The row number makes the projection one that filters are not pushed through: else the
+    verdict would be worked out again for each measure below it.
+    """
+    d = judged(docs.select(F.struct("*").alias("whole_row"), "text", _lang(docs).alias("lang")))
+    d = d.select("whole_row", "kept", F.monotonically_increasing_id().alias("row_number"))
+    return d.where("kept AND row_number >= 0").select("whole_row.*")
