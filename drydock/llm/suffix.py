@@ -4,8 +4,13 @@ A byte goes when a 50-byte string that covers it also starts in a document of sm
 Every 50-byte string holds a 20-byte minimizer, equal wherever the string stands, so anchors
 shared by two documents mark the places to look at. The suffixes around equal anchors are
 sorted by a mergesort whose comparisons find the common extension by binary search over
-prefix polynomial hashes; equal strings are verified byte by byte. Null texts are empty, null
-doc_ids count as the largest, equal texts are worked on once, repeated rows stay.
+prefix polynomial hashes; neighbours in that order whose common extension reaches 50 bytes
+are the finding, verified byte by byte. Suffixes whose hash stands alone in their group have
+no such neighbour and are not sorted; equal contexts of the texts that one task reads go on
+once, for their smallest document. Null texts are empty, null doc_ids count as the largest,
+equal texts are worked on once, repeated rows stay; texts of any length are read whole; of
+equal doc_ids neither is earlier, so they keep what they share; an empty table gives no rows;
+further columns stay with their row (deduplicated) or are not read (digests).
 """
 import hashlib
 
@@ -21,6 +26,32 @@ LEFT = SPAN - GRAM  # bytes of context on either side of an anchor
 B = np.uint64(0x9E3779B97F4A7C15)
 B_INV = np.uint64(pow(int(B), -1, 2**64))
 LAST = 2**63 - 1
+#: Anchors or contexts that a task collects before it hands them on.
+FLUSH = 1_000_000
+
+
+def gram_hash(columns):
+    """Hash of the grams whose bytes are given place by place."""
+    h = np.uint64(0)
+    for x in columns:
+        h = h * B + (x + np.uint64(1))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def alike(rows):
+    """Numbers of the classes of equal rows of a byte matrix: by hash, verified."""
+    n, w = rows.shape
+    x, h = np.zeros((n, -(-w // 8) * 8), np.uint8), np.zeros(n, np.uint64)
+    x[:, :w] = rows
+    for col in x.view(np.uint64).T:
+        h = (h ^ col) * B
+        h ^= h >> np.uint64(29)
+    _, first, cls = np.unique(h, return_index=True, return_inverse=True)
+    if np.array_equal(rows, rows[first[cls]]):
+        return cls
+    return np.unique(np.ascontiguousarray(rows).view(f"V{w}").ravel(), return_inverse=True)[1]
 
 
 def anchors(raw):
@@ -28,12 +59,8 @@ def anchors(raw):
     x = np.frombuffer(raw, np.uint8).astype(np.uint64)
     if len(x) < SPAN:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(len(x) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = h * B + x[k:len(h) + k] + np.uint64(1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    n = len(x) - GRAM + 1
+    h = gram_hash(x[k:n + k] for k in range(GRAM))
     low, width = h, 1  # sliding minimum over LEFT + 1 places by doubling
     while width * 2 <= LEFT + 1:
         low = np.minimum(low[:-width], low[width:])
@@ -49,14 +76,17 @@ def anchors(raw):
     return at, h[at]
 
 
-def blobs(key, cols, buckets):
-    """Rows of columns as one packed row for each bucket of key."""
-    at = (key >> np.uint64(8)) % np.uint64(buckets)
+def bucket_order(key, buckets):
+    """Order of rows by the bucket of their key, the buckets and where each begins."""
+    at = ((key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    ends = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-    ks = np.flatnonzero(np.diff(ends))
-    packs = [[np.ascontiguousarray(c[order[ends[k]:ends[k + 1]]]).tobytes() for k in ks] for c in cols]
-    return [pa.array(ks, pa.int32()), *[pa.array(p, pa.binary()) for p in packs]]
+    at = at[order]
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+    return order, pa.array(at[cut[:-1]], pa.int32()), cut
+
+
+def packs(col, cut):
+    return pa.array([col[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
 
 
 def short(h):
@@ -69,59 +99,95 @@ def _unpack(col, kind):
 
 
 def _anchor_rows(buckets):
+    def packed(h, key):
+        h, key = np.concatenate(h), np.concatenate(key)
+        order, bucket, cut = bucket_order(h, buckets)
+        h, key = short(h[order]), key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1], [True]))  # a text of several anchors in a run stands once
+        new[cut] = True
+        run = np.flatnonzero(new)
+        at = np.searchsorted(run, cut)
+        return pa.RecordBatch.from_arrays([bucket, packs(h, cut), packs(key[run[:-1]], at), packs(np.diff(run).astype(np.uint32), at)], names=["bucket", "h", "k", "run"])
+
     def run(batches):
         for b in batches:
-            h, key = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for k, t in dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())).items():  # equal texts of a batch once
-                g = np.unique(anchors(t.encode())[1])
+            h, key, n, seen = [], [], 0, set()
+            for k, t in zip(b.column(0), b.column(1)):
+                k = k.as_py()
+                if k in seen:  # equal texts of a batch once
+                    continue
+                seen.add(k)
+                g = np.unique(anchors(t.as_py().encode())[1])
                 h.append(g)
                 key.append(np.full(len(g), k, np.int64))
-            h, key = np.concatenate(h), np.concatenate(key)
-            yield pa.RecordBatch.from_arrays(blobs(h, [short(h), key], buckets), names=["bucket", "h", "k"])
+                n += len(g)
+                if n > FLUSH:
+                    yield packed(h, key)
+                    h, key, n = [], [], 0
+            if n:
+                yield packed(h, key)
     return run
 
 
-def _by_key(key, *cols):
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
-    return pa.array(key[cut[:-1]], pa.int64()), [pa.array([np.ascontiguousarray(c[order[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for c in cols]
-
-
 def _shared(t):
-    h, key = _unpack(t["h"], np.uint32), _unpack(t["k"], np.int64)
+    h, key = _unpack(t["h"], np.uint32), np.repeat(_unpack(t["k"], np.int64), _unpack(t["run"], np.uint32))
     order = np.lexsort((key, h))
     h, key = h[order], key[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])))[:len(h)]  # copies of a text count once
     h, key = h[new], key[new]
     _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
     on = n[inv] > 1
-    k, (hs,) = _by_key(key[on], h[on])
-    return pa.table([k, hs], names=["k", "h"])
+    h, key = h[on], key[on]
+    order = np.argsort(key, kind="stable")
+    h, key = h[order], key[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+    return pa.table([pa.array(key[cut[:-1]], pa.int64()), packs(h, cut)], names=["k", "h"])
 
 
 def _context_rows(buckets):
+    names = ["bucket", "k", "d", "p", "c"]
+
+    def packed(*cols):
+        g, key, d, p, c = map(np.concatenate, cols)
+        cls = alike(c)
+        order = np.lexsort((d, cls))  # equal contexts of this batch: the smallest document stands for all
+        g, key, d, p, c, cls = g[order], key[order], d[order], p[order], c[order], cls[order]
+        new = np.concatenate(([True], cls[1:] != cls[:-1]))
+        gone = d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if gone.any():
+            k, dd, x, y = _spans_of(key[gone], d[gone], p[gone] - c[gone, -2], p[gone] + c[gone, -1])
+            at = np.argsort(k % buckets, kind="stable")
+            k, dd, x, y = k[at], dd[at], x[at], y[at]
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(k % buckets) != 0, [True])))
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - k[cut[:-1]] % buckets, pa.int32()), *(packs(v, cut) for v in (k, dd, x, y))], names=names)
+        g, key, d, p, c = (x[~gone] for x in (g, key, d, p, c))
+        order, bucket, cut = bucket_order(g, buckets)
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        yield pa.RecordBatch.from_arrays([bucket, *(packs(x[order], cut) for x in (key, d, p)), pa.array(map(zip_, packs(c[order], cut).to_pylist()), pa.binary())], names=names)
+
     def run(batches):
         for b in batches:
-            H, K, D, P, C = [], [], [], [], []
-            for k, (d, t, hs) in {r[0]: r[1:] for r in zip(*(b.column(i).to_pylist() for i in range(4)))}.items():  # repeated rows once
-                raw = t.encode()
+            cols, n, seen = [[] for _ in range(5)], 0, set()
+            for k, d, t, hs in zip(*(b.column(i) for i in range(4))):
+                k, d = k.as_py(), d.as_py()
+                if (k, d) in seen:  # repeated rows once
+                    continue
+                seen.add((k, d))
+                raw = t.as_py().encode()
                 at, g = anchors(raw)
-                on = np.isin(short(g), np.frombuffer(b"".join(hs), np.uint32))
+                on = np.isin(short(g), np.frombuffer(b"".join(hs.as_py()), np.uint32))
                 at, g = at[on], g[on]
                 pad = np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(SPAN, np.uint8)])
-                c = pad[at[:, None] + np.arange(LEFT + SPAN)]
                 edge = np.stack([np.minimum(at, LEFT), np.minimum(len(raw) - at, SPAN)], 1).astype(np.uint8)
-                H.append(g)
-                K.append(np.full(len(g), k, np.int64))
-                D.append(np.full(len(g), d, np.int64))
-                P.append(at.astype(np.int32))
-                C.append(np.concatenate([c, edge], 1))
-            if H:
-                h = np.concatenate(H)
-                *cols, c = blobs(h, [h, *map(np.concatenate, (K, D, P, C))], buckets)
-                zip_ = zstandard.ZstdCompressor(level=1).compress
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(map(zip_, c.to_pylist()), pa.binary())], names=["bucket", "h", "k", "d", "p", "c"])
+                c = np.concatenate([pad[at[:, None] + np.arange(LEFT + SPAN)], edge], 1)
+                for col, x in zip(cols, (g, np.full(len(g), k, np.int64), np.full(len(g), d, np.int64), at.astype(np.int32), c)):
+                    col.append(x)
+                n += len(g)
+                if n > FLUSH // 4:
+                    yield from packed(*cols)
+                    cols, n = [[] for _ in range(5)], 0
+            if n:
+                yield from packed(*cols)
     return run
 
 
@@ -135,23 +201,26 @@ def prefix_hashes(text):
 
 
 def suffix_order(text, pre, ipw, start, whole, seg):
-    """Order of the suffixes at `start` (SPAN bytes each, hashed in `whole`) within equal, adjacent `seg`."""
-    def common(i, j):
-        """Common extension of suffixes that differ, by binary search."""
-        lo, hi, a, b = np.zeros(len(i), np.int64), np.full(len(i), SPAN - 1, np.int64), ipw[i], ipw[j]
-        pa, pb = pre[i], pre[j]
+    """Order of the suffixes at `start` (SPAN bytes each, hashed in `whole`) within equal, adjacent
+    `seg`, and the common extension of each with the next."""
+    def common(x, y):
+        """Common extension, SPAN at most: the whole length is probed first, then binary search."""
+        out = np.full(len(x), SPAN)
+        at = np.flatnonzero(whole[x] != whole[y])
+        i, j = start[x[at]], start[y[at]]
+        lo, hi, a, b, pa_, pb = np.zeros(len(i), np.int64), np.full(len(i), SPAN - 1, np.int64), ipw[i], ipw[j], pre[i], pre[j]
         for _ in range(6):
             mid = (lo + hi + 1) // 2
-            same = (pre[i + mid] - pa) * a == (pre[j + mid] - pb) * b
+            same = (pre[i + mid] - pa_) * a == (pre[j + mid] - pb) * b
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        out[at] = lo
+        return out
 
     def compare(x, y):
+        k = common(x, y)
+        at = np.flatnonzero(k < SPAN)
         out = np.zeros(len(x), np.int64)
-        at = np.flatnonzero(whole[x] != whole[y])
-        i, j = start[x[at]], start[y[at]]
-        k = common(i, j)
-        out[at] = np.sign(text[i + k].astype(np.int64) - text[j + k])
+        out[at] = np.sign(text[start[x[at]] + k[at]].astype(np.int64) - text[start[y[at]] + k[at]])
         return out
 
     first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
@@ -176,26 +245,27 @@ def suffix_order(text, pre, ipw, start, whole, seg):
         moved = np.empty_like(order)
         moved[new] = order
         order, width = moved, width * 2
-    return order
+    return order, common(order[:-1], order[1:])
 
 
-def _spans(t):
-    """Removed stretches (key, begin, end) that the contexts of one bucket show."""
-    h, key, d, p = (_unpack(t[c], k) for c, k in (("h", np.uint64), ("k", np.int64), ("d", np.int64), ("p", np.int32)))
+def _spans(bucket, t):
+    """Removed stretches (key, d, begin, end) that the contexts of one bucket show; a bucket below
+    zero holds stretches that were found before the shuffle."""
+    key, d, p = (_unpack(t[c], k) for c, k in (("k", np.int64), ("d", np.int64), ("p", np.int32)))
+    if bucket[0].as_py() < 0:
+        return _span_table(key, d, p, _unpack(t["c"], np.int32))
     unzip = zstandard.ZstdDecompressor().decompress
     c = np.frombuffer(b"".join(map(unzip, t["c"].to_pylist())), np.uint8).reshape(-1, LEFT + SPAN + 2)
-    if not len(h):
-        return _span_table(key, p, p)
-    row = np.ascontiguousarray(c).view(f"V{c.shape[1]}").ravel()
-    _, cls = np.unique(row, return_inverse=True)
+    if not len(key):
+        return _span_table(key, d, p, p)
+    h, cls = gram_hash(c[:, LEFT + k].astype(np.uint64) for k in range(GRAM)), alike(c)
     order = np.lexsort((d, cls, h))  # equal contexts: the smallest document stands for all
     h, key, d, p, c, cls = h[order], key[order], d[order], p[order].astype(np.int64), c[order], cls[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     whole = d > d[head]
-    K, S, E = [key[whole]], [p[whole] - c[whole, -2]], [p[whole] + c[whole, -1]]
-    live = E[0] - S[0] >= SPAN
-    K, S, E = [K[0][live]], [S[0][live]], [E[0][live]]
+    whole &= c[:, -2].astype(np.int64) + c[:, -1] >= SPAN
+    K, D, S, E = [key[whole]], [d[whole]], [p[whole] - c[whole, -2]], [p[whole] + c[whole, -1]]
     same = d == d[head]  # all that stand for a class, repeated places of its document too
     h, key, d, p, c = h[same], key[same], d[same], p[same], c[same]
     cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
@@ -221,20 +291,25 @@ def _spans(t):
             continue
         by = by[np.argsort(seg[by], kind="stable")]
         i, o, seg, start, whole = i[by], o[by], seg[by], start[by], whole[by]
-        order = suffix_order(text, pre, ipw, start, whole, seg)
-        i, o, start, whole = i[order], o[order], start[order], whole[order]
-        eq = (whole[1:] == whole[:-1]) & (seg[1:] == seg[:-1])
+        order, extension = suffix_order(text, pre, ipw, start, whole, seg)
+        i, o, start = i[order], o[order], start[order]
+        eq = (extension >= SPAN) & (seg[1:] == seg[:-1])
         at = np.flatnonzero(eq)  # verification byte by byte of what the hashes call equal
-        eq[at] = (text[start[at + 1][:, None] + np.arange(SPAN)] == text[start[at][:, None] + np.arange(SPAN)]).all(1)
+        if not (text[start[at + 1][:, None] + np.arange(SPAN)] == text[start[at][:, None] + np.arange(SPAN)]).all():
+            exact = alike(text[start[:, None] + np.arange(SPAN)])  # a collision: order by the bytes themselves
+            order = np.lexsort((exact, seg))
+            i, o, start, exact = i[order], o[order], start[order], exact[order]
+            eq = (exact[1:] == exact[:-1]) & (seg[1:] == seg[:-1])
         run = np.cumsum(np.concatenate(([True], ~eq))) - 1
         least = np.full(run[-1] + 1, LAST, np.int64)
         np.minimum.at(least, run, d[a + i])
         gone = d[a + i] > least[run]
         at = p[a + i[gone]] - LEFT + o[gone]
         K.append(key[a + i[gone]])
+        D.append(d[a + i[gone]])
         S.append(at)
         E.append(at + SPAN)
-    return _span_table(*map(np.concatenate, (K, S, E)))
+    return _span_table(*map(np.concatenate, (K, D, S, E)))
 
 
 def _pieces(h, size):
@@ -255,33 +330,44 @@ def merged(s, e):
     return s[first], top[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)] if len(s) else top
 
 
-def _span_table(key, s, e):
-    base = np.argsort(key, kind="stable")
-    key, s, e = key[base], s[base].astype(np.int64), e[base].astype(np.int64)
-    if len(key):  # one line of numbers, each key in a range of its own
-        _, g = np.unique(key, return_inverse=True)
+def _spans_of(key, d, s, e):
+    """Merged stretches, in the order of their texts; those below SPAN bytes go."""
+    on = e - s >= SPAN
+    key, d, s, e = key[on], d[on], s[on].astype(np.int64), e[on].astype(np.int64)
+    order = np.lexsort((d, key))
+    key, d, s, e = key[order], d[order], s[order], e[order]
+    if len(key):  # one line of numbers, each text in a range of its own
+        g = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (d[1:] != d[:-1]))))
         w = int(e.max()) + 2
-        ms, me = merged(s + g * w, e + g * w)
-        gi = ms // w
-        key, s, e = np.unique(key)[gi], ms - gi * w, me - gi * w
-    k, (a, b) = _by_key(key, s.astype(np.int32), e.astype(np.int32))
-    return pa.table([k, a, b], names=["k", "s", "e"])
+        first = np.searchsorted(g, np.arange(g[-1] + 1))
+        s, e = merged(s + g * w, e + g * w)
+        g = s // w
+        key, d, s, e = key[first[g]], d[first[g]], s - g * w, e - g * w
+    return key, d, s.astype(np.int32), e.astype(np.int32)
+
+
+def _span_table(key, d, s, e):
+    key, d, s, e = _spans_of(key, d, s, e)
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (d[1:] != d[:-1]), [True]))) if len(key) else np.zeros(1, np.int64)
+    return pa.table([pa.array(key[cut[:-1]], pa.int64()), pa.array(d[cut[:-1]], pa.int64()), packs(s, cut), packs(e, cut)], names=["k", "d", "s", "e"])
 
 
 def removals(docs, *more):
     """docs(doc_id, text) -> doc_id, text, whole (an earlier equal text), s, e: packed stretches."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.sha2("text", 256))
-    heads = written(d.where(F.octet_length("text") >= SPAN).groupBy("x").agg(F.min("d").alias("head")).withColumn("k", F.xxhash64("x")), "heads")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("x", F.unhex(F.sha2("text", 256)))
+    long = d.where(F.octet_length("text") >= SPAN)
+    heads = written(long.groupBy("x").agg(F.min("d").alias("head")).withColumn("k", F.xxhash64("x")), "heads")
     texts = heads.count()
-    buckets = max(16, texts // 1000)
-    long = d.where(F.octet_length("text") >= SPAN).withColumn("k", F.xxhash64("x"))
-    first = long.select("k", "text").mapInArrow(_anchor_rows(max(16, texts // 8000)), "bucket int, h binary, k binary")
+    buckets = max(16, texts // 3000)
+    long = long.withColumn("k", F.xxhash64("x"))
+    first = long.select("k", "text").mapInArrow(_anchor_rows(max(16, texts // 8000)), "bucket int, h binary, k binary, run binary")
+    # k only steers: texts that share one by chance get the anchors of both, and (k, head) tells them apart
     shared = written(first.groupBy("bucket").applyInArrow(_shared, "k long, h binary").groupBy("k").agg(F.collect_list("h").alias("hs")), "shared")
-    # of rows that share a text those with the smallest doc_id stand for it; texts move once
+    # of rows that share a text those with the smallest doc_id stand for it
     at = shared.join(heads.select("k", F.col("head").alias("d")), "k")
-    ctx = long.select("k", "d", "text").join(at, ["k", "d"]).select("k", "d", "text", "hs").mapInArrow(_context_rows(buckets), "bucket int, h binary, k binary, d binary, p binary, c binary")
-    spans = written(ctx.groupBy("bucket").applyInArrow(_spans, "k long, s binary, e binary").groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "spans")
-    marks = heads.join(spans, "k", "left").select("x", "head", "s", "e")
+    ctx = long.select("k", "d", "text").join(at, ["k", "d"]).select("k", "d", "text", "hs").mapInArrow(_context_rows(buckets), "bucket int, k binary, d binary, p binary, c binary")
+    spans = written(ctx.groupBy("bucket").applyInArrow(_spans, "k long, d long, s binary, e binary").groupBy("k", F.col("d").alias("head")).agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "spans")
+    marks = heads.join(spans, ["k", "head"], "left").select("x", "head", "s", "e")
     return d.join(marks, "x", "left").select("doc_id", "text", F.coalesce(F.col("d") > F.col("head"), F.lit(False)).alias("whole"), "s", "e", *more)
 
 
