@@ -1,7 +1,9 @@
 """Best-fit packing: local best fit, nearly full bins leave, underfull bins merge up a tree.
 
-Null text is empty (one piece holding id 0). Every row is packed, repeated rows too; an
-empty table gives no rows. Only doc_id and text are read.
+Null and empty texts are one piece holding id 0. Every row is packed, whatever its doc_id,
+repeated rows too; texts of any length are cut into pieces, none is left out; of pieces or bins
+that tie any may come first, which changes no count; an empty table gives no rows. Only doc_id
+and text are read, so further columns cannot clash.
 """
 import zlib
 
@@ -61,65 +63,90 @@ def pieces(docs, path, limit=2048):
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-BIN = "seq long, total int, done boolean, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+def best_fit(totals, limit):
+    """Best-fit decreasing of an array of totals: the bin and the offset of each, and the bins' totals.
 
-
-def best_fit(bins, limit):
-    """Best-fit decreasing of (total, items): lists of bins; open ones are found by a bit mask of residuals."""
-    at, mask, out = [[] for _ in range(limit + 1)], 0, []
-    for total, items in sorted(bins, key=lambda b: -b[0]):
+    Open bins are found by a bit mask of residuals; a bin holds its number and its total only.
+    """
+    at, mask, sizes = [[] for _ in range(limit + 1)], 0, []
+    order = np.argsort(-totals, kind="stable")
+    bins, offsets = np.empty(len(totals), np.int64), np.empty(len(totals), np.int64)
+    for i, total in zip(order.tolist(), totals[order].tolist()):
         fit = mask >> total
         if fit:
             r = total + (fit & -fit).bit_length() - 1
             k = at[r].pop()
             if not at[r]:
                 mask &= ~(1 << r)
-            used = limit - r
-            out[k][1].extend({**x, "offset": x["offset"] + used} for x in items)
-            out[k][0] = used + total
         else:
-            k = len(out)
-            out.append([total, list(items)])
-        if r := limit - out[k][0]:
+            k, r = len(sizes), limit
+            sizes.append(0)
+        bins[i], offsets[i] = k, limit - r
+        sizes[k] += total
+        if r := r - total:
             at[r].append(k)
             mask |= 1 << r
-    return out
-
-
-def packed(piece_rows, limit=2048, slack=2, keep=1024, fan=8):
-    """Adds sequence_id and offset. A bin leaves once its residual is at most `slack`; of the
-    rest a task hands on its `keep` emptiest bins (a bound on what a merge holds, which costs
-    tightness only: the others leave as they are)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = _parse_datatype_string(BIN)
-    arrow = to_arrow_schema(kind)
-
-    def packer(level, last):
-        def run(batches):
-            from pyspark import TaskContext
-            part = TaskContext.get().partitionId()
-            bins = [(x["total"], x["items"]) for b in batches for x in b.to_pylist()]
-            got = best_fit(bins, limit)
-            openly = sorted((k for k, b in enumerate(got) if limit - b[0] > slack), key=lambda k: got[k][0])
-            on = set() if last else set(openly[:keep])
-            rows = [{"seq": level << 58 | part << 34 | k, "total": t, "done": k not in on, "items": items} for k, (t, items) in enumerate(got)]
-            for a in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_pylist(rows[a:a + 2000], schema=arrow)
-        return run
-
-    rows = piece_rows.select(F.col("length").cast("int").alias("total"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("items"))
-    parts, level, out = max(1, rows.rdd.getNumPartitions()), 0, None
-    while True:
-        got = written(rows.mapInArrow(packer(level, parts == 1), kind), "bins")
-        out = got.where("done") if out is None else out.unionByName(got.where("done"))
-        if parts == 1:
-            break
-        parts, level = max(1, parts // fan), level + 1
-        rows = got.where("NOT done").select("total", "items").repartition(parts)
-    x = out.select(F.col("seq").alias("sequence_id"), F.explode("items").alias("x"))
-    return x.select("x.doc_id", "x.piece", "x.start", "x.length", "x.ids_crc32", "sequence_id", "x.offset")
+    return bins, offsets, np.array(sizes, np.int64)
+
+
+def underfull(sizes, limit, slack, most):
+    """Which bins go on up the tree: those with a residual above `slack`, of equal totals `most`.
+
+    After best fit all bins of a task but one are more than half full, and two such never share a
+    bin. So a subtree of `most` tasks has at most `most` bins to place beside others, and of
+    equal ones no more than that can be used: the rest is final, without loss.
+    """
+    order = np.argsort(sizes, kind="stable")
+    s = sizes[order]
+    rank = np.arange(len(s)) - np.searchsorted(s, s)
+    on = np.zeros(len(s), bool)
+    on[order] = (limit - s > slack) & (rank < most)
+    return on
+
+
+def packed(piece_rows, limit=2048, slack=2, rows_per_task=200_000, fan=8):
+    """Adds sequence_id and offset, gapless from 0.
+
+    Pieces are dealt to tasks by a hash of their row, so that each task sees the mix of lengths
+    of the whole table, whatever its order. Each task packs its pieces best-fit decreasing;
+    bins within `slack` of the limit are final, underfull ones become items of the next level,
+    where `fan` tasks merge, until one is left. A task holds `rows_per_task` pieces, and at the
+    levels above at most fan times fan bins of each total.
+    """
+    n = piece_rows.count()
+    tasks = max(1, -(-n // rows_per_task))
+    dealt = piece_rows.withColumn("task", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)))
+
+    def leaf(key, t):
+        bins, offsets, sizes = best_fit(t["length"].to_numpy(), limit)
+        on = underfull(sizes, limit, slack, fan)
+        cols = {c: t[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        return pa.table({**cols, "seq": pa.array(bins + (key[0].as_py() << 24)), "offset": pa.array(offsets), "total": pa.array(sizes[bins]), "on": pa.array(on[bins])})
+
+    def merge(t):
+        seq, totals = t["seq"].to_numpy(), t["total"].to_numpy()
+        bins, offsets, sizes = best_fit(totals, limit)
+        on = underfull(sizes, limit, slack, fan)
+        head = np.full(len(sizes), 2**63 - 1, np.int64)
+        np.minimum.at(head, bins, seq)  # a merged bin takes the number of one of its parts
+        return pa.table({"seq": pa.array(seq), "into": pa.array(head[bins]), "shift": pa.array(offsets), "total": pa.array(sizes[bins]), "on": pa.array(on[bins])})
+
+    first = written(dealt.groupBy("task").applyInArrow(leaf, "doc_id long, piece int, start long, length long, ids_crc32 long, seq long, offset long, total long, on boolean"), "packed")
+    moves, level = None, 0
+    bins = first.where("on").select("seq", "total").distinct()
+    while tasks > 1:
+        level, tasks = level + 1, -(-tasks // fan)
+        width = fan ** level
+        step = written(bins.withColumn("grp", F.expr(f"shiftright(seq, 24) div {width}")).groupBy("grp").applyInArrow(merge, "seq long, into long, shift long, total long, on boolean"), "merges")
+        bins = step.where("on").select(F.col("into").alias("seq"), "total").distinct()
+        if moves is None:
+            moves = step.select("seq", "into", "shift")
+        else:  # bins that moved before move along with what they are in now
+            later = step.select(F.col("seq").alias("into"), F.col("into").alias("last"), F.col("shift").alias("more"))
+            moves = written(moves.join(later, "into", "left").select("seq", F.coalesce("last", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "moves")
+    if moves is not None:
+        first = first.join(moves, "seq", "left").withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).withColumn("seq", F.coalesce("into", "seq"))
+    return first.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
 
 
 def packed_documents(docs, path=None):

@@ -71,6 +71,30 @@ def test_top_k(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in knn.top_k(d, queries_per_group=3, rows_per_task=50).collect()} == want
 
 
+def test_top_k_odd_rows(spark):
+    """Null ids, unequal lengths, empty vectors, repeated rows, no rows at all."""
+    rows = [(0, [1.0, 0.5]), (None, [9.0, 9.0]), (1, [0.5]), (2, []), (3, [0.25, 0.25, 4.0]), (3, [0.25, 0.25, 4.0]), (50, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pad = [(i, np.floor(256 * np.array([*x, 0, 0, 0][:3])).astype(int)) for i, x in rows if i is not None]
+    want = [(a, k + 1, b, -s) for a, x in pad if a % 50 == 0 for k, (s, b) in enumerate(sorted((-int(x @ y), b) for b, y in pad if b != a)[:5])]
+    assert sorted(map(tuple, knn.top_k(d).collect())) == sorted(want)
+    assert knn.top_k(d.where("vec_id < 0")).count() == 0 and knn.top_k(d.where("vec_id = 2")).count() == 0
+
+
+def test_top_k_prunes_clustered_rows(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(10, 64))
+    x = centres[np.arange(4000) % 10] + 0.2 * rnd.normal(size=(4000, 64))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = knn.quantised(d)
+    pivots = [r["v"] for r in q.limit(64).collect()]
+    P, a = np.array(pivots, float), knn.assigned(q, pivots)
+    radius = {r["cell"]: r["r"] for r in a.where("vec_id % 50 = 0").groupBy("cell").agg({"r": "max"}).withColumnRenamed("max(r)", "r").collect()}
+    group = {c: c for c in radius}
+    sent = knn.routed(a, P, radius, knn.floors(a, P, radius, 5), group).selectExpr("sum(size(groups))").first()[0]
+    assert sent < 0.2 * 4000 * len(group)
+
+
 def test_top_k_of_a_hot_id(spark):
     rnd = random.Random(3)
     v = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(1, 300)] + [(50, [0.9] * 6)] * 40
@@ -96,6 +120,21 @@ def test_packing(docs):
         assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
 
 
+def test_packing_merges_partitions_of_unlike_lengths(spark):
+    """As many of 1,100 as of 900, sorted by length: within 2 % of what is possible; every piece once."""
+    rows = [(i, 0, 0, 1100 if i < 6000 else 900, i) for i in range(12_000)]
+    d = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartitionByRange(8, "length")
+    got = packing.packed(d, rows_per_task=1000, fan=4).toPandas()
+    assert sorted(got.doc_id) == list(range(12_000)) and got.sequence_id.nunique() <= 6120
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and got.groupby("sequence_id").length.sum().max() <= 2048
+    rnd = np.random.default_rng(1)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rnd.integers(1, 700, 9000))]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), rows_per_task=300, fan=3).toPandas().sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+    assert got.sequence_id.nunique() <= 1.005 * got.length.sum() / 2048  # thirty tiny tasks, each with a rest
+
+
 def test_quality(spark, docs):
     t = "a b c d e f a b c d e x #\n x \n x "
     r = quality.scored(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
