@@ -1,7 +1,9 @@
 """Token counts (heap and linked list) and byte-level BPE encoding (padded matrices).
 
 Null texts count as empty; null or repeated doc_ids keep their rows; empty tables give
-empty results; only doc_id and text are read, so further columns cannot clash.
+empty results; only doc_id and text are read, so further columns cannot clash. Of pairs that tie
+in rank the leftmost merges first. Texts of any length are read whole; a single pretoken of
+more than LONG bytes is merged by the heap, which takes n log n and gives the same ids.
 """
 import base64
 import hashlib
@@ -39,12 +41,15 @@ class Splitter:
 
 #: The library's \\s is White_Space of Unicode, unlike that of `re` and `regex`.
 PATTERN = Splitter(P.PATTERN.replace(r"\p{L}+|", "[{L}]+|").replace(r"\p{N}+|", "[{N}]+|").replace(r"[^\s\p{L}\p{N}]", "[^{S}{L}{N}]").replace(r"\s+(?!\S)", "[{S}]+(?![^{S}])").replace(r"\s+", "[{S}]+"))
+#: Pretokens of more bytes than this leave the matrices, where a row of n bytes takes n rounds.
+LONG = 4096
 #: A worker's memo of words is emptied at this many entries; results do not depend on it.
 MEMO = 400_000
 
 
-def heap_count(symbols, ranks):
-    """Symbols left after merging: pop the lowest-rank, then leftmost, live pair from the heap."""
+def heap_merged(symbols, ranks):
+    """Merges made and the symbols after them (None where merged away): pop the lowest-rank, then
+    leftmost, live pair from the heap."""
     n = len(symbols)
     sym, prev, nxt = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
@@ -62,7 +67,12 @@ def heap_count(symbols, ranks):
         for x, y in ((prev[i], i), (i, nxt[i])):
             if x >= 0 and y < n and (r := ranks.get((sym[x], sym[y]))) is not None:
                 heapq.heappush(heap, (r, x, sym[x], sym[y]))
-    return n - merges
+    return merges, sym
+
+
+def heap_count(symbols, ranks):
+    """Symbols left after merging: initial symbols minus merges."""
+    return len(symbols) - heap_merged(symbols, ranks)[0]
 
 
 def byte_symbols():
@@ -143,6 +153,10 @@ class Ranks:
             keys, vals, at = keys[~won], vals[~won], (at[~won] + 1) & self.mask
         self.memo = {}
 
+    def get(self, pair):
+        """Rank of a pair of byte strings."""
+        return self.token.get(pair[0] + pair[1])
+
     def slot(self, keys):
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
 
@@ -195,6 +209,11 @@ class Ranks:
         if len(self.memo) + len(words.difference(self.memo)) > MEMO:
             self.memo.clear()
         todo = list(words.difference(self.memo))
+        for w in todo:
+            if len(w) > LONG // 4 and len(raw := w.encode()) > LONG:
+                sym = heap_merged([raw[i:i + 1] for i in range(len(raw))], self)[1]
+                self.memo[w] = np.array([self.token[x] for x in sym if x is not None], "<u4").tobytes()
+        todo = [w for w in todo if w not in self.memo]
         raw = [w.encode() for w in todo]
         order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
         done = 0
