@@ -14,7 +14,7 @@ QUERIES = {
     "op5_license_scan": lambda s, d: licenses.scan(documents(s, d)),
     "op6_voronoi_topk": lambda s, d: knn.top_k(s.read.parquet(f"{d}/embeddings.parquet")),
     "op9_pii_surrogates": lambda s, d: pii.replaced(documents(s, d)),
-    "op7_kd_sharding": lambda s, d: sharding.sharded(documents(s, d)),
+    "op7_kd_sharding": lambda s, d: sharding.sharded(s.read.parquet(f"{d}/documents.parquet")),
     "op8_quality_rules": lambda s, d: quality.scored(s.read.parquet(f"{d}/documents.parquet")),
     "op10_best_fit_packing": lambda s, d: packing.packed_documents(documents(s, d)),
 }

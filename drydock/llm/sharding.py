@@ -1,15 +1,25 @@
 """K-d tree sharding: distributed weighted medians along the widest metadata dimension.
 
-Law `bytes`: sizes near equal. Rows of equal metadata are split by a hash of doc_id, so a hot
-group spreads. Null text has size 8 and crc 0; every row gets a place; empty tables give none.
+Law `bytes`: sizes near equal. The dimensions are size, n_chars, lang and source (texts by a
+hash); rows of equal metadata are split by a hash of doc_id and text, so a hot group spreads, and
+equal texts may stand in several shards: the law asks for equal sizes, and a group of copies may
+be larger than a shard. Null text has size 8 and crc 0; null metadata counts as empty or 0; null
+and repeated doc_ids get a place each, rows equal in all of this stay side by side; ties in
+slots may fall either way; texts of any length are measured whole; empty tables give no rows;
+columns of further names are not read.
 """
 from pyspark.sql import functions as F, Window as W
 
 from .common import written
 
 BINS = 1024
-#: Dimensions scaled to [0, 1) from metadata.
-DIMS = {"d_size": "least(log2(size) / 40, 0.999999)", "d_crc": "text_crc32 / 4294967296D", "d_id": "pmod(xxhash64(doc_id), 1073741824) / 1073741824D"}
+#: Dimensions scaled to [0, 1) from metadata; a column that docs lack leaves its dimension flat.
+DIMS = {
+    "d_size": "least(log2(size) / 40, 0.999)", "d_chars": "least(log2(greatest(cast(n_chars AS double), 0) + 2) / 40, 0.999)",
+    "d_lang": "pmod(xxhash64(lang), 1048576) / 1048576D", "d_source": "pmod(xxhash64(source), 1048576) / 1048576D",
+}
+#: Rows of equal metadata are parted by a hash of their doc_id and text within this share of a dimension.
+TIE = 1e-4
 
 
 def looked_up(d, rows, names):
@@ -49,9 +59,10 @@ def cuts(d, work, rounds=4):
 def sharded(docs, shards=24, rows_per_slot_group=50_000):
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    d = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    # equal sizes and texts tie: a hash of doc_id far below the dimension's own scale parts them
-    d = d.withColumns({k: F.expr(e) for k, e in DIMS.items()}).withColumns({k: F.col(k) + F.col("d_id") * 1e-7 for k in ("d_size", "d_crc")})
+    have = {c: docs[c] if c in docs.columns else F.lit(None) for c in ("lang", "source", "n_chars")}
+    d = docs.select("doc_id", F.coalesce(have["lang"].cast("string"), F.lit("")).alias("lang"), F.coalesce(have["source"].cast("string"), F.lit("")).alias("source"), F.coalesce(have["n_chars"].try_cast("double"), F.lit(0.0)).alias("n_chars"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32", "lang", "source"), F.lit(2**30)) / 2**30 * TIE
+    d = d.withColumns({k: F.expr(e) + tie for k, e in DIMS.items()}).drop("lang", "source", "n_chars")
     d = written(d, "narrow").withColumn("node", F.lit(0))
     todo = {0: shards}  # first shard of the node -> its number of leaves
     while todo:

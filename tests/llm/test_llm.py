@@ -45,6 +45,29 @@ def test_bpe_matches_libraries(docs):
     assert bpe.encoded(docs, P.path("byte_bpe_multi_50k.tiktoken")).count() == docs.count()
 
 
+def test_bpe_long_pretokens(spark):
+    """The heap of pretokens above LONG bytes gives the library's ids; digests and decoding too."""
+    import hashlib
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.Ranks(path).token, special_tokens={})
+    texts = ["".join(RND.choices("abcdefgh", k=20_000)), "é" * 9000, " " * 7000 + "x", "ab" * 5000 + " short 漢字" * 50, "", None]
+    got = {r["doc_id"]: r for r in bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(own.encode_ordinary(t or ""), "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_sharding_of_metadata(spark):
+    """Every row once, slots gapless, sizes near equal though a third of the rows are one text of one source."""
+    rows = [(i, "same text " * 5 if i % 3 == 0 else text(RND.randint(1, 40)), "hot" if i % 3 == 0 else f"s{i % 7}", "en" if i % 2 else None) for i in range(3000)]
+    rows += [(None, None, None, None), (7, "", "x", "de")] + [(9, "twice", "y", "fr")] * 2
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 8).toPandas()
+    assert sorted((-1 if i != i else i, s, c) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32)) == sorted((-1 if i is None else i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    by = got.groupby("shard")["size"].sum()
+    assert len(by) == 8 and by.max() - by.min() <= 0.05 * by.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+
+
 def test_jaccard(docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(docs).collect()}
     assert got[4][1] == got[5][1] == 4 and got[1] == (0, 1) and got[2] == (1, 2)
