@@ -6,13 +6,13 @@ import re
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _ITEM = "WITH item AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey), freq AS (SELECT b, count(*) AS f FROM item GROUP BY b), pair AS (SELECT x.b AS b1, y.b AS b2, count(*) AS n FROM item x JOIN item y ON x.o = y.o AND x.b < y.b GROUP BY x.b, y.b HAVING count(*) >= 2), sym AS (SELECT b1, b2, n FROM pair UNION ALL SELECT b2, b1, n FROM pair), dep AS (SELECT b1 AS pkg1, b2 AS pkg2, round(n / CAST(f AS DOUBLE), 6) AS score FROM sym JOIN freq ON b1 = b WHERE n / CAST(f AS DOUBLE) >= 0.15) "
-_V = "WITH v AS (SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, 'Region' AS label, r_name AS name FROM region UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), 'Nation', n_name FROM nation UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), 'Customer', c_name FROM customer), e AS (SELECT concat('n', CAST(n_nationkey AS STRING)) AS src, concat('r', CAST(n_regionkey AS STRING)) AS dst, 'PART_OF' AS type FROM nation UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 'LOCATED_IN' FROM customer) "
+_V = "WITH v AS (SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, 'Region' AS label, r_name AS name FROM region UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), 'Nation', n_name FROM nation UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), 'Customer', c_name FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'Supplier', s_name FROM supplier), e AS (SELECT concat('n', CAST(n_nationkey AS STRING)) AS src, concat('r', CAST(n_regionkey AS STRING)) AS dst, 'PART_OF' AS type FROM nation UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 'LOCATED_IN' FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)), 'LOCATED_IN' FROM supplier) "
 _RUNS = "WITH a AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a) "
 SQL = {
     "q_pkg_frequency": _ITEM + "SELECT b AS pkg, f AS freq FROM freq",
     "q_cooccurrence": _ITEM + "SELECT b1 AS pkg1, b2 AS pkg2, n FROM pair",
     "q_implicit_dependency": _ITEM + "SELECT * FROM dep",
-    "q_dependency_anti": _ITEM + ", known AS (SELECT 'Brand#11' AS pkg1, 'Brand#12' AS pkg2 UNION ALL SELECT 'Brand#13', 'Brand#14') SELECT d.pkg1, d.pkg2, d.score FROM dep d LEFT ANTI JOIN known k ON d.pkg1 = k.pkg1 AND d.pkg2 = k.pkg2 UNION ALL SELECT k.pkg1, k.pkg2, 1.0 FROM known k LEFT SEMI JOIN freq f ON k.pkg1 = f.b",
+    "q_dependency_anti": _ITEM + ", known AS (SELECT 'Brand#11' AS pkg1, 'Brand#12' AS pkg2 UNION ALL SELECT 'Brand#13', 'Brand#14') SELECT d.pkg1, d.pkg2, d.score FROM dep d LEFT ANTI JOIN known k ON d.pkg1 = k.pkg1 AND d.pkg2 = k.pkg2 UNION ALL SELECT k.pkg1, k.pkg2, 1.0 FROM known k LEFT SEMI JOIN freq f ON k.pkg1 = f.b LEFT SEMI JOIN freq g ON k.pkg2 = g.b",
     "q_used_minus_installed": "SELECT DISTINCT o_custkey AS cust, l_partkey AS part_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'",
     "q_kg_vertices": _V + "SELECT * FROM v", "q_kg_edges": _V + "SELECT * FROM e",
     "q_edge_endpoints": _V + "SELECT s.name AS src_name, e.type, d.name AS dst_name FROM e JOIN v s ON s.id = e.src JOIN v d ON d.id = e.dst",
@@ -24,7 +24,7 @@ SQL = {
     "q_merge_runs": _RUNS + "SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS event_type, count(*) AS n FROM g GROUP BY user_id, island",
     "q_asof_creator": "SELECT event_id, user_id, creator FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS creator FROM events) z WHERE event_type = 'purchase'",
     "q_ref_normalise": "SELECT p_partkey, CASE WHEN p_size = 1 THEN concat(p_brand, ':latest') WHEN p_size < 10 THEN concat(p_brand, ':', CAST(p_size AS STRING)) WHEN p_size < 30 THEN concat(p_type, '/', p_brand, ':latest') ELSE concat(p_type, '/', p_brand, ':', CAST(p_size AS STRING)) END AS ref FROM part",
-    "q_candidate_rank": "SELECT l_orderkey, CAST(count(*) - 2 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS score FROM lineitem GROUP BY l_orderkey ORDER BY score DESC, l_orderkey LIMIT 20",
+    "q_candidate_rank": "SELECT l_orderkey, score, count(*) OVER (PARTITION BY score) AS n_equal FROM (SELECT l_orderkey, CAST(count(*) - 2 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS score FROM lineitem GROUP BY l_orderkey) z ORDER BY score DESC, l_orderkey",
     "q_incremental_patterns": "SELECT event_type, CAST(sum(n) AS BIGINT) AS support FROM (SELECT event_type, event_id % 2 AS batch, count(*) AS n FROM events GROUP BY event_type, event_id % 2 HAVING count(*) >= 5) z GROUP BY event_type",
     "q_upsert_last_wins": "SELECT host, page_id FROM (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rn FROM (SELECT page_id, split_part(url, '/', 3) AS host FROM pages) y) z WHERE rn = 1",
     "q_contexts": "SELECT d.doc_id, k.kw FROM documents d JOIN (SELECT 'the' AS kw UNION ALL SELECT 'License' UNION ALL SELECT 'que') k ON contains(d.text, k.kw)",
@@ -35,9 +35,10 @@ ORACLE = {k: re.sub(r"LEFT (ANTI|SEMI) JOIN", r"\1 JOIN", re.sub(r"AS STRING\)",
 
 def _run(sql):
     def query(spark, sf_dir):
-        names = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-        return spark.sql(re.sub(r"(?<![\w.'])(" + "|".join(names) + r")\b(?=[\s)]|$)(?!\.)", lambda m: "{" + m[1] + "}", sql),
-                         **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+        for t in TABLES:
+            if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(sql)
     return query
 
 
