@@ -1,6 +1,8 @@
 """Token corpora: counts, chunks, masks, splits, vocabularies and word vectors."""
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import cut
+
 
 def tokens(text):
     """The blank-separated tokens of a text; null and empty texts have none."""
@@ -103,7 +105,7 @@ def merges(words, n):
         a, b = top[0]["p"]["a"], top[0]["p"]["b"]
         out.append((rank, a, b, top[0]["n"]))
         joined = F.aggregate("s", F.array().cast("array<string>"), lambda acc, x: F.when((F.element_at(F.concat(F.array(F.lit("")), acc), -1) == a) & (x == b), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x))))
-        w = w.select(joined.alias("s"), "n").checkpoint(eager=True) if rank % 50 == 49 else w.select(joined.alias("s"), "n")
+        w = cut(w.select(joined.alias("s"), "n")) if rank % 50 == 49 else w.select(joined.alias("s"), "n")
     return words.sparkSession.createDataFrame(out, "rank int, a string, b string, n long")
 
 

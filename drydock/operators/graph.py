@@ -3,6 +3,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from drydock.functions.storage import cut
+
 
 def vertices(*parts):
     """MERGE of nodes: parts are (DataFrame, label, id column, name column); one row for each id."""
@@ -45,6 +47,10 @@ def k_hop(e, roots, depth=2):
     seen = roots.select("id", F.lit(0).alias("depth")).distinct()
     front = seen
     for k in range(1, depth + 1):
+        if k > 2:  # a short way is one plan; a longer one starts anew at each step
+            front, seen = cut(front), cut(seen)
+            if front.isEmpty():
+                break
         front = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(k).alias("depth")).distinct().join(seen.select("id"), "id", "left_anti")
         seen = seen.unionByName(front)
     return seen
@@ -63,7 +69,7 @@ def levels(e, most=100):
     done = nodes.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(0))
     for _ in range(most):
         known = e.join(done.withColumnRenamed("id", "dst"), "dst", "left").groupBy("src").agg(F.max("level").alias("top"), F.bool_and(F.col("level").isNotNull()).alias("all"))
-        new = known.where("all").select(F.col("src").alias("id"), (F.col("top") + 1).alias("level")).join(done.select("id"), "id", "left_anti")
+        new = cut(known.where("all").select(F.col("src").alias("id"), (F.col("top") + 1).alias("level")).join(done.select("id"), "id", "left_anti"))
         if new.isEmpty():
             break
         done = done.unionByName(new)

@@ -1,5 +1,7 @@
 """Pattern mining: itemsets, association rules, sequences, and their additive upkeep."""
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
+
+from drydock.functions.storage import cut
 
 
 def item_counts(tx, least=0.0):
@@ -28,7 +30,7 @@ def rules(itemsets, confidence=0.5, lift=1.0):
     """
     n = itemsets.count()
     wide = itemsets.where(F.size("itemset") >= 2)
-    masks = F.explode(F.sequence(F.lit(1).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size("itemset")) - 2))
+    masks = F.explode(F.expr("sequence(1L, shiftleft(1L, size(itemset)) - 2)"))
     side = lambda bit: F.expr(f"filter(transform(itemset, (x, i) -> CASE WHEN (shiftright(mask, i) & 1) = {bit} THEN x END), x -> x IS NOT NULL)")
     cand = wide.select("itemset", masks.alias("mask")).select(side(1).alias("antecedent"), side(0).alias("consequent"))
     asked = cand.select(F.explode(F.array("antecedent", "consequent", F.array_sort(F.array_union("antecedent", "consequent")))).alias("part")).distinct()
@@ -69,7 +71,7 @@ def sequences(db, least, longest=10):
     out = None
     for _ in range(longest):
         grown = here.join(each, "seq_id").where("pos > at").groupBy("seq_id", "pattern", "item").agg(F.min("pos").alias("at"))
-        grown = grown.select("seq_id", F.concat("pattern", F.array("item")).alias("pattern"), "at")
+        grown = cut(grown.select("seq_id", F.concat("pattern", F.array("item")).alias("pattern"), "at"))
         often = grown.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
         if often.isEmpty():
             break

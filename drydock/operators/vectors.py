@@ -2,6 +2,8 @@
 import numpy as np
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import cut
+
 
 def _d(c):
     return F.transform(c, lambda x: x.cast("double"))
@@ -129,15 +131,16 @@ def core_points(vec, eps, least):
 def dbscan(vec, eps, least):
     """vec_id, cluster: the smallest core id of the cluster, -1 for noise; a border row takes the
     least cluster of the cores near it. Labels spread by joins with path halving."""
-    near = pairs(vec, eps).select("a", "b").persist()
-    core = core_points(vec, eps, least).where("core").select("vec_id")
-    link = near.join(core.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(core.withColumnRenamed("vec_id", "b"), "b", "left_semi").persist()
+    near = cut(pairs(vec, eps).select("a", "b"))
+    n = near.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    core = cut(vec.select("vec_id").join(n, "vec_id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("vec_id"))
+    link = near.join(core.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(core.withColumnRenamed("vec_id", "b"), "b", "left_semi")
     lab = core.withColumn("c", F.col("vec_id"))
     while True:
         low = link.join(lab.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("c").alias("m"))
         step = lab.join(low, "vec_id", "left").select("vec_id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
         up = lab.select(F.col("vec_id").alias("c"), F.col("c").alias("top"))
-        step = step.join(up, "c").select("vec_id", "old", F.col("top").alias("c")).checkpoint()
+        step = cut(step.join(up, "c").select("vec_id", "old", F.col("top").alias("c")))
         if step.where("old <> c").isEmpty():
             break
         lab = step.select("vec_id", "c")

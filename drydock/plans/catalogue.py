@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from drydock.functions.storage import shared_dir
 from drydock.operators import corpus, graph, mining, refactor, relations, shell, tree, vectors
 from drydock.streaming import incremental
 
@@ -342,7 +343,7 @@ def whiten(t, spark):
 def stream_counts(t, spark):
     path = t("events").inputFiles()[0]
     schema = t("events").schema
-    base = os.path.join((spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/"), f"drydock-stream-{uuid.uuid4().hex}")
+    base = os.path.join(shared_dir(spark), f"drydock-stream-{uuid.uuid4().hex}")
     s = spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return incremental.stream_patterns(s, "event_type", f"{base}/patterns", f"{base}/checkpoint")
 
