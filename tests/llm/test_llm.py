@@ -187,6 +187,49 @@ def test_pipeline_keeps_rows_of_a_repeated_id(spark):
     assert {(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline._repeats(spark, near, None).collect()} == {r[:3] for r in rows if r[0] != 2}
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and repeated ids, empty texts and columns of clashing names: each stage keeps its rows' own columns."""
+    import corpus_pipeline
+    words = lambda w, n=40: " ".join(f"{w}{i} of" for i in range(n))
+    rows = [(1, words("red"), "en", "s", 1, "k1", "n1"), (1, words("blue"), "en", "s", 1, "k2", "n2"), (None, words("green"), "en", "s", 1, "k3", "n3"), (None, words("grey"), None, None, None, None, None),
+            (2, words("red"), "en", "s", 1, "k5", "n5"), (3, None, "en", "s", 1, "k6", "n6"), (4, "", "en", "s", 1, "k7", "n7"), (5, words("red", 30) + " mail a@b.cc", "en", "s", 1, "k8", "n8")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k string, n_entities string")
+    quality_ = corpus_pipeline._quality(spark, d, None)
+    assert quality_.columns == d.columns and {r["k"] for r in quality_.collect()} == {"k1", "k2", "k3", None, "k5", "k8"}
+    near = corpus_pipeline._near(spark, quality_, None)
+    assert {r["k"] for r in near.collect()} == {"k1", "k2", "k3", None, "k8"} and near.columns == d.columns
+    rest = corpus_pipeline._repeats(spark, near, None)
+    assert rest.columns == d.columns and {(r["k"], r["n_entities"], r["source"]) for r in rest.collect()} == {(r["k"], r["n_entities"], r["source"]) for r in near.collect()}
+    out = corpus_pipeline._private(spark, rest, None)
+    got = {r["k"]: r for r in out.collect()}
+    assert out.columns == d.columns and "a@b.cc" not in got["k8"]["text"] and got["k8"]["n_entities"] == "n8" and got["k1"]["text"] == rows[0][1]
+    assert corpus_pipeline._pack(spark, out, None).count() == 5
+    empty = d.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, None)
+        assert empty.columns == d.columns and empty.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_suffix_dedup", "op6_voronoi_topk", "op8_quality_rules"])
+def test_matches_oracle(spark, name):
+    import duckdb
+    from drydock.llm import registry
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want, got = con.execute(registry.ORACLE[name]).df(), registry.QUERIES[name](spark, folder).toPandas()
+    key = sorted(want.columns)
+    assert sorted(got.columns) == key
+    assert sorted(map(str, got[key].itertuples(index=False, name=None))) == sorted(map(str, want[key].itertuples(index=False, name=None)))
+
+
+def test_a_passage_of_every_document(spark):
+    shared = "This passage of more than fifty bytes stands in every document of all. "
+    d = spark.createDataFrame([(i, f"{i} begins here. " + shared + f"And it ends {i}.") for i in range(300)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in suffix.digests(d).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] >= len(shared) and got[i]["n_spans"] == 1 for i in range(1, 300))
+
+
 def test_pii(spark):
     rows = [(1, "mail bob.x1@mail.example.com or 10.2.3.4"), (2, "bob.x1@mail.example.com"), (3, None), (4, "clean")]
     got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
