@@ -75,6 +75,35 @@ def test_jaccard(docs):
     assert got[len(TEXTS) - 1][1] == (4 if 4 * len(base & near) >= 3 * len(base | near) else len(TEXTS) - 1)
 
 
+def test_jaccard_parts_of_overlapping_tiles():
+    """Overlapping tiles leave a task with each member once, and the links span what brute force links."""
+    import pyarrow as pa
+    rnd, n = np.random.default_rng(3), 150
+    new = lambda k: rnd.integers(0, 2**63, k).astype(np.uint64)
+    base = [new(rnd.integers(5, 60)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rnd.integers(0, len(b) // 5 + 1):], new(rnd.integers(0, 3))])) for b in (base[rnd.integers(12)] for _ in range(n))]
+
+    def linked(a, b):
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    def least(pairs):
+        c, old = list(range(n)), None
+        while c != old:
+            old = list(c)
+            for a, b in pairs:
+                c[a] = c[b] = min(c[a], c[b])
+        return c
+
+    rows = [(25 * a + b, r) for a in range(6) for b in range(a) for r in [*range(25 * a, 25 * a + 25), *range(25 * b, 25 * b + 25)]]
+    tiles = pa.table({"tile": [t for t, _ in rows], "rep": [r for _, r in rows], "c": [r for _, r in rows]})
+    part = jaccard._active(tiles, pa.table({"rep": range(n), "n": [len(x) for x in sets], "sk": [jaccard.sketch(x).tobytes() for x in sets]}))
+    assert part.num_rows == len(set(part["rep"].to_pylist()))
+    got = jaccard._solve(part, pa.table({"rep": range(n), "s": [x.tobytes() for x in sets]})).to_pydict()
+    pairs = list(zip(got["a"], got["b"]))
+    assert all(linked(a, b) for a, b in pairs) and least(pairs) == least([(a, b) for a in range(n) for b in range(a) if linked(a, b)])
+
+
 def test_suffix(docs):
     seen, want = {}, {}
     for r in sorted(rows_of(docs), key=lambda r: (r["doc_id"] is None, r["doc_id"])):
