@@ -46,3 +46,30 @@ u AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM u JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(words) < 100)::INTEGER + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INTEGER + 4 * (100 * {_count('[^A-Z]')} > 10 * length(t))::INTEGER
+  + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * coalesce(w.doc_id > first, false)::INTEGER AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM k a JOIN k b ON b.x <> a.x JOIN k c ON c.x NOT IN (a.x, b.x) JOIN k d ON d.x NOT IN (a.x, b.x, c.x) JOIN k e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT o, step, substr(o, step, 1) AS letter, (1 << (strpos('ABCDE', substr(o, step, 1)) - 1))::INTEGER AS bit, coalesce(list_sum(list_transform(string_split(substr(o, 1, step - 1), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (strpos('ABCDE', x) - 1) END)), 0)::INTEGER AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM o) z),
+r AS (SELECT part, o AS filter_order, step::INTEGER AS step, letter, sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS removed, sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0) AS redundant,
+  sum(n) FILTER (WHERE mask = bit) AS unique_fails, sum(good) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS toxic_lost FROM c, s GROUP BY part, o, step, letter)
+SELECT part, filter_order, step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM r"""
+
+#: A row of the CRC-32 table from its index: eight shifts (the polynomial is a fixed value).
+_CRC_ROW = "list_reduce(range(1, 9), lambda c, s: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i)"
+
+RANKING = f"""
+WITH z AS (SELECT list({_CRC_ROW} ORDER BY i) AS crc FROM (SELECT unnest(range(0, 256))::BIGINT AS i) y),
+x AS (SELECT sale_lines.*, coalesce(xor(list_reduce(list_transform(string_split(sale_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 5 = 0, false) AS one FROM sale_lines, z),
+g AS (SELECT CASE WHEN one THEN -1 ELSE vendor_id END::BIGINT AS vendor_id, CASE WHEN one THEN -1 ELSE coalesce(item_id % 5, -1) END::BIGINT AS part, CASE WHEN one THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END::BIGINT AS month,
+  floor(quantity / 10.0)::BIGINT AS tens, floor(100 * discount + 0.5)::BIGINT AS percent, sale_id::BIGINT AS sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, floor(100 * amount + 0.5)::BIGINT AS amount_cents FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS FIRST, percent NULLS FIRST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST)::BIGINT AS pos,
+  count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent)::BIGINT AS tied FROM g)
+SELECT vendor_id, part, month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE pos <= 2"""
