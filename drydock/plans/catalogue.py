@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drydock.functions.storage import shared_dir
 from drydock.operators import corpus, graph, mining, refactor, relations, shell, tree, vectors
+from drydock.plans.registered import query
 from drydock.streaming import incremental
 
 _TEXTS = "d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS t FROM documents)"
@@ -17,16 +18,6 @@ _PAIR = _VEC + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.la
 EPS, LEAST = 1.2, 4
 TYPES = "ECONOMY STANDARD LARGE".split()
 BRANDS = "Brand#13 Brand#5 Brand#22".split()
-QUERIES, ORACLE = {}, {}
-
-
-def query(oracle=None):
-    def add(f):
-        QUERIES["q_" + f.__name__] = f
-        if oracle:
-            ORACLE["q_" + f.__name__] = oracle
-        return f
-    return add
 
 
 def _vec(t):
@@ -228,14 +219,6 @@ def command_tree(t, spark):
     return tree.rendering(tree.nodes(tree.good(shell.processed(d)))).where(F.size("root_ord") == 0).select("file_sha", "text")
 
 
-@query("SELECT p_partkey::VARCHAR AS file_sha, c.cmdid, c.dep AS cmd_dep FROM part, (SELECT 0::INTEGER AS cmdid, '' AS dep UNION ALL SELECT 1, '0' UNION ALL SELECT 2, '1' UNION ALL SELECT 3, '2') c")
-def dependency_table(t, spark):
-    """FROM, a RUN that installs, an unknown RUN (barrier), a COPY: what each depends on."""
-    ast = '{"type":"DOCKER-FILE","children":[{"type":"DOCKER-FROM","children":[]},{"type":"DOCKER-RUN","children":[{"type":"BASH-SCRIPT","children":[{"type":"SC-MKDIR","children":[{"type":"SC-MKDIR-PATHS","children":[{"type":"SC-MKDIR-PATH","children":[{"type":"BASH-PATH","value":"a","children":[]}]}]}]}]}]},{"type":"DOCKER-RUN","children":[{"type":"BASH-SCRIPT","children":[{"type":"UNKNOWN","children":[]}]}]},{"type":"DOCKER-COPY","children":[{"type":"DOCKER-COPY-SOURCE","children":[{"type":"DOCKER-PATH","value":"x","children":[]}]},{"type":"DOCKER-COPY-TARGET","children":[{"type":"DOCKER-PATH","value":"y","children":[]}]}]}]}'
-    d = t("part").select(F.col("p_partkey").cast("string").alias("file_sha"), F.lit(ast).alias("ast"))
-    return tree.good(shell.instruction_table(d)).select("file_sha", "cmdid", F.array_join(F.col("cmd_dep").cast("array<string>"), ",").alias("cmd_dep"))
-
-
 @query("WITH " + _TEXTS + " SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM d) z GROUP BY token ORDER BY n DESC, token LIMIT 100")
 def token_counts(t, spark):
     return corpus.vocabulary(t("documents"), 100)
@@ -346,13 +329,3 @@ def stream_counts(t, spark):
     base = os.path.join(shared_dir(spark), f"drydock-stream-{uuid.uuid4().hex}")
     s = spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return incremental.stream_patterns(s, "event_type", f"{base}/patterns", f"{base}/checkpoint")
-
-
-def _run(f):
-    def run(spark, sf_dir):
-        return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
-    return run
-
-
-def queries():
-    return {k: _run(f) for k, f in QUERIES.items()}
