@@ -12,23 +12,12 @@ from pyspark.sql import functions as F, Window as W
 from drydock.functions.storage import cut
 
 from . import relations, tree
+from .tree import covered, successor
 
 INSTR = ["file_sha", "cmdid"]
 UNDEFINED, LITERAL, CONCAT = "BASH-UNDEFINE-COMMAND", "BASH-LITERAL", "BASH-CONCAT"
 
 
-def successor(place):
-    """The first place behind the subtree of a node, in pre-order."""
-    last = F.size(place) - 1
-    return F.when(last < 0, F.array(F.lit(2**31 - 1))).otherwise(F.concat(F.slice(place, 1, F.greatest(last, F.lit(0))), F.array(F.get(place, last) + 1)))
-
-
-def covered(flag, by=("file_sha",)):
-    """Column: whether a node stands below a flagged one, itself not counted."""
-    before = W.partitionBy(*by).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.col("ord") < F.max(F.when(flag, successor(F.col("ord")))).over(before), F.lit(False))
-
-
 def instructions(node):
     """file_sha, cmdid, type of the instructions: the children of the root, in order."""
     return node.where("depth = 1").select("file_sha", F.get("ord", F.lit(0)).alias("cmdid"), "type")

@@ -1,6 +1,7 @@
 """Token corpora: counts, chunks, masks, splits, vocabularies and word vectors."""
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
+from drydock.functions.prefix import running_sums
 from drydock.functions.storage import cut
 
 
@@ -38,16 +39,20 @@ def length_percentiles(docs, ps=(0.75, 0.8, 0.9)):
 def chunks(docs, length, by="source", order="doc_id"):
     """by, chunk, items: the texts of a group one after another, cut into blocks; the rest of a group goes.
 
-    Offsets come from counts per document, so no group is gathered: each token finds its block
-    by arithmetic and a block is the largest thing that meets in one place.
+    Rows are numbered once, so null and repeated ids keep their tokens; nulls come first and ties stand in the
+    table's order. Offsets are running sums of counts, and each text leaves as its pieces of blocks: a block
+    is the largest thing that meets in one place.
     """
-    d = docs.select(F.col(by).alias("grp"), F.col(order).alias("ord"), tokens(F.col("text")).alias("t"))
-    at = F.sum("n").over(W.partitionBy("grp").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
-    start = d.select("grp", "ord", F.size("t").cast("long").alias("n")).select(F.col("grp").alias("g2"), F.col("ord").alias("o2"), F.coalesce(at, F.lit(0)).alias("start"))
-    each = d.join(start, F.col("grp").eqNullSafe(F.col("g2")) & (F.col("ord") == F.col("o2"))).select("grp", "start", F.posexplode("t").alias("pos", "token"))
-    idx = F.col("start") + F.col("pos")
-    got = each.groupBy("grp", F.floor(idx / length).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(idx.alias("i"), "token"))).alias("x"))
-    return got.where(F.size("x") == length).select(F.col("grp").alias(by), "chunk", F.transform("x", lambda r: r["token"]).alias("items"))
+    d = cut(docs.select(F.col(by).alias("grp"), F.col(order).alias("ord"), "text", F.monotonically_increasing_id().alias("row")))
+    size = d.select("grp", "ord", "row", F.size(tokens(F.col("text"))).cast("long").alias("n"))
+    start = running_sums(size, ["grp"], ["ord", "row"], "n").where("n > 0").select("row", F.col("before").alias("start"))
+    t = d.join(start, "row").select("grp", "start", tokens(F.col("text")).alias("t"))
+    block = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.size("t") - 1) / length)))
+    at = F.greatest(F.col("chunk") * length - F.col("start"), F.lit(0))
+    till = F.least((F.col("chunk") + 1) * length - F.col("start"), F.size("t").cast("long"))
+    piece = t.withColumn("chunk", block).select("grp", "chunk", F.struct((F.col("start") + at).alias("at"), F.slice("t", (at + 1).cast("int"), (till - at).cast("int")).alias("p")).alias("x"))
+    got = piece.groupBy("grp", "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"])).alias("items"))
+    return got.where(F.size("items") == length).select(F.col("grp").alias(by), "chunk", "items")
 
 
 def uniform(*key):

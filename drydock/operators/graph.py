@@ -62,12 +62,12 @@ def subgraph(e, v, roots, depth=2):
     return v.join(hop, "id"), e.join(hop.where(F.col("depth") < depth).select(F.col("id").alias("src")), "src", "left_semi")
 
 
-def levels(e, most=100):
+def levels(e):
     """id, level: length of the longest path of edges (src depends on dst) below each node; rows of a
-    cycle have none. A level is final once all that a node depends on has one."""
+    cycle have none. A level is final once all that a node depends on has one; there are as many rounds as levels."""
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     done = nodes.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(0))
-    for _ in range(most):
+    while True:
         known = e.join(done.withColumnRenamed("id", "dst"), "dst", "left").groupBy("src").agg(F.max("level").alias("top"), F.bool_and(F.col("level").isNotNull()).alias("all"))
         new = cut(known.where("all").select(F.col("src").alias("id"), (F.col("top") + 1).alias("level")).join(done.select("id"), "id", "left_anti"))
         if new.isEmpty():

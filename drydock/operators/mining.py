@@ -59,8 +59,8 @@ def pair_rules(tx, least=0.0, confidence=0.5, lift=1.0):
     return got.where((F.col("support") >= least) & (F.col("confidence") >= confidence) & (F.col("lift") >= lift))
 
 
-def sequences(db, least, longest=10):
-    """db(seq_id, seq array) -> pattern array, support: projection on first occurrences.
+def sequences(db, least, longest=None):
+    """db(seq_id, seq array) -> pattern array, support: projection on first occurrences, of any length or up to `longest`.
 
     Level by level: the database projected on a pattern is the place after its first match in
     each sequence that has one, so a level is one explode, one minimum and one count.
@@ -69,7 +69,9 @@ def sequences(db, least, longest=10):
     kind = each.schema["item"].dataType.simpleString()
     here = db.select("seq_id", F.array().cast(f"array<{kind}>").alias("pattern"), F.lit(-1).alias("at"))
     out = None
-    for _ in range(longest):
+    length = 0
+    while longest is None or length < longest:
+        length += 1
         grown = here.join(each, "seq_id").where("pos > at").groupBy("seq_id", "pattern", "item").agg(F.min("pos").alias("at"))
         grown = cut(grown.select("seq_id", F.concat("pattern", F.array("item")).alias("pattern"), "at"))
         often = grown.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)

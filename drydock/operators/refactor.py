@@ -1,6 +1,8 @@
 """Build files as instruction rows: parsing, extraction, unification, repair, retrieval texts."""
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import cut
+
 #: Rewrites of commands, in order (fixed values: patterns and replacements must match).
 REWRITES = [
     (r"apt\s+install", "apt-get install -y"),
@@ -20,10 +22,10 @@ LINT = {
 }
 
 
-def instructions(docs):
-    """doc_id, pos, type, content: `KEYWORD rest` of each line that is neither blank nor a comment."""
-    line = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    return line.where("line <> '' AND NOT startswith(line, '#')").select("doc_id", "pos", F.upper(F.regexp_extract("line", r"^(\S+)", 1)).alias("type"), F.regexp_extract("line", r"^\S+\s*(.*)$", 1).alias("content"))
+def instructions(docs, key="doc_id"):
+    """key, pos, type, content: `KEYWORD rest` of each line that is neither blank nor a comment."""
+    line = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    return line.where("line <> '' AND NOT startswith(line, '#')").select(key, "pos", F.upper(F.regexp_extract("line", r"^(\S+)", 1)).alias("type"), F.regexp_extract("line", r"^\S+\s*(.*)$", 1).alias("content"))
 
 
 def entities(docs):
@@ -64,7 +66,7 @@ def unified(kind, content, standards=None):
         w = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
         name, out = F.get(w, F.lit(0)), F.array_join(w, " ")
         for known, rule in (standards or {}).items():
-            order, rest = rule.get("parameter_order", []), F.slice(w, 2, 10_000)
+            order, rest = rule.get("parameter_order", []), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
             first = F.filter(F.array(*[F.when(F.array_contains(rest, p), F.lit(p)) for p in order] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
             # of a parameter that stands twice only its first occurrence moves
             left = F.filter(rest, lambda x, i: ~F.array_contains(first, x) | (F.array_position(rest, x) != i + 1))
@@ -74,42 +76,46 @@ def unified(kind, content, standards=None):
     return F.when(kind == "RUN", F.array_join(F.transform(parts, command), " && ")).otherwise(content)
 
 
-def merged_runs(instr):
+def merged_runs(instr, key="doc_id"):
     """Consecutive RUN rows of a document as one, joined by &&, with the clean-up of package lists after installs."""
-    w = W.partitionBy("doc_id").orderBy("pos")
+    w = W.partitionBy(key).orderBy("pos")
     new = F.when((F.col("type") == "RUN") & (F.lag("type").over(w) == "RUN"), 0).otherwise(1)
     isle = instr.withColumn("new", new).withColumn("isle", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    got = isle.groupBy("doc_id", "isle").agg(F.min("pos").alias("pos"), F.first("type").alias("type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), " && ").alias("content"))
+    got = isle.groupBy(key, "isle").agg(F.min("pos").alias("pos"), F.first("type").alias("type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), " && ").alias("content"))
     c, run = F.col("content"), F.col("type") == "RUN"
     installs = c.contains("apt-get install") | c.contains("apk add")
     clean = F.when(run & installs & c.contains("apt-get"), F.concat(c, F.lit(" && rm -rf /var/lib/apt/lists/*"))).when(run & installs, F.concat(c, F.lit(" && rm -rf /var/cache/apk/*"))).otherwise(c)
-    return got.select("doc_id", "pos", "type", clean.alias("content"))
+    return got.select(key, "pos", "type", clean.alias("content"))
 
 
 def shares(instr, threshold=0.0):
     """type, content, share: of the instructions of a type, `threshold` at least."""
     n = instr.groupBy("type", "content").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy("type"))
-    return n.withColumn("share", share).where(F.col("share") >= threshold).select("type", "content", "share")
+    # a type is a key of few values: its total is an aggregate of its own, not a window over all its texts
+    total = instr.groupBy(F.col("type").alias("t")).agg(F.count(F.lit(1)).alias("total"))
+    share = F.col("n") / F.col("total")
+    return n.join(total, F.col("type").eqNullSafe(F.col("t"))).withColumn("share", share).where(F.col("share") >= threshold).select("type", "content", "share")
 
 
-def rendered(instr):
-    """doc_id, text: the instructions of a document in their order."""
-    return instr.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "content"))), lambda x: F.concat_ws(" ", x["type"], x["content"])), "\n").alias("text"))
+def rendered(instr, key="doc_id"):
+    """key, text: the instructions of a document in their order."""
+    return instr.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "content"))), lambda x: F.concat_ws(" ", x["type"], x["content"])), "\n").alias("text"))
 
 
 def refactored(docs, standards=None, base_images=None):
     """The whole refactoring: parse, replace the base image (doc_id, name), unify, merge, render.
 
-    A document without instructions keeps its text.
+    A document without instructions keeps its text. Rows are numbered once: rows of a null or repeated doc_id
+    stay documents of their own.
     """
-    i = instructions(docs)
+    d = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    i = instructions(d, "_row")
     if base_images is not None:
-        first = i.where("type = 'FROM'").groupBy("doc_id").agg(F.min("pos").alias("pos")).join(base_images, "doc_id")
-        i = i.join(first, ["doc_id", "pos"], "left").select("doc_id", "pos", "type", F.coalesce("name", "content").alias("content"))
+        first = i.where("type = 'FROM'").groupBy("_row").agg(F.min("pos").alias("pos")).join(d.select("_row", "doc_id"), "_row").join(base_images.select("doc_id", "name"), "doc_id").select("_row", "pos", "name")
+        i = i.join(first, ["_row", "pos"], "left").select("_row", "pos", "type", F.coalesce("name", "content").alias("content"))
     i = i.withColumn("content", unified(F.col("type"), F.col("content"), standards))
-    new = rendered(merged_runs(i)).withColumnRenamed("text", "new")
-    return docs.join(new, "doc_id", "left").withColumn("text", F.coalesce("new", "text")).drop("new")
+    new = rendered(merged_runs(i, "_row"), "_row").withColumnRenamed("text", "_new")
+    return d.join(new, "_row", "left").withColumn("text", F.coalesce("_new", "text")).select(*docs.columns)
 
 
 def lint_repaired(docs, findings):

@@ -102,6 +102,15 @@ def last_creator(events, key, at, floor=None):
     return events.withColumn("creator", F.coalesce(got, F.col(floor)) if floor else got).where("NOT creates")
 
 
+def creator_since(events, key, at, start):
+    """Interval as-of join: the last id made before each use, where it is after `start`; null where it is not.
+
+    Where start is null any id counts.
+    """
+    made = last_creator(events, key, at)
+    return made.withColumn("creator", F.when(F.col(start).isNull() | (F.col("creator") > F.col(start)), F.col("creator")))
+
+
 def conflicts(relations, candidates):
     """relations(src, dst) of which both ends are among candidates(grp, id) of one group -> grp, src, dsts."""
     s, d = candidates.select("grp", F.col("id").alias("src")), candidates.select(F.col("grp").alias("g2"), F.col("id").alias("dst"))

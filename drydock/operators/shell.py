@@ -53,8 +53,8 @@ def parsed(command, args, grammar=None):
     if not known:
         return None
     prefix, scenarios, groups = known
-    table = options(groups)
-    for template, name, must in scenarios:
+    for template, name, must, *own in scenarios:  # a scenario may bring options of its own
+        table = options(own[0] if own else groups)
         flags, words, ok, todo = {}, [], True, list(args)
         while todo and ok:
             a = todo.pop(0)
@@ -82,7 +82,7 @@ def parsed(command, args, grammar=None):
                         ok = False
         slots = template.split()[1:]
         subs = [s for s in slots if s[0] not in "<["]
-        if not ok or words[:len(subs)] != subs or any(m not in args for m in must.split()):
+        if not ok or words[:len(subs)] != subs or any(not set(args) & {x.strip() for x in m.split(",")} for m in filter(None, must.split(";"))):
             continue
         words, slots = words[len(subs):], slots[len(subs):]
         after, bound = sum(s[0] == "<" for s in slots), {}
@@ -118,7 +118,7 @@ def parsed(command, args, grammar=None):
     return None
 
 
-def enriched(tree, grammar=None, most=100):
+def enriched(tree, grammar=None):
     """Every MAYBE-SEMANTIC-COMMAND as its typed subtree, UNKNOWN where the grammar has none; repeated
     while one is left, so commands within arguments are reached."""
     def edit(n, parents):
@@ -132,9 +132,7 @@ def enriched(tree, grammar=None, most=100):
         except (KeyError, ValueError):
             got = None
         return ("replace", 0, got or {"type": "UNKNOWN", "children": []})
-    for _ in range(most):
-        if not any(n["type"] == "MAYBE-SEMANTIC-COMMAND" for _, n in T.walk(tree)):
-            break
+    while any(n["type"] == "MAYBE-SEMANTIC-COMMAND" for _, n in T.walk(tree)):  # each round leaves fewer
         tree = T.edited(tree, edit) or {"type": "UNKNOWN", "children": []}
     return tree
 

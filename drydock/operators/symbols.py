@@ -7,7 +7,7 @@ Trees of any depth are flat rows here.
 from pyspark.sql import functions as F, Window as W
 
 from . import relations
-from .buildgraph import successor
+from .tree import successor
 
 DEFINES = ("BASH-ASSIGN", "DOCKER-ENV", "DOCKER-ARG")
 TEXTS = ("DOCKER-LITERAL", "DOCKER-PATH")

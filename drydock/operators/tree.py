@@ -6,7 +6,7 @@ prefix. An empty value counts as none. Documents that are no tree go to the reje
 """
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window as W
 
 NODE = "file_sha string, ord array<int>, parent_ord array<int>, depth int, child_pos int, type string, value string, leaf boolean"
 
@@ -120,11 +120,54 @@ def rendering(node):
     return each.groupBy("file_sha", "root_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" ", "type", "value").alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
+def successor(place):
+    """The first place behind the subtree of a node, in pre-order."""
+    last = F.size(place) - 1
+    return F.when(last < 0, F.array(F.lit(2**31 - 1))).otherwise(F.concat(F.slice(place, 1, F.greatest(last, F.lit(0))), F.array(F.get(place, last) + 1)))
+
+
+def covered(flag, by=("file_sha",)):
+    """Column: whether a node stands below a flagged one, itself not counted."""
+    before = W.partitionBy(*by).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.col("ord") < F.max(F.when(flag, successor(F.col("ord")))).over(before), F.lit(False))
+
+
+def subtree_holds(flag, by=("file_sha",)):
+    """Column: whether a node or one below it is flagged: the next flagged place in pre-order lies in its subtree."""
+    after = W.partitionBy(*by).orderBy("ord").rowsBetween(0, W.unboundedFollowing)
+    return F.coalesce(F.min(F.when(flag, F.col("ord"))).over(after) < successor(F.col("ord")), F.lit(False))
+
+
+#: Node types that are worth what they say (fixed values).
+CONSTANT = ("BASH-LITERAL", "BASH-VARIABLE-VALUE", "DOCKER-LITERAL")
+
+
+def constant(by=("file_sha",)):
+    """Column: whether a value is known: a literal, or a concatenation of literals and concatenations alone."""
+    other = ~F.col("type").isin("BASH-CONCAT", *CONSTANT)
+    return F.col("type").isin(*CONSTANT) | ((F.col("type") == "BASH-CONCAT") & ~subtree_holds(other, by))
+
+
 def below_none(node, keep):
     """Nodes that stand below no node of the kept types (those themselves stay)."""
-    kept = node.where(F.col("type").isin(*keep)).select("file_sha", F.col("ord").alias("up"))
-    over = node.select("file_sha", "ord", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.size("ord")), lambda k: F.slice("ord", 1, k)), lambda p: F.size(p) < F.size("ord"))).alias("up"))
-    return node.join(over.join(kept, ["file_sha", "up"]).select("file_sha", "ord").distinct(), ["file_sha", "ord"], "left_anti")
+    return node.withColumn("_in", covered(F.col("type").isin(*keep))).where(~F.col("_in")).drop("_in")
+
+
+#: Node types that keep their values, and types whose valued children do (fixed values).
+KEEP_TYPES = ("SC-APT-GET-PACKAGE", "SC-APT-PACKAGE", "SC-APK-PACKAGE", "SC-YUM-PACKAGE", "SC-DNF-PACKAGE", "SC-NPM-PACKAGE", "SC-PIP-PACKAGE", "DOCKER-IMAGE-NAME", "DOCKER-IMAGE-REPO", "DOCKER-IMAGE-TAG", "DOCKER-PORT", "DOCKER-NAME", "BASH-VARIABLE")
+KEEP_PARENTS = ("SC-APK-VIRTUAL",)
+
+
+def annotated(node, keep=KEEP_TYPES, parents=KEEP_PARENTS):
+    """The node table with abs_type: the abstractions of each value that is neither kept nor below a kept node, else null.
+
+    Kept are nodes of some types and valued children of others.
+    """
+    over = node.where(F.col("type").isin(*parents)).select("file_sha", F.col("ord").alias("parent_ord"), F.lit(True).alias("_of"))
+    n = node.join(over, ["file_sha", "parent_ord"], "left")
+    kept = F.col("type").isin(*keep) | (F.coalesce("_of", F.lit(False)) & F.col("value").isNotNull())
+    n = n.withColumn("_kept", kept).withColumn("_in", covered(F.col("_kept")))
+    return n.select(*node.columns, F.when(~F.col("_kept") & ~F.col("_in"), abstract_tags(F.col("value"))).alias("abs_type"))
 
 
 def retagged(node):

@@ -1,9 +1,11 @@
 """Vector and clustering operators over vec(vec_id, embedding, label)."""
 import numpy as np
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
 from drydock.functions.storage import cut
 
+from . import blocks
+
 
 def _d(c):
     return F.transform(c, lambda x: x.cast("double"))
@@ -69,83 +71,63 @@ def calinski_harabasz(vec, by="label"):
     return t.join(n).select((F.col("b") / F.col("w") * (F.col("n") - F.col("k")) / (F.col("k") - 1)).alias("ch"))
 
 
-def pairs(vec, within=None, *keep):
-    """All pairs of other rows with their distance: blocks of rows meet, never a row each a shuffle.
+def silhouette(vec, by="label"):
+    """One row silhouette: the mean over rows of (b - a) / max(a, b), Euclidean; a lone row counts 0.
 
-    With `within` only pairs up to that distance. Rows are numbered into blocks of some thousand,
-    each task compares two blocks by matrix products: n^2 / 2 work, but bounded memory.
+    Labels are numbers; a null one is a label as well.
     """
-    import pyarrow as pa
-
-    n = vec.count()
-    blocks = max(1, n // 2000)
-    v = vec.select("vec_id", _d(F.col("embedding")).alias("e")).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    left = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("i"), F.col("o").alias("j"), "vec_id", "e")
-    right = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("o").alias("i2"), F.col("b").alias("j2"), (F.col("vec_id") + 0).alias("id2"), F.transform("e", lambda x: x + 0.0).alias("e2"))
-
-    def run(a, b):
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        if not a.num_rows or not b.num_rows:
-            return none
-        x, y = np.array(a["e"].to_pylist(), float), np.array(b["e2"].to_pylist(), float)
-        ia, ib = a["vec_id"].to_numpy(), b["id2"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            d = np.sqrt(((y - x[k]) ** 2).sum(1))
-            on = (ib != ia[k]) & ((d <= within) if within is not None else True)
-            out.append((np.full(on.sum(), ia[k]), ib[on], d[on]))
-        return pa.table({n: pa.array(np.concatenate([o[i] for o in out])) for i, n in enumerate(("a", "b", "dist"))})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(run, "a long, b long, dist double")
-
-
-def silhouette(vec, by="label"):
-    """One row silhouette: the mean over rows of (b - a) / max(a, b), Euclidean; a lone row counts 0."""
-    lab = vec.select("vec_id", F.col(by).alias("lab"))
-    d = pairs(vec).join(lab.withColumnRenamed("vec_id", "b").withColumnRenamed("lab", "lb"), "b").groupBy("a", "lb").agg(F.avg("dist").alias("m"))
-    d = d.join(lab.withColumnRenamed("vec_id", "a"), "a").groupBy("a").agg(F.min(F.when(F.col("lb") != F.col("lab"), F.col("m"))).alias("out"), F.max(F.when(F.col("lb") == F.col("lab"), F.col("m"))).alias("own"))
+    lab = vec.select(F.col("vec_id").alias("a"), F.coalesce(F.col(by).cast("long"), F.lit(-1)).alias("lab"))
+    m = F.col("total") / F.col("n")
+    d = blocks.label_sums(vec, by).join(lab, "a").groupBy("a").agg(F.min(F.when(F.col("tag") != F.col("lab"), m)).alias("out"), F.max(F.when(F.col("tag") == F.col("lab"), m)).alias("own"))
     s = F.when(F.col("own").isNull() | F.col("out").isNull(), F.lit(0.0)).otherwise((F.col("out") - F.col("own")) / F.greatest("out", "own"))
     return d.agg(F.avg(s).alias("silhouette"))
 
 
 def k_distance(vec, k=4):
     """vec_id, dist: the distance to the k-th neighbour, the row itself counting as the first."""
-    rank = F.row_number().over(W.partitionBy("a").orderBy("dist", "b"))
-    return pairs(vec).withColumn("r", rank).where(F.col("r") == k - 1).select(F.col("a").alias("vec_id"), "dist")
+    return blocks.least(vec, k - 1).where(F.size("dists") == k - 1).select(F.col("a").alias("vec_id"), F.get("dists", F.lit(k - 2)).alias("dist"))
 
 
 def medoids(vec, by="label"):
-    """by, vec_id: the row of least mean distance to the others of its group."""
-    lab = vec.select("vec_id", F.col(by).alias("lab"))
-    d = pairs(vec).join(lab.withColumnRenamed("vec_id", "a"), "a").join(lab.withColumnRenamed("vec_id", "b").withColumnRenamed("lab", "lb"), "b").where("lab = lb")
-    m = d.groupBy("lab", "a").agg(F.round(F.avg("dist"), 9).alias("m"))
-    return m.groupBy(F.col("lab").alias(by)).agg(F.min_by("a", F.struct("m", "a")).alias("vec_id"))
+    """by, vec_id: the row of least mean distance to the others of its group; a group of one row has none."""
+    m = blocks.label_sums(vec.where(F.col(by).isNotNull()), by, by="tag").select("a", "tag", F.round(F.col("total") / F.col("n"), 9).alias("m"))
+    return m.groupBy(F.col("tag").cast(vec.schema[by].dataType).alias(by)).agg(F.min_by("a", F.struct("m", "a")).alias("vec_id"))
 
 
 def core_points(vec, eps, least):
     """vec_id, core: whether at least `least` rows (itself one) lie within eps."""
-    n = pairs(vec, eps).groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
-    return vec.select("vec_id").join(n, "vec_id", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + 1 >= least).alias("core"))
+    return blocks.neighbours(vec, eps).select("vec_id", (F.col("n") + 1 >= least).alias("core"))
 
 
-def dbscan(vec, eps, least):
-    """vec_id, cluster: the smallest core id of the cluster, -1 for noise; a border row takes the
-    least cluster of the cores near it. Labels spread by joins with path halving."""
-    near = cut(pairs(vec, eps).select("a", "b"))
-    n = near.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
-    core = cut(vec.select("vec_id").join(n, "vec_id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("vec_id"))
-    link = near.join(core.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(core.withColumnRenamed("vec_id", "b"), "b", "left_semi")
-    lab = core.withColumn("c", F.col("vec_id"))
+def connected(nodes, links):
+    """vec_id, c: the least vec_id that links(a, b) reach from each of nodes(vec_id), by joins with path halving."""
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    lab = nodes.select("vec_id", F.col("vec_id").alias("c"))
     while True:
-        low = link.join(lab.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("c").alias("m"))
+        low = both.join(lab.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("c").alias("m"))
         step = lab.join(low, "vec_id", "left").select("vec_id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
         up = lab.select(F.col("vec_id").alias("c"), F.col("c").alias("top"))
         step = cut(step.join(up, "c").select("vec_id", "old", F.col("top").alias("c")))
         if step.where("old <> c").isEmpty():
-            break
+            return lab
         lab = step.select("vec_id", "c")
-    border = near.join(lab.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("c").alias("edge"))
-    return vec.select("vec_id").join(lab, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("c", "edge", F.lit(-1)).alias("cluster"))
+
+
+def dbscan(vec, eps, least):
+    """vec_id, cluster: the smallest core id of the cluster, -1 for noise; a border row takes the
+    least cluster of the cores near it. Three passes over cells of near rows: counts, links of cores, borders."""
+    core = cut(vec.join(core_points(vec, eps, least).where("core"), "vec_id", "left_semi").select("vec_id", "embedding"))
+    lab = connected(core, blocks.core_links(core, eps))
+    named = cut(core.join(lab, "vec_id"))
+    rest = vec.join(core, "vec_id", "left_anti")
+    edge = blocks.least_tag(blocks.rows_of(rest), blocks.rows_of(named, "c"), eps)
+    got = lab.select("vec_id", F.col("c").alias("cluster")).unionByName(edge.select("vec_id", F.col("tag").alias("cluster")))
+    return vec.select("vec_id").join(got, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def noise(clusters):
+    """One row noise, clusters: the rows of cluster -1 and the number of other clusters."""
+    return clusters.agg(F.count_if(F.col("cluster") == -1).alias("noise"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"))
 
 
 def whitened(vec, keep):
@@ -158,9 +140,12 @@ def whitened(vec, keep):
     width = vec.select(F.max(F.size("embedding"))).first()[0] or 0
 
     def moments(batches):
-        for b in batches:
+        n, s, p = 0, np.zeros(width), np.zeros((width, width))
+        for b in batches:  # a task sends its sums once
             m = np.array(b["embedding"].tolist(), float).reshape(-1, width)
-            yield pd.DataFrame({"n": [len(m)], "s": [m.sum(0).tolist()], "p": [(m.T @ m).ravel().tolist()]})
+            n, s, p = n + len(m), s + m.sum(0), p + m.T @ m
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "p": [p.ravel().tolist()]})
 
     rows = vec.select("embedding").mapInPandas(moments, "n long, s array<double>, p array<double>")
     summed = rows.select("n", F.posexplode(F.concat("s", "p")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
@@ -203,7 +188,7 @@ def kmeans_sweep(vec, ks=range(2, 21), seed=42):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = vec.withColumn("features", array_to_vector(_d(F.col("embedding")))).persist()
+    x = cut(vec).withColumn("features", array_to_vector(_d(F.col("embedding"))))
     out = None
     for k in ks:
         got = KMeans(k=k, seed=seed).fit(x).transform(x).withColumnRenamed("prediction", "cluster")

@@ -98,11 +98,11 @@ def last_creator(t, spark):
 
 @query("WITH a AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN event_type = 'signup' THEN ts END) OVER w AS s, max(CASE WHEN event_type = 'view' THEN ts END) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, user_id, CASE WHEN s IS NULL OR v > s THEN v END AS creator FROM a WHERE event_type = 'purchase'")
 def interval_creator(t, spark):
-    from pyspark.sql import Window as W
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda k: F.max(F.when(F.col("event_type") == k, F.col("ts"))).over(w)
-    a = t("events").select("event_id", "user_id", "event_type", last("signup").alias("s"), last("view").alias("v")).where("event_type = 'purchase'")
-    return a.select("event_id", "user_id", F.when(F.col("s").isNull() | (F.col("v") > F.col("s")), F.col("v")).alias("creator"))
+    e = t("events").select("event_id", "user_id", "event_type", F.struct("ts", "event_id").alias("at"), F.col("ts").alias("id"), (F.col("event_type") == "view").alias("creates"))
+    # the start of a use is the last sign-up before it: an as-of join as well
+    signup = relations.last_creator(e.withColumn("creates", F.col("event_type") == "signup"), ["user_id"], "at").select("event_id", F.col("creator").alias("start"))
+    uses = e.where("event_type IN ('view', 'purchase')").join(signup, "event_id", "left")
+    return relations.creator_since(uses, ["user_id"], "at", "start").select("event_id", "user_id", "creator")
 
 
 @query("SELECT creator, count(*) AS n FROM (SELECT event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS creator FROM events) z WHERE event_type <> 'view' AND creator IS NOT NULL GROUP BY creator")
@@ -290,6 +290,11 @@ def dbscan_core(t, spark):
     return vectors.core_points(_vec(t), EPS, LEAST)
 
 
+@query(f"WITH {_PAIR} SELECT count(*) AS noise FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = v.vec_id AND p.d <= {EPS} AND (SELECT count(*) FROM p q WHERE q.a = p.b AND q.d <= {EPS}) + 1 >= {LEAST}) AND (SELECT count(*) FROM p WHERE p.a = v.vec_id AND d <= {EPS}) + 1 < {LEAST}")
+def dbscan_noise(t, spark):
+    return vectors.noise(vectors.dbscan(_vec(t), EPS, LEAST)).select("noise")
+
+
 @query(f"WITH RECURSIVE {_PAIR}, n AS (SELECT a, b FROM p WHERE d <= {EPS}), c AS (SELECT a FROM n GROUP BY a HAVING count(*) + 1 >= {LEAST}), l AS (SELECT a, b FROM n WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)), r AS (SELECT a AS x, a AS y FROM c UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y), k AS (SELECT x, min(y) AS k FROM r GROUP BY x), e AS (SELECT n.a, min(k.k) AS k FROM n JOIN k ON k.x = n.b GROUP BY n.a) SELECT v.vec_id, coalesce(k.k, e.k, -1) AS cluster FROM v LEFT JOIN k ON k.x = v.vec_id LEFT JOIN e ON e.a = v.vec_id")
 def dbscan_labels(t, spark):
     return vectors.dbscan(_vec(t), EPS, LEAST)
@@ -305,10 +310,10 @@ def pool_mean(t, spark):
     return vectors.mean_vectors(_vec(t)).select("label", "dim", F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")
+@query("WITH " + _VEC + " SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_sum(e) / sqrt(list_dot_product(e, e)), 6) AS total FROM v")
 def l2_normalise(t, spark):
-    n = vectors.normalised(_vec(t))
-    return n.select("vec_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return vectors.normalised(_vec(t)).select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(total, 6).alias("total"))
 
 
 @query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i WHERE b.i < 8 GROUP BY a.i, b.i")

@@ -3,6 +3,7 @@ import io
 import json
 import lzma
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ def read_jsonl(spark, path, schema=None):
                         if len(rows) >= 10_000:
                             yield pd.DataFrame({"value": rows})
                             rows = []
-                    yield pd.DataFrame({"value": rows})
+                    if rows:
+                        yield pd.DataFrame({"value": rows})
 
         lines = raw.mapInPandas(run, "value string").where("trim(value) <> ''")
         return lines.select(F.from_json("value", schema).alias("r")).select("r.*") if schema else lines
@@ -32,12 +34,14 @@ def read_jsonl(spark, path, schema=None):
 def write_jsonl(df, path, xz=False):
     """One object a line; with xz each partition is a file part-*.jsonl.xz in a folder all executors share.
 
-    A file gets its name once it is whole, and by its partition, so a repeated task replaces it.
+    A file gets its name once it is whole, by this write and its partition, so a repeated task replaces it;
+    files of earlier writes go once all are there.
     """
     if not xz:
         df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
         return path
     os.makedirs(path, exist_ok=True)
+    mark = uuid.uuid4().hex
 
     def run(batches):
         import pandas as pd
@@ -50,10 +54,13 @@ def write_jsonl(df, path, xz=False):
                 for v in b["value"]:
                     f.write(v + "\n")
                     n += 1
-        os.replace(own, os.path.join(path, f"part-{c.partitionId():05d}.jsonl.xz"))
+        os.replace(own, os.path.join(path, f"part-{mark}-{c.partitionId():05d}.jsonl.xz"))
         yield pd.DataFrame({"n": [n]})
 
     df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(run, "n long").agg(F.sum("n")).first()
+    for f in os.listdir(path):
+        if f.startswith(("part-", ".part-")) and mark not in f:
+            os.remove(os.path.join(path, f))
     return path
 
 
@@ -65,7 +72,8 @@ def read_json_map(spark, path):
 def read_pages(spark, names, fetch, first):
     """name, page, result (JSON text): pages of a REST listing followed by `next` until null.
 
-    fetch(url) gives {"results": [...], "next": url or None}; after an error what was read stays.
+    fetch(url) gives {"results": [...], "next": url or None}; after an error what was read stays and a
+    last row without a result says what went wrong.
     """
     def run(batches):
         import pandas as pd
@@ -76,13 +84,14 @@ def read_pages(spark, names, fetch, first):
                 while url:
                     try:
                         got = fetch(url)
-                    except Exception:
+                    except Exception as e:  # the row is the record of it
+                        rows.append((n, page, None, f"{type(e).__name__}: {e}"))
                         break
-                    rows += [(n, page, json.dumps(r)) for r in got.get("results") or []]
+                    rows += [(n, page, json.dumps(r), None) for r in got.get("results") or []]
                     url, page = got.get("next"), page + 1
-            yield pd.DataFrame(rows, columns=["name", "page", "result"])
+            yield pd.DataFrame(rows, columns=["name", "page", "result", "error"])
 
-    return spark.createDataFrame([(n,) for n in names], "name string").mapInPandas(run, "name string, page int, result string")
+    return spark.createDataFrame([(n,) for n in names], "name string").mapInPandas(run, "name string, page int, result string, error string")
 
 
 def question_pairs(pages):
@@ -120,11 +129,16 @@ def read_grammar(spark, folder):
 
 
 def grammar_of(rows):
-    """The parser's form (shell.parsed) of collected grammar rows, which are a few hundred constants."""
+    """The parser's form (shell.parsed) of collected grammar rows, which are a few hundred constants.
+
+    Each scenario keeps what it must have (each a flag with its aliases) and its own options.
+    """
     out = {}
     for r in sorted(rows, key=lambda r: (r["command"], r["seq"])):
         _, scenarios, groups = out.setdefault(r["command"], (r["prefix"], [], {k: "" for k in _KINDS}))
-        scenarios.append((r["cmd"], r["name"], ""))
+        must = json.loads((r["directives"] or {}).get("mustHave") or "[]")
+        own = {k: "; ".join(r[k]) for k in _KINDS}
+        scenarios.append((r["cmd"], r["name"], ";".join([must] if isinstance(must, str) else must), own))
         for k in _KINDS:
             groups[k] = "; ".join(filter(None, [groups[k], *r[k]]))
     return out

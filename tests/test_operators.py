@@ -241,7 +241,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"ubuntu": {"used": ["a"]}, "b": 1}')
     assert rows(files.read_json_map(spark, str(tmp_path / "m.json"))) == [("b", "1"), ("ubuntu", '{"used":["a"]}')]
     book = {"a1": {"results": [{"n": 1}], "next": "a2"}, "a2": {"results": [{"n": 2}], "next": None}, "b1": {"results": [{"n": 3}], "next": "gone"}}
-    assert [r[:2] for r in rows(files.read_pages(spark, ["a", "b", "c"], lambda u: book[u], lambda n: n + "1"))] == [("a", 0), ("a", 1), ("b", 0)]
+    pages = files.read_pages(spark, ["a", "b", "c"], lambda u: book[u], lambda n: n + "1").collect()
+    assert sorted((r["name"], r["page"], r["error"] is None) for r in pages) == [("a", 0, True), ("a", 1, True), ("b", 0, True), ("b", 1, False), ("c", 0, False)]
     qa = spark.createDataFrame([(1, "t", "x"), (2, "t", "y"), (3, "u", " "), (4, "t", "")], "seq long, title string, answer string")
     assert rows(files.question_pairs(qa)) == [("t", "y")]
     man = spark.createDataFrame([("i", "t1", [("arm", 1, "d"), ("amd64", 2, "e")]), ("i", "t2", [("arm", 1, "d")])], "image string, name string, images array<struct<architecture:string,size:long,digest:string>>")
@@ -276,3 +277,67 @@ def test_pattern_store_and_stream(spark, tmp_path):
     one = spark.createDataFrame([("k", 1, "old"), ("l", 1, "x")], "k string, seq int, v string")
     assert rows(relations.upsert(one, spark.createDataFrame([("k", 2, "new")], "k string, seq int, v string"), "k", "seq")) == [("k", 2, "new"), ("l", 1, "x")]
     assert incremental.appended(one, str(tmp_path / "c"), lambda d: d.count()) == 2 and incremental.appended(one, str(tmp_path / "c"), lambda d: d.count()) == 4
+
+
+def test_chunks_of_null_and_repeated_ids(spark):
+    """Every token of a group lands in its block, whatever the ids; the order is nulls, then ids, then the table's."""
+    docs = [(None, "a b c"), (7, "d"), (None, None), (7, "e f g h i j k"), (3, "l m"), (9, "")]
+    d = spark.createDataFrame([(i, t, "s") for i, t in docs] + [(1, "x y", None)], "doc_id long, text string, source string").coalesce(1)
+    got = {(r["source"], r["chunk"]): r["items"] for r in corpus.chunks(d, 3).collect()}
+    assert got == {("s", 0): list("abc"), ("s", 1): list("lmd"), ("s", 2): list("efg"), ("s", 3): list("hij")}
+    wide = spark.range(500).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 5) AS text", "if(id % 3 = 0, 'a', 'b') AS source").repartition(6)
+    blocks = {(r["source"], r["chunk"]): r["items"] for r in corpus.chunks(wide, 7).collect()}
+    for s, ids in (("a", range(0, 500, 3)), ("b", [i for i in range(500) if i % 3])):
+        t = [f"w{i}" for i in ids for _ in range(5)]
+        assert [blocks[s, c] for c in range(len(t) // 7)] == [t[7 * c:7 * c + 7] for c in range(len(t) // 7)]
+
+
+def test_running_sums(spark):
+    from drydock.functions.prefix import running_sums
+    data = [(g, i, (i * 7) % 5) for g, n in (("hot", 300), ("b", 3), (None, 4)) for i in range(n)]
+    got = running_sums(spark.createDataFrame(data, "g string, i long, n long").repartition(5), ["g"], ["i"], "n").collect()
+    assert len(got) == len(data) and all(r["before"] == sum(n for g, i, n in data if g == r["g"] and i < r["i"]) for r in got)
+
+
+def test_nothing_is_cut(spark):
+    """More than 10,000 words, long patterns, a chain of levels, commands within commands."""
+    d = spark.createDataFrame([("RUN", "echo " + "w " * 10_050)], "k string, c string").select(refactor.unified(F.col("k"), F.col("c"), {"echo": {"preferred_name": "print"}}).alias("c"))
+    assert len(d.first()["c"].split()) == 10_051
+    db = spark.createDataFrame([(i, list(range(11))) for i in range(2)], "seq_id long, seq array<int>")
+    longest = mining.sequences(db, 2)
+    assert longest.count() == 2**11 - 1 and longest.agg(F.max(F.size("pattern"))).first()[0] == 11
+    assert mining.sequences(db, 2, 2).count() == 11 + 55
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    assert graph.levels(e).agg(F.max("level")).first()[0] == 12
+    files_ = [(1, "FROM a\nRUN x && y"), (1, "FROM b\nRUN z"), (None, "RUN q"), (2, "# no")]
+    got = refactor.refactored(spark.createDataFrame(files_, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "FROM a\nRUN x && y"), (1, "FROM b\nRUN z"), (None, "RUN q"), (2, "# no")]))
+
+
+def test_shares_of_a_null_type(spark):
+    i = spark.createDataFrame([("RUN", "a"), ("RUN", "a"), ("RUN", "b"), (None, "c")], "type string, content string")
+    assert {(r["type"], r["content"], round(r["share"], 3)) for r in refactor.shares(i).collect()} == {("RUN", "a", 0.667), ("RUN", "b", 0.333), (None, "c", 1.0)}
+
+
+def test_scenarios_keep_what_they_must_have(spark, tmp_path):
+    (tmp_path / "x.yml").write_text("command:\n  prefix: SC-X\n  providerFor: [x]\n  scenarios:\n    - cmd: $0 [paths...]\n      name: SC-X-ALL\n      mustHave: ['-a, --all']\n      options:\n        booleans: ['-a, --all']\n    - cmd: $0 [paths...]\n      name: SC-X\n      options:\n        booleans: ['-b']\n")
+    g = files.grammar_of(files.read_grammar(spark, str(tmp_path)).collect())
+    assert [shell.parsed("x", a, g)["type"] for a in (["p"], ["-a", "p"], ["--all", "p"], ["-b", "p"])] == ["SC-X", "SC-X-ALL", "SC-X-ALL", "SC-X"]
+    assert shell.parsed("x", ["-a", "-b", "p"], g) is None
+
+
+def test_written_lines_replace_older_ones(spark, tmp_path):
+    at = str(tmp_path / "x")
+    files.write_jsonl(spark.range(8).repartition(4), at, xz=True)
+    files.write_jsonl(spark.range(1), at, xz=True)
+    assert files.read_jsonl(spark, at + "/*.xz", "id long").count() == 1
+
+
+def test_annotations_and_detectors(spark):
+    """Kept nodes and what stands below them have no abstractions; flags of whole subtrees."""
+    t = lit("DOCKER-FILE", None, lit("DOCKER-PORT", "/80", lit("X", "/var")), lit("SC-APK-VIRTUAL", None, lit("X", "/a")), lit("X", "/var", lit("Y", "true")), lit("BASH-CONCAT", None, lit("BASH-LITERAL", "a"), lit("BASH-CONCAT", None, lit("BASH-VARIABLE-VALUE", "b"))), lit("BASH-CONCAT", None, lit("BASH-DOLLAR-PARENS", None, lit("BASH-LITERAL", "c"))))
+    n = tree.nodes(spark.createDataFrame([("f", json.dumps(t))], "file_sha string, ast string"))
+    tags = {tuple(r["ord"]): r["abs_type"] for r in tree.annotated(n).collect()}
+    assert tags[(0,)] is None and tags[(0, 0)] is None and tags[(1, 0)] is None and "ABS-PATH-VAR" in tags[(2,)] and "ABS-TRUE" in tags[(2, 0)] and tags[()] is None
+    got = {tuple(r["ord"]): (r["c"], r["d"]) for r in n.withColumn("c", tree.constant()).withColumn("d", tree.subtree_holds(F.col("type") == "BASH-DOLLAR-PARENS")).collect()}
+    assert got[(3,)] == (True, False) and got[(3, 1)] == (True, False) and got[(4,)] == (False, True) and got[(4, 0, 0)] == (True, False) and got[()] == (False, True)
