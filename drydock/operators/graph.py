@@ -21,6 +21,26 @@ def edges(*parts):
     return all_.groupBy("src", "dst", "type").agg(entries.alias("e")).select("src", "dst", "type", F.aggregate("e", none, lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, v: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))).alias("props"))
 
 
+def assembled(parents, relations, deps, conflicts):
+    """The graph of a corpus: vertices Image, Package and Command, edges BASED_ON, INSTALLS, USES, DEPENDS_ON
+    (type, confidence) and CONFLICTS_WITH.
+
+    parents(image, parent), relations(image, used_pkgs, install_pkgs), deps(pkg1, pkg2, type, confidence),
+    conflicts(pkg1, pkg2). Ids are `label:name`; packages of a conflict that nothing installs or names stay out.
+    """
+    name = lambda label, c: F.concat(F.lit(label + ":"), F.col(c))
+    uses, installs = relations.select("image", F.explode("used_pkgs").alias("n")), relations.select("image", F.explode("install_pkgs").alias("n"))
+    images = reduce(lambda a, b: a.unionByName(b), [parents.select(F.col("image").alias("n")), parents.select(F.col("parent").alias("n")), relations.select(F.col("image").alias("n"))])
+    packages = reduce(lambda a, b: a.unionByName(b), [installs.select("n"), deps.select(F.col("pkg1").alias("n")), deps.select(F.col("pkg2").alias("n"))])
+    v = vertices(*[(d.distinct().withColumn("id", name(label, "n")), label, "id", "n") for d, label in ((images, "Image"), (packages, "Package"), (uses.select("n"), "Command"))])
+    ends = lambda d, la, a, lb, b: d.withColumn("src", name(la, a)).withColumn("dst", name(lb, b))
+    props = F.map_from_arrays(F.array(F.lit("type"), F.lit("confidence")), F.array(F.col("type").cast("string"), F.col("confidence").cast("string")))
+    seen = v.where("label = 'Package'").select(F.col("name").alias("n"))
+    both = conflicts.join(seen.withColumnRenamed("n", "pkg1"), "pkg1", "left_semi").join(seen.withColumnRenamed("n", "pkg2"), "pkg2", "left_semi")
+    e = edges((ends(parents, "Image", "image", "Image", "parent"), "BASED_ON", "src", "dst"), (ends(installs, "Image", "image", "Package", "n"), "INSTALLS", "src", "dst"), (ends(uses, "Image", "image", "Command", "n"), "USES", "src", "dst"), (ends(deps, "Package", "pkg1", "Package", "pkg2"), "DEPENDS_ON", "src", "dst", props), (ends(both, "Package", "pkg1", "Package", "pkg2"), "CONFLICTS_WITH", "src", "dst"))
+    return v, e
+
+
 def endpoints(e, v):
     """Edges with the names of both ends; edges to what is no vertex go."""
     s, d = v.select(F.col("id").alias("src"), F.col("name").alias("src_name")), v.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))

@@ -22,13 +22,44 @@ def prefix_itemsets(tx, least=0.5):
     return rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("prefix")).distinct().select(F.array_sort("prefix").alias("itemset"))
 
 
+def prefix_tree(tx, least=0.5):
+    """path array, n: the nodes of a batch's prefix tree, each the items from the root to it, with the transactions
+    that pass it. Items are those frequent in the batch, by descending frequency, ties as they stand."""
+    often = item_counts(tx, least).select("item", "n")
+    each = tx.select("tx_id", F.posexplode("items").alias("pos", "item")).join(often, "item")
+    rows = each.groupBy("tx_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "pos", "item"))), lambda x: x["item"]).alias("path"))
+    return rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grown_tree(store, batch, least=0.5, version=None):
+    """path, n: the tree of a store (streaming.PatternStore) with a batch taken in; the nodes are its patterns.
+
+    A tree is an upsert of its nodes, keyed by path: no batch is read twice and a repeated version is void.
+    """
+    new = prefix_tree(batch, least).select(F.to_json("path").alias("pattern"), F.col("n").alias("support"))
+    got = store.upsert(new, version).scan()
+    return got.select(F.from_json("pattern", "array<string>").alias("path"), F.col("support").alias("n"))
+
+
+def tree_itemsets(tree):
+    """itemset: a sorted set for each node of a tree; two paths of the same items are two rows."""
+    return tree.select(F.array_sort("path").alias("itemset"))
+
+
+def updated_sets(itemsets, tree):
+    """The multiset of itemsets after an update: those of the grown tree are added, single items go."""
+    return itemsets.unionByName(tree_itemsets(tree)).where(F.size("itemset") >= 2)
+
+
 def rules(itemsets, confidence=0.5, lift=1.0):
     """itemsets(itemset) (a multiset) -> antecedent, consequent, support, confidence, lift.
 
     Support of a set is the share of the itemsets that hold it. Sides are all proper subsets, by
     a bit mask over the set, so an itemset must have at most 20 items.
     """
-    n = itemsets.count()
+    n, longest = itemsets.agg(F.count(F.lit(1)), F.max(F.size("itemset"))).first()
+    if (longest or 0) > 20:
+        raise ValueError(f"an itemset of {longest} items has too many subsets: mine shorter ones")
     wide = itemsets.where(F.size("itemset") >= 2)
     masks = F.explode(F.expr("sequence(1L, shiftleft(1L, size(itemset)) - 2)"))
     side = lambda bit: F.expr(f"filter(transform(itemset, (x, i) -> CASE WHEN (shiftright(mask, i) & 1) = {bit} THEN x END), x -> x IS NOT NULL)")

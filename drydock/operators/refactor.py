@@ -97,6 +97,87 @@ def shares(instr, threshold=0.0):
     return n.join(total, F.col("type").eqNullSafe(F.col("t"))).withColumn("share", share).where(F.col("share") >= threshold).select("type", "content", "share")
 
 
+def bags(texts):
+    """content, bag: the words of each text with their counts, sorted: its sparse count vector."""
+    w = texts.select("content", F.filter(F.split("content", r"\s+"), lambda x: x != "").alias("w"))
+    return w.select("content", F.transform(F.array_sort(F.array_distinct("w")), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("n"))).alias("bag"))
+
+
+def _squared(a, b):
+    """Squared Euclidean distance of two bags (map columns)."""
+    words = F.array_union(F.map_keys(a), F.map_keys(b))
+    gap = lambda w: F.coalesce(F.try_element_at(a, w), F.lit(0)) - F.coalesce(F.try_element_at(b, w), F.lit(0))
+    return F.aggregate(F.transform(words, lambda w: gap(w) * gap(w)), F.lit(0), lambda s, x: s + x)
+
+
+def bag_pairs(bag, eps):
+    """a, b: the ids of other bags within Euclidean distance eps of each of bag(id, bag).
+
+    Bags that near differ in eps^2 words at most, so of each the eps^2 + 1 rarest (word, count) elements find all
+    partners by an inverted index, but for bags that short altogether: those meet under an element of their own.
+    """
+    most = int(eps * eps)
+    each = bag.select("id", F.explode("bag").alias("x"))
+    rare = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    order = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "x"))), 1, most + 1), lambda r: r["x"])
+    heads = each.join(rare, "x").groupBy("id").agg(order.alias("xs")).select("id", F.explode("xs").alias("x"))
+    short = bag.where(F.size("bag") <= most).select("id", F.struct(F.lit("").alias("word"), F.lit(0).alias("n")).alias("x"))
+    heads = heads.unionByName(short)
+    pair = heads.select(F.col("id").alias("a"), "x").join(heads.select(F.col("id").alias("b"), "x"), "x").where("a <> b").select("a", "b").distinct()
+    of = lambda c: bag.select(F.col("id").alias(c), F.map_from_entries("bag").alias(f"m_{c}"))
+    return pair.join(of("a"), "a").join(of("b"), "b").where(_squared(F.col("m_a"), F.col("m_b")) <= eps * eps).select("a", "b")
+
+
+def run_clusters(texts, eps=0.5, least=5):
+    """content, n, share, cluster, center: texts(content) clustered by their words (DBSCAN over count vectors).
+
+    Equal bags of words are one point with a weight: copies cost nothing. cluster is the least content among its core
+    bags, null for noise; center the content of least mean distance to the texts of its cluster, ties to the
+    least; share is of all texts. Empty and null contents are the bag of no words.
+    """
+    from . import vectors
+
+    known = texts.select(F.coalesce("content", F.lit("")).alias("content"))
+    counted = cut(bags(known.groupBy("content").agg(F.count(F.lit(1)).alias("n"))).join(known.groupBy("content").agg(F.count(F.lit(1)).alias("n")), "content"))
+    total = known.count()
+    point = cut(counted.groupBy("bag").agg(F.min("content").alias("id"), F.sum("n").alias("weight")))
+    near = cut(bag_pairs(point, eps))
+    weight = point.select(F.col("id").alias("b"), "weight")
+    around = near.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("w"))
+    core = cut(point.join(around, "id", "left").where(F.col("weight") + F.coalesce("w", F.lit(0)) >= least).select(F.col("id").alias("vec_id")))
+    link = near.join(core.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(core.withColumnRenamed("vec_id", "b"), "b", "left_semi")
+    lab = cut(vectors.connected(core, link).withColumnRenamed("c", "cluster"))
+    edge = near.join(lab.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("vec_id")).agg(F.min("cluster").alias("cluster")).join(core, "vec_id", "left_anti")
+    member = cut(point.join(lab.unionByName(edge).withColumnRenamed("vec_id", "id"), "id").select("id", "bag", "weight", "cluster"))
+    center = _centers(member)
+    got = counted.join(point.select("id", F.col("bag").alias("same")), F.col("bag") == F.col("same")).join(member.select("id", "cluster"), "id", "left").join(center, "cluster", "left")
+    return got.select("content", "n", (F.col("n") / F.lit(total)).alias("share"), "cluster", "center")
+
+
+def _centers(member):
+    """cluster, center of member(id, bag, weight, cluster): sums of distances leave each pair of blocks, not pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from . import blocks
+
+    rows = member.select(F.xxhash64("id").alias("vec_id"), "id", "bag", "weight", F.col("cluster").alias("tag"))
+
+    def reduce(a, b):
+        bags_ = [[{x["word"]: x["n"] for x in bag} for bag in t["bag"].to_pylist()] for t in (a, b)]
+        words = {w: i for i, w in enumerate(sorted({w for side in bags_ for m in side for w in m}))}
+        x, y = (np.zeros((len(side), len(words))) for side in bags_)
+        for m, side in zip((x, y), bags_):
+            for i, bag in enumerate(side):
+                for w, n in bag.items():
+                    m[i, words[w]] = n
+        weight = b["weight"].to_numpy()
+        return pa.table({"cluster": a["tag"], "id": a["id"], "total": pa.array([float((d * weight).sum()) for _, d in blocks.distances(x, y)])})
+
+    got = blocks.met(rows, rows, "cluster string, id string, total double", reduce, 500, "tag").groupBy("cluster", "id").agg(F.round(F.sum("total"), 9).alias("total"))
+    return got.groupBy("cluster").agg(F.min_by("id", F.struct("total", "id")).alias("center"))
+
+
 def rendered(instr, key="doc_id"):
     """key, text: the instructions of a document in their order."""
     return instr.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type", "content"))), lambda x: F.concat_ws(" ", x["type"], x["content"])), "\n").alias("text"))

@@ -187,6 +187,79 @@ def write_graph(vertices, edges, path):
     edges.write.mode("overwrite").parquet(os.path.join(path, "edges"))
 
 
+def violations(vertices, edges):
+    """problem, key: ids that several vertices of a label bear, edges that repeat, and edges whose ends are no vertices."""
+    twice = lambda d, *k: d.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("repeated").alias("problem"), F.concat_ws(" ", *k).alias("key"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(vertices.select("id"), "id", "left_anti").select(F.lit("no vertex").alias("problem"), F.col("id").alias("key"))
+    return twice(vertices, "label", "id").unionByName(twice(edges, "src", "dst", "type")).unionByName(ends)
+
+
+def replace_graph(vertices, edges, path):
+    """A property graph as a new version under `path`, taken up as a whole: returns its number.
+
+    Both tables are written aside, checked (an error names a violation) and marked; readers take the last marked
+    version. Then older ones and what lost writers left are wiped. A repeated call does the same again.
+    """
+    spark = vertices.sparkSession
+    fs, root = _fs(spark, path)
+    to = max([v for v, _ in _versions(spark, path)], default=0) + 1
+    at = f"{path}/v{to}"
+    for name, d in (("vertices", vertices), ("edges", edges)):
+        d.write.mode("overwrite").parquet(f"{at}/{name}")
+    bad = violations(*(spark.read.parquet(f"{at}/{n}") for n in ("vertices", "edges"))).limit(1).collect()
+    if bad:
+        fs.delete(_path(spark, at), True)
+        raise ValueError(f"{bad[0]['problem']}: {bad[0]['key']}")
+    fs.create(_path(spark, f"{at}/_COMMITTED"), True).close()
+    for v, _ in _versions(spark, path):
+        if v < to:
+            fs.delete(_path(spark, f"{path}/v{v}"), True)
+    return to
+
+
+def read_graph(spark, path):
+    """vertices, edges of the last whole version."""
+    whole = [v for v, done in _versions(spark, path) if done]
+    if not whole:
+        raise FileNotFoundError(f"no whole graph under {path}")
+    return tuple(spark.read.parquet(f"{path}/v{max(whole)}/{n}") for n in ("vertices", "edges"))
+
+
+def _path(spark, path):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark, path):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration()), _path(spark, path)
+
+
+def _versions(spark, path):
+    """(number, whether marked as whole) of the versions under a path."""
+    fs, root = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return [(int(n[1:]), fs.exists(_path(spark, f"{path}/{n}/_COMMITTED"))) for n in names if n[:1] == "v" and n[1:].isdigit()]
+
+
+def send_graph(vertices, edges, connect, rows=1000):
+    """MERGEs vertices and then edges into a store by a callable of the caller's own: connect() gives, in each task,
+    run(kind, rows) with lists of dicts of one label or type. Merging makes a repeated task harmless."""
+    def send(kind, field):
+        def part(it):
+            run, held = connect(), {}
+            for r in it:
+                d = r.asDict(True)
+                group = held.setdefault(d[field], [])
+                group.append(d)
+                if len(group) >= rows:
+                    run(f"{kind}:{d[field]}", held.pop(d[field]))
+            for k, group in held.items():
+                run(f"{kind}:{k}", group)
+        return part
+
+    vertices.foreachPartition(send("vertex", "label"))
+    edges.foreachPartition(send("edge", "type"))
+
+
 def merge_statements(vertices, edges):
     """statement: one MERGE for each vertex and edge, for a graph store of the caller's own."""
     q = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))

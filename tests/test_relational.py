@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from drydock.plans import buildfiles, catalogue, registered as C, relational as R  # noqa: F401
+from drydock.plans import buildfiles, catalogue, corpora, registered as C, relational as R  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
