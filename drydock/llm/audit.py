@@ -16,6 +16,8 @@ LAST = 1 << LETTERS.index("E")
 UPPER, SIGNS, TRAIL = bytes(range(65, 91)), b"#$%&*|", bytes(range(128, 192))
 #: Bytes of text that a map task gathers before it hands its chains on.
 HOLD = 64 << 20
+#: Bytes of text for which there is a partition of hashes, where all texts differ.
+ROUTED = 64 << 20
 ROWS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
@@ -83,7 +85,8 @@ def routed_facts(records):
 def facts(docs, labels):
     """RDD of (lang, mask, rows, good, toxic) per document id; shuffles of its own for texts and for ids."""
     source = docs.select("doc_id", "text", "lang").rdd.map(tuple)
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
     known = source.mapPartitions(local_chains).repartitionAndSortWithinPartitions(n, lambda h: h % n).mapPartitions(routed_facts)
     alone, named = known.filter(lambda kv: kv[0] is None), known.filter(lambda kv: kv[0] is not None)
     marks = labels.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))).rdd.map(lambda r: (r[0], (r[1], r[2])))
