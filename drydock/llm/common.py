@@ -61,7 +61,7 @@ def sums_before(totals, at, value, by=(), block=1024):
     """totals with `before`: the sum of `value` over rows of the same `by` whose `at` (long, from 0) is smaller.
 
     Two levels: sums within blocks of `block` places, then over the blocks. No window sorts more than
-    `block` rows of a key, or one row for each of its blocks.
+    `block` rows of a key, or one row for each of its blocks, and nothing is broadcast.
     """
     t = totals.withColumn("_block", F.floor(F.col(at) / block))
     ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
@@ -69,4 +69,4 @@ def sums_before(totals, at, value, by=(), block=1024):
     blocks = blocks.select(*[F.col(c).alias(f"_{c}") for c in (*by, "_block")], ahead(W.partitionBy(*by).orderBy("_block"), "_sum").alias("_ahead"))
     within = t.withColumn("_within", ahead(W.partitionBy(*by, "_block").orderBy(at), value))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "_block")])
-    return within.join(blocks, same).select(*totals.columns, (F.col("_within") + F.col("_ahead")).alias("before"))
+    return within.join(blocks.hint("shuffle_hash"), same).select(*totals.columns, (F.col("_within") + F.col("_ahead")).alias("before"))
