@@ -140,7 +140,7 @@ def ranked(rows, group, order, ties, at_most=None):
     places = lambda a, b: F.explode(F.sequence(a, b))
     out = row.where(F.col("n") <= CHUNK).select(*inner, places(F.col("lo") + 1, till).alias("pos"), "tied")
     if at_most is None or at_most > CHUNK:
-        piece = row.where(F.col("n") > CHUNK).select(*inner, "lo", till.alias("till"), "tied", F.explode(F.expr(f"sequence(lo, till - 1, {CHUNK}L)")).alias("a"))
+        piece = row.where(F.col("n") > CHUNK).withColumn("till", till).select(*inner, "lo", "till", "tied", F.explode(F.expr(f"sequence(lo, till - 1, {CHUNK}L)")).alias("a"))
         out = out.unionByName(piece.repartition("a").select(*inner, places(F.col("a") + 1, F.least(F.col("a") + CHUNK, F.col("till"))).alias("pos"), "tied"))
     else:
         out = out.unionByName(row.where(F.col("n") > CHUNK).select(*inner, places(F.col("lo") + 1, till).alias("pos"), "tied"))
