@@ -1,7 +1,9 @@
 """License scans: winnowed template fingerprints in an inverted index, then banded alignment.
 
 Null or empty texts give no row; each stretch of a document that matches a template is one
-row, so repeated notices give several; ties of overlapping matches go to more matched words.
+row, so repeated notices give several; ties of overlapping matches go to more matched words. Rows of a null or
+repeated doc_id are scanned like others; texts of any length are read whole; an empty table gives no
+rows; only doc_id and text are read, so further columns cannot clash.
 """
 import re
 from collections import Counter
@@ -25,10 +27,18 @@ TEMPLATES = {
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": _BSD + _AS_IS, "BSD-3-Clause": _BSD + _BSD3 + _AS_IS,
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "All-rights-reserved": "All rights reserved.",
 }
 WORD = re.compile(r"[^\W_]+")
+#: Words that tell licenses of one family apart: a match may neither lack one of its template nor hold another.
+TELLING = {"nc", "sa", "nd", "lesser", "library", "affero"}
+
+
+def telling(name, words):
+    """The words of a template that a match must hold: those of its name and of TELLING."""
+    return Counter(w for w in words if w in TELLING or w in {x.lower() for x in WORD.findall(name)})
 
 
 def winnow(words, k=2, window=2):
@@ -55,15 +65,17 @@ def scan(docs, templates=None, coverage=0.8, band=3):
     """doc_id, license, coverage, n_matched, begin, end (character span in the text).
 
     The band is an eighth of a template's words, `band` at least. Templates of 16 words or
-    more are found by every run of 3 words: if 4 of 5 words match, such a run is left.
+    more are found by winnowed runs of 3 words: if 4 of 5 words match, a run of 4 is left, and of the two
+    runs of 3 in it one is kept. What coverage leaves open, the words that tell licenses apart decide.
     """
     words = {(n, i): [w.lower() for w in WORD.findall(t)] for n, ts in (templates or TEMPLATES).items() for i, t in enumerate([ts] if isinstance(ts, str) else ts)}
     index, bands = {}, {n: max(band, len(w) // 8) for n, w in words.items()}
     for n, w in words.items():
-        for h, at in winnow(w, 3, 1) if len(w) >= 16 else winnow(w):
+        for h, at in winnow(w, 3, 2) if len(w) >= 16 else winnow(w):
             index.setdefault(h, []).append((n, -at))
     first = {w for ws in words.values() for w in ws}
     bags = {n: Counter(w) for n, w in words.items()}
+    own = {n: telling(n[0], w) for n, w in words.items()}
 
     def run(batches):
         import pyarrow as pa
@@ -88,7 +100,9 @@ def scan(docs, templates=None, coverage=0.8, band=3):
                             continue  # no alignment matches more words than both have
                         m, x, y = aligned(doc, j - i, w, k)
                         if m >= coverage * len(w):
-                            found[n, x, y] = m
+                            here = Counter(doc[x:y + 1])
+                            if all(here[k] >= c for k, c in own[n].items()) and not any(here[k] > own[n][k] for k in TELLING):
+                                found[n, x, y] = m
                 base = len(rows)  # overlaps count within this row of the table only
                 for (n, x, y), m in sorted(found.items(), key=lambda f: (-f[1], len(words[f[0][0]]), f[0])):
                     if not any(places[x][0] < r[5] and r[4] < places[y][1] for r in rows[base:]):
