@@ -1,6 +1,7 @@
 """Shared helpers: shared-folder tables, safe column names, Arrow batches."""
 import gc
 import os
+import re
 import uuid
 from functools import reduce
 
@@ -70,3 +71,22 @@ def sums_before(totals, at, value, by=(), block=1024):
     within = t.withColumn("_within", ahead(W.partitionBy(*by, "_block").orderBy(at), value))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "_block")])
     return within.join(blocks.hint("shuffle_hash"), same).select(*totals.columns, (F.col("_within") + F.col("_ahead")).alias("before"))
+
+
+#: Names of the files that Spark writes: the number of the task, and of the file where a task writes several.
+PART = re.compile(r"^part-(\d+)-[^.]*-c(\d+)\..*parquet$")
+
+
+def numbered(df, name):
+    """df with a row number that no later reading changes: (number, row of the file) in one long, exact.
+
+    Of files that Spark wrote the number is in their names and the place in a file is known to its reader, so
+    nothing moves when executors come and go; any other table is written once with a number.
+    """
+    plain = df._jdf.queryExecution().analyzed().children().isEmpty()  # a reading of files and nothing else
+    names = [os.path.basename(f) for f in df.inputFiles()] if plain else []
+    keys = {(int(m[1]), int(m[2])) for m in map(PART.match, names) if m}
+    if names and len(keys) == len(names) and max(keys)[0] < 2**20 and max(c for _, c in keys) < 2**7:
+        got = lambda k: F.regexp_extract("_metadata.file_name", PART.pattern, k).cast("long")
+        return df.select("*", (F.shiftleft(got(1), 43) + F.shiftleft(got(2), 36) + F.col("_metadata.row_index")).alias(name))
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
