@@ -210,10 +210,15 @@ def lint_repaired(docs, findings):
     return docs.join(rule, "doc_id", "left").withColumn("text", F.array_join(F.transform(F.split("text", "\n"), fix), "\n")).drop("rules")
 
 
+def scored(candidates):
+    """candidates(entities, conflicts, ...) with score: entities less twice the conflicts; null arrays count as empty."""
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    return candidates.withColumn("score", size("entities") - 2 * size("conflicts"))
+
+
 def ranked(candidates):
-    """candidates(grp, pos, entities, conflicts) with score and rank: entities less twice the conflicts."""
-    score = F.size(F.coalesce("entities", F.array().cast("array<string>"))) - 2 * F.size(F.coalesce("conflicts", F.array().cast("array<string>")))
-    return candidates.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), "pos")))
+    """candidates(grp, pos, entities, conflicts) with score and rank within their group, ties by pos."""
+    return scored(candidates).withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), "pos")))
 
 
 def contexts(docs, rules):

@@ -70,3 +70,13 @@ def corpus_graph(t, spark):
     path = os.path.join(shared_dir(spark), f"drydock-graph-{uuid.uuid4().hex}")
     files.replace_graph(v, e, path)
     return files.read_graph(spark, path)[1].select("src", "dst", "type", F.round(F.try_element_at("props", F.lit("confidence")).cast("double"), 6).alias("confidence"))
+
+
+@query("""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array('apt  install -y ' || p_name || ' ' || lower(p_type), ' +'), lambda x: NOT starts_with(x, '-') AND x <> 'install') AS w FROM part)
+SELECT p_partkey, array_to_string(w, ',') AS words, list_filter(w, lambda x: length(x) > 5)[1] AS first FROM w""")
+def install_words(t, spark):
+    """What an install command names, and the first long name of it."""
+    text = F.concat(F.lit("  apt  install -y "), "p_name", F.lit(" "), F.lower("p_type"))
+    w = t("part").select("p_partkey", relations.install_arguments(relations.package_words(text)).alias("w"))
+    return w.select("p_partkey", F.array_join("w", ",").alias("words"), relations.first_match(F.col("w"), lambda x: F.length(x) > 5).alias("first"))
+
