@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from drydock.functions.storage import shared_dir
-from drydock.operators import graph, mining, refactor, relations
+from drydock.operators import entity_index, graph, mining, refactor, relations
 from drydock.plans.catalogue import _items
 from drydock.plans.registered import query
 from drydock.sources import files
@@ -80,3 +80,19 @@ def install_words(t, spark):
     w = t("part").select("p_partkey", relations.install_arguments(relations.package_words(text)).alias("w"))
     return w.select("p_partkey", F.array_join("w", ",").alias("words"), relations.first_match(F.col("w"), lambda x: F.length(x) > 5).alias("first"))
 
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type || ' s' || p_size), ' +'), lambda x: x <> '') AS w FROM part),
+h AS (SELECT id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 64) AS h FROM w),
+c AS (SELECT id, list_transform(range(0, 64), lambda k: len(list_filter(h, lambda x: x = k))::DOUBLE) AS c FROM h),
+s AS (SELECT q.id AS query_id, r.id, round(list_dot_product(q.c, r.c) / (sqrt(list_dot_product(q.c, q.c)) * sqrt(list_dot_product(r.c, r.c))), 9) AS score FROM c q JOIN c r ON q.id <> r.id WHERE q.id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM s QUALIFY rank <= 5""")
+def entity_search(t, spark):
+    """Parts as entities in a stored index, built of half of them and grown by the rest: the five nearest of each part
+    whose key is divisible by 20."""
+    text = entity_index.entity_text(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type", F.concat(F.lit("s"), "p_size")))
+    e = t("part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    path = os.path.join(shared_dir(spark), f"drydock-entities-{uuid.uuid4().hex}")
+    entity_index.build(e.where("id % 2 = 0"), path)
+    entity_index.grow(e.where("id % 2 = 1"), path)
+    return entity_index.search(spark, path, e.where("id % 20 = 0"), 5, itself=False)
