@@ -186,6 +186,21 @@ def barrier_dependencies(staged_rows, deps):
     return stop.join(one, ["file_sha", "base"]).where("dep < cmdid AND (needed IS NULL OR needed >= cmdid)").select(*INSTR, "dep")
 
 
+def reordered(table):
+    """table(file_sha, cmdid, cmd_dep) with `level`, the longest way of dependencies below an instruction, and `place`, its
+    number by level and then by cmdid: nothing stands before what it depends on.
+
+    Dependencies lead to smaller cmdids, so one fold over a file's instructions in order gives all levels.
+    """
+    rows = table.groupBy("file_sha").agg(F.array_sort(F.collect_list(F.struct("cmdid", "cmd_dep"))).alias("i"))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
+    below = lambda env, deps: F.coalesce(F.array_max(F.transform(deps, lambda d: F.try_element_at(env, d))) + 1, F.lit(0))
+    step = lambda env, x: F.map_concat(env, F.map_from_arrays(F.array(x["cmdid"]), F.array(below(env, x["cmd_dep"]))))
+    each = rows.select("file_sha", F.explode(F.aggregate("i", none, step)).alias("cmdid", "level"))
+    order = W.partitionBy("file_sha").orderBy("level", "cmdid")
+    return table.join(each.withColumn("place", F.row_number().over(order) - 1), INSTR)
+
+
 def dependency_table(node, install_rules, file_rules, names, strict=False):
     """file_sha, cmdid, type, cmd_dep, install_pkg, used_pkg, file_relate of all instructions of a node table.
 

@@ -20,6 +20,13 @@ def fitted(array, length, pad="<pad>"):
     return F.concat(F.slice(array, 1, length), F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(array), F.lit(0))))
 
 
+def united(**corpora):
+    """The rows of several corpora with `corpus`, the name of the one they come from; columns that one lacks are null."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("corpus", F.lit(k)) for k, d in corpora.items()])
+
+
 def token_counts(docs):
     """token, n over all documents."""
     return docs.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

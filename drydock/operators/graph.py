@@ -82,6 +82,42 @@ def subgraph(e, v, roots, depth=2):
     return v.join(hop, "id"), e.join(hop.where(F.col("depth") < depth).select(F.col("id").alias("src")), "src", "left_semi")
 
 
+def in_degree(e):
+    """dst, n: how many edges lead to each node that one leads to."""
+    return e.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reached(e, roots, depth=2):
+    """grp, id, depth: k_hop for the roots(grp, id) of many groups at once, each group with what it has seen itself."""
+    step = e.select("src", "dst").distinct()
+    seen = roots.select("grp", "id", F.lit(0).alias("depth")).distinct()
+    front = seen
+    for k in range(1, depth + 1):
+        if k > 2:
+            front, seen = cut(front), cut(seen)
+        on = (F.col("grp") == F.col("g")) & (F.col("to") == F.col("i"))
+        new = front.join(step, F.col("id") == F.col("src")).select("grp", F.col("dst").alias("to")).distinct().join(seen.select(F.col("grp").alias("g"), F.col("id").alias("i")), on, "left_anti")
+        front = new.select("grp", F.col("to").alias("id"), F.lit(k).alias("depth"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def clarified(candidates, conflicts, e, depth=2):
+    """The answer to each request: candidates(grp, pos, text) of build texts -> their ranking (grp, pos, score, rank) and,
+    for the best of each, the nodes (grp, id, depth) that edges reach from what it names.
+
+    A candidate scores its entities less twice those in conflicts(src, dst) with another of its own.
+    """
+    from . import refactor, relations
+
+    c = cut(candidates.select("grp", "pos", F.concat_ws(":", F.col("grp").cast("string"), F.col("pos").cast("string")).alias("doc_id"), "text"))
+    named = cut(c.select("grp", "pos", "doc_id").join(refactor.entities(c.select("doc_id", "text")), "doc_id", "left"))
+    against = relations.conflicts(conflicts, named.select(F.col("doc_id").alias("grp"), F.explode("entities").alias("id"))).groupBy(F.col("grp").alias("doc_id")).agg(F.collect_list("src").alias("conflicts"))
+    order = cut(refactor.ranked(named.join(against, "doc_id", "left")))
+    roots = order.where("rank = 1").select("grp", F.explode("entities").alias("id"))
+    return order.select("grp", "pos", "score", "rank"), reached(e, roots, depth)
+
+
 def levels(e):
     """id, level: length of the longest path of edges (src depends on dst) below each node; rows of a
     cycle have none. A level is final once all that a node depends on has one; there are as many rounds as levels."""

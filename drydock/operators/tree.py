@@ -93,6 +93,16 @@ def holds(node, types, key="file_sha"):
     return node.groupBy(key).agg(F.bool_or(on).alias("any"), F.bool_and(on).alias("all"))
 
 
+def report(node, types=("UNKNOWN",), apart=()):
+    """file_sha of the documents that hold a node of the types, some of them apart."""
+    return holds(node, types).where(F.col("any") & ~F.col("file_sha").isin(*apart)).select("file_sha")
+
+
+def lookup(docs, sha):
+    """The first document of a file_sha: the filter reaches the files, the search ends at the first row."""
+    return docs.where(F.col("file_sha") == sha).limit(1)
+
+
 def tokens(node):
     """file_sha, tokens: `@@type@@` and `@@value@@` in pre-order."""
     mark = lambda c: F.concat(F.lit("@@"), c, F.lit("@@"))

@@ -3,7 +3,7 @@
 Each row becomes an instruction whose kind and names hang on its values, so the oracles work from the
 tables by other means: windows and joins in SQL.
 """
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from drydock.operators import buildgraph, symbols, tree
 from drydock.plans.registered import query
@@ -92,6 +92,20 @@ def stage_dependencies(t, spark):
     return _deps(_files(t("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], of.otherwise(_run(_node("SC-MKDIR", _listed("SC-MKDIR-PATH", two))))), spark)
 
 
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS f, l_partkey AS p, l_suppkey AS s, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER AS i FROM lineitem),
+d AS (SELECT DISTINCT a.f, a.i, b.i AS d FROM l a JOIN l b ON a.f = b.f AND b.i < a.i AND (b.p % 7 = a.s % 7 OR b.i = a.i - 1 - a.p % 3)),
+r AS (SELECT f, i, 0 AS level FROM l UNION SELECT d.f, d.i, r.level + 1 FROM r JOIN d ON d.f = r.f AND d.d = r.i), m AS (SELECT f, i, max(level)::INTEGER AS level FROM r GROUP BY f, i)
+SELECT f::VARCHAR AS file_sha, i AS cmdid, level, (row_number() OVER (PARTITION BY f ORDER BY level, i) - 1)::INTEGER AS place FROM m""")
+def reordered(t, spark):
+    """The lines of each order as instructions that rest on earlier ones: in the order of their levels."""
+    at = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    l = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.row_number().over(at) - 1).alias("cmdid"))
+    earlier = W.partitionBy("l_orderkey").orderBy("cmdid").rowsBetween(W.unboundedPreceding, -1)
+    l = l.withColumn("before", F.collect_list(F.struct("cmdid", "l_partkey")).over(earlier))
+    dep = F.transform(F.filter("before", lambda b: (b["l_partkey"] % 7 == F.col("l_suppkey") % 7) | (b["cmdid"] == F.col("cmdid") - 1 - F.col("l_partkey") % 3)), lambda b: b["cmdid"])
+    return buildgraph.reordered(l.select(F.col("l_orderkey").cast("string").alias("file_sha"), "cmdid", dep.alias("cmd_dep"))).select("file_sha", "cmdid", "level", "place")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_size % 5 AS i, p_partkey % 6 AS j, lower(p_type) AS a, p_brand AS b FROM part),
 x AS (SELECT *, CASE i WHEN 4 THEN [a] WHEN 3 THEN ['install', a] ELSE [a, b] END AS own FROM p)
 SELECT p_partkey::VARCHAR AS file_sha, array_to_string(list_sort(CASE i WHEN 3 THEN [a] WHEN 4 THEN [] ELSE list_distinct([a, b]) END), ',') AS install_pkg,

@@ -107,7 +107,8 @@ def interval_creator(t, spark):
 
 @query("SELECT creator, count(*) AS n FROM (SELECT event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS creator FROM events) z WHERE event_type <> 'view' AND creator IS NOT NULL GROUP BY creator")
 def in_degree(t, spark):
-    return last_creator(t, spark).where("creator IS NOT NULL").groupBy("creator").agg(F.count(F.lit(1)).alias("n"))
+    e = last_creator(t, spark).where("creator IS NOT NULL").select(F.col("event_id").alias("src"), F.col("creator").alias("dst"))
+    return graph.in_degree(e).withColumnRenamed("dst", "creator")
 
 
 @query("SELECT 'n' || n_nationkey AS id, 1::INTEGER AS level FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, 0 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 's' || s_suppkey, 2 FROM supplier")

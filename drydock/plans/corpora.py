@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from drydock.functions.storage import shared_dir
-from drydock.operators import entity_index, graph, mining, refactor, relations
-from drydock.plans.catalogue import _items
+from drydock.operators import corpus, entity_index, graph, mining, refactor, relations, tree
+from drydock.plans.catalogue import _items, _trees
 from drydock.plans.registered import query
 from drydock.sources import files
 from drydock.streaming.incremental import PatternStore
@@ -96,3 +96,38 @@ def entity_search(t, spark):
     entity_index.build(e.where("id % 2 = 0"), path)
     entity_index.grow(e.where("id % 2 = 1"), path)
     return entity_index.search(spark, path, e.where("id % 20 = 0"), 5, itself=False)
+
+
+_PART = """p AS (SELECT p_brand AS grp, p_partkey AS pos, p_size AS z, 'package:' || lower(p_type) AS a, 'package:' || string_split(p_name, ' ')[1] AS b, 'package:' || string_split(p_name, ' ')[2] AS c, 'image:repo' || (p_size % 4) AS i FROM part),
+x AS (SELECT grp, pos, list_distinct([a, b, c, i]) AS n FROM p), k AS (SELECT DISTINCT a AS s, c AS d FROM p WHERE z % 25 = 7), e AS (SELECT DISTINCT a AS s, b AS d FROM p WHERE z % 10 = 0 UNION SELECT DISTINCT b, c FROM p WHERE z % 10 = 5),
+r AS (SELECT grp, pos, score, row_number() OVER (PARTITION BY grp ORDER BY score DESC, pos)::INTEGER AS rank FROM (SELECT grp, pos, (len(n) - 2 * (SELECT count(DISTINCT k.s) FROM k WHERE list_contains(x.n, k.s) AND list_contains(x.n, k.d)))::INTEGER AS score FROM x) z)"""
+
+
+def _clarified(t):
+    word = lambda i: F.concat(F.lit("package:"), F.get(F.split("p_name", " "), F.lit(i)))
+    kind, part = F.concat(F.lit("package:"), F.lower("p_type")), t("part")
+    text = F.concat(F.lit("FROM repo"), (F.col("p_size") % 4).cast("string"), F.lit(":1\nRUN apt-get install -y "), F.lower("p_type"), F.lit(" "), "p_name")
+    pairs = lambda d, a, b: d.select(a.alias("src"), b.alias("dst")).distinct()
+    e = pairs(part.where("p_size % 10 = 0"), kind, word(0)).unionByName(pairs(part.where("p_size % 10 = 5"), word(0), word(1)))
+    return graph.clarified(part.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("pos"), text.alias("text")), pairs(part.where("p_size % 25 = 7"), kind, word(1)), e)
+
+
+@query(f"WITH {_PART} SELECT * FROM r")
+def clarified_ranking(t, spark):
+    """Each brand as a request, its parts as candidates: scores and ranks."""
+    return _clarified(t)[0]
+
+
+@query(f"""WITH {_PART}, n AS (SELECT grp, unnest(n) AS id FROM x JOIN r USING (grp, pos) WHERE rank = 1), h AS (SELECT grp, id, 0 AS depth FROM n UNION ALL SELECT grp, e.d, 1 FROM n JOIN e ON e.s = n.id UNION ALL SELECT grp, f.d, 2 FROM n JOIN e ON e.s = n.id JOIN e f ON f.s = e.d)
+SELECT grp, id, min(depth)::INTEGER AS depth FROM h GROUP BY grp, id""")
+def clarified_subgraph(t, spark):
+    """What the best candidate of each brand names, and what that leads to."""
+    return _clarified(t)[1]
+
+
+@query("""SELECT 'region' AS corpus, r_regionkey::VARCHAR AS file_sha FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name < 'NATION_13' AND n_regionkey <> 0)
+UNION ALL SELECT 'copy', r_regionkey::VARCHAR FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name < 'NATION_13' AND n_regionkey <> 0)""")
+def united_report(t, spark):
+    """The documents of two corpora that hold a nation before NATION_13, the first region apart."""
+    of = lambda: tree.nodes(_trees(t)).withColumn("type", F.when(F.col("leaf") & (F.col("type") < "NATION_13"), "UNKNOWN").otherwise(F.col("type")))
+    return corpus.united(region=tree.report(of(), apart=["0"]), copy=tree.report(of(), apart=["0"]))

@@ -103,3 +103,19 @@ def test_sent_graphs(spark, tmp_path):
     import json
     got = Counter(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() for _ in json.loads(p.read_text()))
     assert got == {"vertex-Image": 3, "vertex-Command": 1, "edge-BASED_ON": 2, "edge-USES": 1}
+
+
+def test_reordered(spark):
+    """Nothing stands before what it depends on; instructions of one level keep their order."""
+    from drydock.operators import buildgraph
+    t = spark.createDataFrame([("f", 0, []), ("f", 1, [0]), ("f", 2, [1]), ("f", 3, [0]), ("f", 4, [2, 3]), ("g", 0, None), ("g", 1, [])], "file_sha string, cmdid int, cmd_dep array<int>")
+    assert sorted(rows(buildgraph.reordered(t).select("file_sha", "place", "cmdid", "level"))) == [("f", 0, 0, 0), ("f", 1, 1, 1), ("f", 2, 3, 1), ("f", 3, 2, 2), ("f", 4, 4, 3), ("g", 0, 0, 0), ("g", 1, 1, 0)]
+
+
+def test_clarified(spark):
+    """Two requests: conflicts cost twice, ties keep their order, a candidate that names nothing counts 0, cycles end."""
+    f = spark.createDataFrame
+    c = f([(1, 0, "FROM a:1\nRUN apt-get install -y x y"), (1, 1, "FROM a\nRUN apt-get install z"), (1, 2, None), (2, 0, ""), (2, 1, "no build file")], "grp int, pos int, text string")
+    ranking, nodes = graph.clarified(c, f([("package:x", "package:y"), ("package:y", "package:z")], "src string, dst string"), f([("package:z", "package:q"), ("package:q", "package:z"), ("package:q", "image:s"), ("image:s", "image:t")], "src string, dst string"), 2)
+    assert rows(ranking) == [(1, 0, 1, 2), (1, 1, 2, 1), (1, 2, 0, 3), (2, 0, 0, 1), (2, 1, 0, 2)]
+    assert rows(nodes) == [(1, "image:a", 0), (1, "image:s", 2), (1, "package:q", 1), (1, "package:z", 0)]
