@@ -8,8 +8,10 @@ empty table gives no rows; further columns are not read.
 
 Queries are grouped by the cell of their nearest pivot. For a cell of pivot p whose queries lie
 within R of p, any row x has p.x - R|x| <= q.x <= p.x + R|x|: the (k+1)-th largest lower bound of
-rows of different ids is a floor for the k-th score of every query of the cell, and only rows
-whose upper bound reaches it travel there.
+rows of different ids is a floor for the k-th score of every query of the cell. Data are grouped by
+the cell of their nearest pivot as well: a summary of each data cell (radius, greatest norm) bounds what any
+row of it can score, so pairs of cells that cannot reach the floor go whole; in the others only rows whose own
+upper bound reaches it travel.
 """
 import numpy as np
 import pyarrow as pa
@@ -81,23 +83,50 @@ def floors(d, P, radius, k):
     return {r["cell"]: r["low"] if r["n"] > k else -np.inf for r in got}  # k + 1 ids: the query's own may be one
 
 
-def routed(d, P, radius, floor, group):
-    """Adds the groups of queries that a row may be among the best of."""
-    cells, at = sorted(radius), sorted(set(group.values()))
+def reachable(P, data, radius, floor):
+    """Data cell -> the query cells that some row of it may be among the best of, from summaries alone.
+
+    data: cell -> (radius, greatest norm) of its rows. For x within r of its pivot P and q within R of p,
+    q.x <= p.x + R|x| <= p.P + |p| r + R|x|.
+    """
+    cells = sorted(radius)
     own, reach = P[cells], np.array([radius[c] for c in cells])
     least = np.array([floor.get(c, -np.inf) for c in cells])
+    norm, out = np.sqrt((own * own).sum(1)), {}
+    for c, (r, n) in data.items():
+        mid, wide = own @ P[c], norm * r + reach * n
+        out[c] = np.flatnonzero(mid + wide >= _below(least) - 1e-9 * (np.abs(mid) + wide))
+    return out
+
+
+def _below(least):
+    """A floor lowered by what rounding may cost."""
+    return least - 1e-6 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+
+
+def routed(d, P, radius, floor, group, reach_of=None):
+    """Adds the groups of queries that a row may be among the best of: cells of queries that its own cell cannot
+    reach are passed over whole, the rest decided row by row."""
+    cells, at = sorted(radius), sorted(set(group.values()))
+    own, reach = P[cells], np.array([radius[c] for c in cells])
+    least = _below(np.array([floor.get(c, -np.inf) for c in cells]))
     member = np.array([[group[c] == g for g in at] for c in cells])
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            high = _matrix(b.column("v")) @ own.T + b.column("norm").to_numpy()[:, None] * reach
-            need = (high >= least - 1e-6 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))) @ member
-            groups = [[at[j] for j in np.flatnonzero(row)] for row in need]
+            m, norm, cell = _matrix(b.column("v")), b.column("norm").to_numpy(), b.column("cell").to_numpy()
+            groups = [[]] * len(m)
+            for c in np.unique(cell).tolist():
+                row, to = np.flatnonzero(cell == c), np.arange(len(cells)) if reach_of is None else reach_of[c]
+                if len(to):
+                    high = m[row] @ own[to].T + norm[row, None] * reach[to]
+                    for i, need in zip(row.tolist(), (high >= least[to]) @ member[to]):
+                        groups[i] = [at[j] for j in np.flatnonzero(need)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(groups, pa.list_(pa.int32()))], names=["vec_id", "v", "groups"])
 
-    return d.select("vec_id", "v", "norm").mapInArrow(run, "vec_id long, v array<long>, groups array<int>")
+    return d.select("vec_id", "v", "norm", "cell").mapInArrow(run, "vec_id long, v array<long>, groups array<int>")
 
 
 def top_k(vectors, k=5, every=50, n_pivots=None, queries_per_group=1024, rows_per_task=20_000):
@@ -128,7 +157,10 @@ def top_k(vectors, k=5, every=50, n_pivots=None, queries_per_group=1024, rows_pe
             g += 1
         group[c], size[g] = g, size.get(g, 0) + s[c]["nq"]
     radius = {c: r["qr"] for c, r in s.items()}
-    rows = written(routed(d, P, radius, floors(d, P, radius, k), group), "routed")
+    floor = floors(d, P, radius, k)
+    # a summary for each cell of data, no more than pivots: pairs of cells go first, rows after
+    data = {r["cell"]: (r["r"], r["n"]) for r in d.groupBy("cell").agg(F.max("r").alias("r"), F.max("norm").alias("n")).collect()}
+    rows = written(routed(d, P, radius, floor, group, reachable(P, data, radius, floor)), "routed")
     n = {r["g"]: r["n"] for r in rows.select(F.explode("groups").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = [(g, -(-size[g] // queries_per_group), max(1, -(-n.get(g, 0) // rows_per_task))) for g in size]
     # at most one row for each pivot, so the routing tables may be broadcast
