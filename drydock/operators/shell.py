@@ -1,7 +1,7 @@
-"""Shell semantics of build files: command grammar, variables, splitting, dependencies.
+"""Shell semantics of build files: command grammar, folding, splitting of single trees.
 
-All of it is per file and ordered, so it runs as one function over one tree in an Arrow batch
-(tree.mapped_trees): a file is small, and no file waits for another.
+Small helpers that run over one tree in an Arrow batch (tree.mapped_trees). What looks across instructions works on
+node tables: rules, files and dependencies in `buildgraph`, variables in `symbols`.
 """
 import re
 
@@ -200,153 +200,6 @@ def split_runs(tree):
     return {**tree, "children": out}
 
 
-#: Install rules: command type -> child types that list packages (fixed values).
-INSTALLS = {"SC-APK-ADD": ("SC-APK-PACKAGES",), "SC-APT-GET-INSTALL": ("SC-APT-GET-PACKAGES",), "SC-GEM-INSTALL": ("SC-GEM-GEMS",), "SC-GO-GET": ("SC-GO-PACKAGES",), "SC-GO-INSTALL": ("SC-GO-PACKAGES",), "SC-NPM-INSTALL": ("SC-NPM-PACKAGES",), "SC-PIP-INSTALL": ("SC-PIP-PACKAGES",), "SC-YUM-INSTALL": ("SC-YUM-PACKAGES",)}
-#: File rules: command type -> (source types, target types, path types, last path is the target, several files).
-FILES = {
-    "SC-CURL": (("SC-CURL-URL", "SC-CURL-URLS"), ("SC-CURL-OUTPUT",), (), False, False), "SC-GIT-CLONE": (("SC-GIT-URL",), ("SC-GIT-DIRECTORY",), (), False, False),
-    "SC-WGET": (("SC-WGET-URL", "SC-WGET-URLS"), ("SC-WGET-OUTPUT-DOCUMENT",), (), False, False), "SC-MKDIR": ((), (), ("SC-MKDIR-PATHS",), True, True),
-    "SC-MV": ((), ("SC-MV-DESTINATION",), ("SC-MV-PATHS",), True, True), "SC-CP": (("SC-CP-SOURCE", "SC-CP-SOURCES"), ("SC-CP-DEST",), (), False, False),
-    "SC-TAR": (("SC-TAR-FILE",), ("SC-TAR-DIRECTORY",), (), False, False), "SC-UNZIP": (("SC-UNZIP-FILE",), ("SC-UNZIP-DIRECTORY",), (), False, False),
-}
-
-
-def values(n):
-    """Texts of the leaves below a node, in order."""
-    return [str(x["value"]) for _, x in T.walk(n) if x.get("value") not in (None, "") and not x.get("children")]
-
-
-def installed(n):
-    """Packages that a RUN installs: by the rules, or the words of an undefined command that says install."""
-    out = set()
-    for c in n.get("children") or []:
-        if c["type"] == "BASH-UNDEFINE-COMMAND":
-            words = [str(x.get("value") or "") for x in c.get("children") or [] if x["type"] == "BASH-LITERAL"]
-            out |= {w for w in words if w != "install" and not w.startswith("-")} if "install" in words else set()
-        elif c["type"].startswith("SC"):
-            for part in c.get("children") or []:
-                if part["type"] in INSTALLS.get(c["type"], ()):
-                    out |= {"".join(values(p)) for p in part.get("children") or []}
-        else:
-            out |= installed(c)
-    return out
-
-
-def used(n, grammar=None):
-    """Commands that a RUN calls: those whose grammar names the node; nothing below such a node counts."""
-    names = {}
-    for command, (_, scenarios, _) in (grammar or GRAMMAR).items():
-        for _, name, _ in scenarios:
-            names.setdefault(name, set()).add(command)
-    out = set()
-    for c in n.get("children") or []:
-        if c["type"] == "BASH-UNDEFINE-COMMAND":
-            out |= {str(c["value"])} if c.get("value") else set()
-        elif c["type"].startswith("SC"):
-            out |= names.get(c["type"], set())
-        else:
-            out |= used(c, grammar)
-    return out
-
-
-def related(n):
-    """(sources, targets) of files by the file rules; literals that look like paths count as both."""
-    if n["type"] in FILES:
-        src, dst, path, last, many = FILES[n["type"]]
-        pick = lambda types: [v for c in n.get("children") or [] if c["type"] in types for v in values(c)]
-        source, target, rest = pick(src), pick(dst), pick(path)
-        if last and not target and rest:
-            target = [rest.pop()]
-        source = rest if many else source
-        if not target and source:
-            target = [source[-1].rsplit("/", 1)[-1].replace(".git", "")]
-        return source, target
-    tags = {"ABS-FILENAME", "ABS-MAYBE-PATH"}
-    if n["type"] == "BASH-LITERAL" and tags & set(n.get("abs-type") or ()):
-        return [str(n["value"])], [str(n["value"])]
-    got = [related(c) for c in n.get("children") or []]
-    return [s for a, _ in got for s in a], [t for _, b in got for t in b]
-
-
-def placed(paths, workdir):
-    """Paths below the working directory; those that begin with ./ stay."""
-    return [p if p.startswith("./") else re.sub("/+", "/", f"{workdir}/{p}") for p in paths]
-
-
-INSTR = "file_sha string, cmdid int, type string, cmd_dep array<int>, install_pkg array<string>, used_pkg array<string>, file_relate struct<source:array<string>,target:array<string>>"
-
-
-def dependencies(sha, tree, grammar=None):
-    """Instruction rows of one file with what each depends on; arrays that stand for sets come sorted.
-
-    An instruction depends on the base (the last FROM, or the last RUN nothing is known of), a RUN
-    on the last install of each command it calls and the last maker of each file it reads, both not
-    before the base; an unknown RUN depends on everything since the base on which nothing depends yet.
-    """
-    made, packages, stages, deps, base, workdir, rows = {}, {}, [], [], 0, "./", []
-    for at, n in enumerate(tree.get("children") or []):
-        kind, kids, dep = n["type"], n.get("children") or [], set()
-        row = {"file_sha": sha, "cmdid": at, "type": kind, "install_pkg": [], "used_pkg": [], "file_relate": {"source": [], "target": []}}
-        def files(source, target):
-            row["file_relate"] = {"source": source, "target": target}
-            for p in source:
-                dep.add(max(made[p][-1], base) if p in made else base)
-            for p in target:
-                made.setdefault(p, []).append(at)
-        if kind == "DOCKER-FROM":
-            base = at
-            alias = [str(c.get("value") or literal(c)) for c in kids if c["type"].endswith("ALIAS")]
-            stages.append((alias[0] if alias else "main-stage", at))
-        elif kind == "DOCKER-RUN":
-            got, calls = sorted(installed(n)), sorted(used(n, grammar))
-            row |= {"install_pkg": got, "used_pkg": calls}
-            known = [c for _, c in T.walk(n) if c["type"].startswith("SC-") or c["type"] == "BASH-UNDEFINE-COMMAND"]
-            opaque = not known
-            if opaque:
-                targets = {d for x in deps for d in x}
-                dep = {i for i in range(base, at) if i not in targets} or {base}
-            else:
-                dep.add(base)
-                for c in calls:
-                    dep.add(packages[c] if packages.get(c, -1) > base else base)
-                source, target = related(n)
-                files(placed(source, workdir), placed(target, workdir))
-            for p in got:
-                packages[p] = at
-            base = at if opaque else base
-        elif kind in ("DOCKER-COPY", "DOCKER-ADD"):
-            dep.add(base)
-            source = [v for c in kids if c["type"].endswith("SOURCE") for v in (values(c) or [literal(c)])]
-            urls = any(g["type"].endswith("URL") for c in kids if c["type"].endswith("SOURCE") for g in c.get("children") or [])
-            target = [v for c in kids if c["type"].endswith("TARGET") for v in (values(c) or [literal(c)])]
-            origin = [str(c.get("value") or literal(c)) for c in kids if c["type"].endswith("FROM")]
-            start = next((i for i, (name, _) in enumerate(stages) if origin and name == origin[0]), None)
-            if start is not None:
-                begin, end = stages[start][1], stages[start + 1][1] if start + 1 < len(stages) else at
-                for p in source:
-                    dep.add(next((i for i in reversed(made.get(p, [])) if begin < i), end - 1))
-            names = [s.rsplit("/", 1)[-1] if urls else s for s in source]
-            where = names if len(names) > 1 else target
-            row["file_relate"] = {"source": source, "target": where}
-            for p in where:
-                made.setdefault(p, []).append(at)
-        elif kind == "DOCKER-WORKDIR":
-            workdir = literal(n) or "./"
-            dep.add(base)
-            files([workdir], [workdir])
-        else:
-            dep.add(base)
-        dep.discard(at)
-        deps.append(dep)
-        rows.append(row | {"cmd_dep": sorted(dep)})
-    return rows
-
-
-def instruction_table(docs, grammar=None):
-    """INSTR rows of docs(file_sha, ast) as (file_sha, row, error); see tree.good and tree.rejects."""
-    return T.mapped_trees(docs, lambda sha, t: dependencies(sha, t, grammar), INSTR)
-
-
 def processed(docs, grammar=None):
     """docs(file_sha, ast) with the tree enriched, variables put in, constants folded and RUNs split."""
     import json

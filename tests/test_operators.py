@@ -171,16 +171,22 @@ def test_variables_folding_splitting():
     assert shell.folded(lit("SC-APK-PACKAGE", None, lit("BASH-LITERAL", ".deps")))["type"] == "SC-APK-VIRTUAL:.deps"
 
 
-def test_dependency_inference():
+def test_dependency_inference(spark):
+    """Trees of the built-in grammar through the relational operators, barriers by the grammar's names."""
+    from drydock.operators import buildgraph
+    from drydock.sources import rules
     run = lambda *c: lit("DOCKER-RUN", None, lit("BASH-SCRIPT", None, *c))
     sc = lambda name, *args: shell.parsed(name, list(args))
     copy = lambda kind, src, dst, *more: lit(kind, None, lit(f"{kind}-SOURCE", None, lit("DOCKER-PATH", src)), lit(f"{kind}-TARGET", None, lit("DOCKER-PATH", dst)), *more)
     t = lit("DOCKER-FILE", None, lit("DOCKER-FROM", None, lit("DOCKER-IMAGE-NAME", "a"), lit("DOCKER-IMAGE-ALIAS", "build")), run(sc("apt-get", "install", "-y", "curl")), run(sc("curl", "-o", "f.tar", "http://x/f")), run(sc("tar", "-xf", "f.tar", "-C", "out")),
             run(lit("UNKNOWN")), lit("DOCKER-FROM", None, lit("DOCKER-IMAGE-NAME", "b")), copy("DOCKER-COPY", "out", "/srv", lit("DOCKER-COPY-FROM", "build")), lit("DOCKER-CMD"))
-    r = shell.dependencies("x", t)
+    own = [("curl", ["SC-CURL"], False, False, ["SC-CURL-URLS"], ["SC-CURL-OUTPUT"], []), ("tar", ["SC-TAR"], False, False, ["SC-TAR-FILE"], ["SC-TAR-DIRECTORY"], [])]
+    docs = spark.createDataFrame([("x", json.dumps(t))], "file_sha string, ast string")
+    table = buildgraph.dependency_table(tree.nodes(docs), rules.install_rules(spark), rules.file_rules(spark, own), rules.grammar_names(spark, shell.GRAMMAR), strict=True)
+    r = table.orderBy("cmdid").collect()
     assert [x["cmd_dep"] for x in r] == [[], [0], [0, 1], [0, 2], [3], [], [4, 5], [5]]
     assert r[1]["install_pkg"] == ["curl"] and r[2]["used_pkg"] == ["curl"] and r[2]["file_relate"]["target"] == ["./f.tar"]
-    assert r[3]["file_relate"] == {"source": ["./f.tar"], "target": ["./out"]} and [x["cmdid"] for x in r] == list(range(8))
+    assert r[3]["file_relate"] == (["./f.tar"], ["./out"]) and [x["cmdid"] for x in r] == list(range(8))
 
 
 def test_refactoring(spark):
