@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from drydock.functions.prefix import running_sums
+
 
 def read_jsonl(spark, path, schema=None):
     """Lines of JSON; files ending in .xz are unpacked line by line, one file a task."""
@@ -170,14 +172,34 @@ def read_npy(spark, path):
 
 
 def write_npy(vec, path):
-    """The vectors by vec_id as one .npy file: the format is one file, so rows stream through the driver in order."""
+    """The vectors by vec_id as one .npy file on a path that driver and executors share.
+
+    The driver writes the header and the file's length; each task puts its rows where their rank says, so a repeated task
+    writes the same bytes again. Ranks are running sums over ranges of vec_id. All vectors must have one length.
+    """
     import numpy as np
 
-    n, width = vec.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    m = np.lib.format.open_memmap(path, "w+", np.float32, (n, width or 0))
-    for i, r in enumerate(vec.orderBy("vec_id").select("embedding").toLocalIterator()):
-        m[i] = r["embedding"]
-    m.flush()
+    n, width, least = vec.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.min(F.size("embedding"))).first()
+    if width != least:
+        raise ValueError(f"vectors of {least} to {width} components do not make one array")
+    np.lib.format.open_memmap(path, "w+", np.float32, (n, width or 0)).flush()
+    if not n:
+        return path
+    ranked = running_sums(vec.select("vec_id", "embedding", F.lit(1).cast("long").alias("one")), [], ["vec_id"], "one")
+
+    def run(batches):
+        import pandas as pd
+        m, done = np.load(path, mmap_mode="r+"), 0
+        for b in batches:
+            if len(b):
+                m[b["before"].to_numpy()] = np.array(b["embedding"].tolist(), np.float32)
+                done += len(b)
+        m.flush()
+        yield pd.DataFrame({"n": [done]})
+
+    put = ranked.select("embedding", "before").mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
+    if put != n:
+        raise RuntimeError(f"{put} of {n} vectors were written")
     return path
 
 

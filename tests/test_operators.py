@@ -347,3 +347,24 @@ def test_annotations_and_detectors(spark):
     assert tags[(0,)] is None and tags[(0, 0)] is None and tags[(1, 0)] is None and "ABS-PATH-VAR" in tags[(2,)] and "ABS-TRUE" in tags[(2, 0)] and tags[()] is None
     got = {tuple(r["ord"]): (r["c"], r["d"]) for r in n.withColumn("c", tree.constant()).withColumn("d", tree.subtree_holds(F.col("type") == "BASH-DOLLAR-PARENS")).collect()}
     assert got[(3,)] == (True, False) and got[(3, 1)] == (True, False) and got[(4,)] == (False, True) and got[(4, 0, 0)] == (True, False) and got[()] == (False, True)
+
+
+def test_arrays_of_many_tasks(spark, tmp_path):
+    """Rows land by the rank of their id, whichever task writes them; repeated ids stand beside each other."""
+    d = spark.range(500).selectExpr("(id * 7919) % 500 AS vec_id", "array(double((id * 7919) % 500), 0.5D, -1D) AS embedding").repartition(6)
+    files.write_npy(d.unionByName(d.where("vec_id = 3")), str(tmp_path / "v.npy"))
+    m = np.load(tmp_path / "v.npy")
+    assert m.shape == (501, 3) and m[:, 0].tolist() == sorted([*range(500), 3]) and (m[:, 2] == -1).all()
+    files.write_npy(d.limit(0), str(tmp_path / "n.npy"))
+    assert np.load(tmp_path / "n.npy").shape == (0, 0)
+    with pytest.raises(ValueError):
+        files.write_npy(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), str(tmp_path / "x.npy"))
+
+
+def test_sequences_of_two_batches(spark):
+    """The two batches of the fixture and their additive upsert."""
+    db = lambda data: spark.createDataFrame(list(enumerate(data)), "seq_id long, seq array<int>")
+    of = lambda d: {"-".join(map(str, r["pattern"])): r["support"] for r in d.collect()}
+    first, second = mining.sequences(db([[1, 2, 3], [1, 3, 4, 5], [1, 2, 4], [2, 3, 5]]), 2), mining.sequences(db([[1, 2, 5], [1, 3], [2, 4, 5]]), 2)
+    assert of(first) == {"1": 3, "1-2": 2, "1-3": 2, "1-4": 2, "2": 3, "2-3": 2, "3": 3, "3-5": 2, "4": 2, "5": 2} and of(second) == {"1": 2, "2": 2, "2-5": 2, "5": 2}
+    assert of(mining.added(first, second)) == {"1": 5, "1-2": 2, "1-3": 2, "1-4": 2, "2": 5, "2-3": 2, "2-5": 2, "3": 3, "3-5": 2, "4": 2, "5": 4}
