@@ -239,17 +239,19 @@ def test_pipeline_odd_rows(spark, tmp_path):
         assert empty.columns == d.columns and empty.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_suffix_dedup", "op6_voronoi_topk", "op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_suffix_dedup", "op6_voronoi_topk", "op8_quality_rules", "op12_filter_audit", "op13_grouped_ranks"])
 def test_matches_oracle(spark, name):
     import duckdb
+    import pandas as pd
     from drydock.llm import registry
     con, folder = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "sale_lines"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     want, got = con.execute(registry.ORACLE[name]).df(), registry.QUERIES[name](spark, folder).toPandas()
     key = sorted(want.columns)
     assert sorted(got.columns) == key
-    assert sorted(map(str, got[key].itertuples(index=False, name=None))) == sorted(map(str, want[key].itertuples(index=False, name=None)))
+    plain = lambda d: sorted(str(tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) else x for x in r)) for r in d[key].astype(object).itertuples(index=False, name=None))
+    assert plain(got) == plain(want)
 
 
 def test_a_passage_of_every_document(spark):
