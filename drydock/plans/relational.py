@@ -115,6 +115,14 @@ def instruction_share(t):
     return s.select(F.col("type").alias("user_id"), F.col("content").alias("event_type"), F.round("share", 6).alias("share"))
 
 
+@operator
+def first_match(t):
+    """Of lines of one number the first in the table's files: the statement leaves them open, and no column parts them."""
+    at = F.struct(F.col("l_linenumber").isNull(), "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    l = t("lineitem").where("l_returnflag = 'R'").select("l_orderkey", at.alias("at"), F.struct("l_linenumber", "l_partkey").alias("line"))
+    return l.groupBy("l_orderkey").agg(F.min_by("line", "at").alias("line")).select("l_orderkey", "line.l_linenumber", "line.l_partkey")
+
+
 @operator
 def contains_unknown(t):
     h = tree.holds(t("lineitem").select("l_orderkey", F.col("l_returnflag").alias("type")), ["R"], "l_orderkey")
