@@ -17,3 +17,9 @@ def cut(df):
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df):
+    """Rows dealt anew over as many tasks as a shuffle has, for work that costs far more than its rows weigh in files."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))

@@ -8,6 +8,10 @@ import json
 
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import spread
+
+#: Rows that a task holds as Python objects before it passes them on, about.
+HELD = 20000
 NODE = "file_sha string, ord array<int>, parent_ord array<int>, depth int, child_pos int, type string, value string, leaf boolean"
 
 #: Value abstraction: name and pattern, searched anywhere in the value (fixed values).
@@ -42,6 +46,14 @@ def valid(node):
     return isinstance(node, dict) and all(isinstance(n, dict) and isinstance(n.get("type"), str) and isinstance(n.get("children") or [], list) and all(isinstance(c, dict) for c in n.get("children") or []) for _, n in walk(node))
 
 
+def parsed(text):
+    """The tree of a JSON text; an error where it is none."""
+    tree = json.loads(text)
+    if not valid(tree):
+        raise ValueError("not a tree of {type, children}")
+    return tree
+
+
 def mapped_trees(docs, func, schema, column="ast"):
     """docs(file_sha, ast JSON) -> the rows that func(file_sha, tree) yields and, with ok = false, the
     rejects: a struct column `row` of `schema`, and `error`. A failing document stops no other."""
@@ -55,17 +67,18 @@ def mapped_trees(docs, func, schema, column="ast"):
     def run(batches):
         for b in batches:
             out = []
-            for sha, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for sha, text in zip(b.column(0), b.column(1)):
+                sha = sha.as_py()
                 try:
-                    tree = json.loads(text)
-                    if not valid(tree):
-                        raise ValueError("not a tree of {type, children}")
-                    out += [{"file_sha": sha, "row": r, "error": None} for r in func(sha, tree)]
+                    out += [{"file_sha": sha, "row": r, "error": None} for r in func(sha, parsed(text.as_py()))]
                 except Exception as e:  # the dead letter holds what went wrong
                     out.append({"file_sha": sha, "row": None, "error": f"{type(e).__name__}: {e}"})
+                if len(out) >= HELD:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return docs.select("file_sha", column).mapInArrow(run, kind)
+    return spread(docs.select("file_sha", column)).mapInArrow(run, kind)
 
 
 def good(rows):
@@ -83,8 +96,36 @@ def _rows(sha, tree):
 
 
 def nodes(docs):
-    """The node table of docs(file_sha, ast)."""
-    return good(mapped_trees(docs, _rows, NODE))
+    """The node table of docs(file_sha, ast); the rows of _rows, made by columns; documents that are no tree have none."""
+    from pyspark.sql.types import StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+    import pyarrow as pa
+
+    arrow = to_arrow_schema(StructType.fromDDL(NODE))
+
+    def run(batches):
+        for b in batches:
+            cols = [[] for _ in arrow]
+            for sha, text in zip(b.column(0), b.column(1)):
+                try:
+                    each = list(walk(parsed(text.as_py())))
+                except Exception:
+                    continue
+                places, found = [p for p, _ in each], [n for _, n in each]
+                cols[0] += [sha.as_py()] * len(each)
+                cols[1] += places
+                cols[2] += [p[:-1] if p else None for p in places]
+                cols[3] += map(len, places)
+                cols[4] += [p[-1] if p else 0 for p in places]
+                cols[5] += [n["type"] for n in found]
+                cols[6] += [None if (v := n.get("value")) in (None, "") else str(v) for n in found]
+                cols[7] += [not n.get("children") for n in found]
+                if len(cols[0]) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                    cols = [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return spread(docs.select("file_sha", "ast")).mapInArrow(run, NODE)
 
 
 def holds(node, types, key="file_sha"):
@@ -110,10 +151,15 @@ def tokens(node):
     return node.groupBy("file_sha").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", each.alias("t")))), lambda x: x["t"])).alias("tokens"))
 
 
+def _above():
+    """Column: the places of a node's ancestors and its own."""
+    up = F.transform(F.sequence(F.lit(0), F.size("ord")), lambda k: F.slice("ord", 1, k))
+    return F.when(F.size("ord") == 0, F.array("ord")).otherwise(up)
+
+
 def ancestors(node):
     """file_sha, root_ord, ord: each node under each of its ancestors and itself; as many rows as depths add up to."""
-    up = F.transform(F.sequence(F.lit(0), F.size("ord")), lambda k: F.slice("ord", 1, k))
-    return node.select("file_sha", F.explode(F.when(F.size("ord") == 0, F.array("ord")).otherwise(up)).alias("root_ord"), "ord", "type", "leaf")
+    return node.select("file_sha", F.explode(_above()).alias("root_ord"), "ord", "type", "leaf")
 
 
 def paths(node):
@@ -126,8 +172,8 @@ def paths(node):
 
 def rendering(node):
     """file_sha, root_ord, text: `type value` of the nodes of each subtree, depth first."""
-    each = ancestors(node).join(node.select("file_sha", "ord", "value"), ["file_sha", "ord"])
-    return each.groupBy("file_sha", "root_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" ", "type", "value").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    each = node.select("file_sha", F.explode(_above()).alias("root_ord"), F.struct("ord", F.concat_ws(" ", "type", "value").alias("t")).alias("at"))
+    return each.groupBy("file_sha", "root_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["t"]), " ").alias("text"))
 
 
 def successor(place):
