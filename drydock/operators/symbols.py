@@ -6,6 +6,8 @@ Trees of any depth are flat rows here.
 """
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import cut
+
 from . import relations
 from .tree import successor
 
@@ -72,8 +74,12 @@ def symbol_table(node):
 
     def step(acc, d):
         value = F.trim(F.array_join(F.transform(d["parts"], lambda p: said(acc["env"], p)), ""))
-        env = F.map_concat(F.map_filter(acc["env"], lambda k, v: k != d["name"]), F.map_from_arrays(F.array(d["name"]), F.array(value)))
-        return F.struct(env.alias("env"), F.concat(acc["out"], F.array(F.struct(d["at"].alias("at"), d["name"].alias("name"), value.alias("value")))).alias("out"))
+
+        def put(v):
+            env = F.map_concat(F.map_filter(acc["env"], lambda k, _: k != d["name"]), F.map_from_arrays(F.array(d["name"]), F.array(v)))
+            return F.struct(env.alias("env"), F.concat(acc["out"], F.array(F.struct(d["at"].alias("at"), d["name"].alias("name"), v.alias("value")))).alias("out"))
+
+        return F.get(F.transform(F.array(value), put), F.lit(0))  # the value is worked out once
 
     return seq.select("file_sha", F.explode(F.aggregate("defs", none, step)["out"]).alias("d")).select("file_sha", "d.at", "d.name", "d.value")
 
@@ -91,6 +97,7 @@ def substituted(node):
     A bound BASH-VARIABLE becomes a BASH-LITERAL, an unbound one BASH-VARIABLE-VALUE `$name`; ${NAME} and $NAME in
     DOCKER-LITERAL and DOCKER-PATH values are interpolated, names without a value stay.
     """
+    node = cut(node)  # read six times below, so made once
     table = symbol_table(node)
     var = node.where((F.col("type") == VARIABLE) & F.col("value").isNotNull()).select("file_sha", "ord", F.col("value").alias("name"))
     text = node.where(F.col("type").isin(*TEXTS) & F.contains("value", F.lit("$")))
