@@ -7,7 +7,9 @@ rules out whole cells by the triangle inequality for angles and compares rows in
 import numpy as np
 from pyspark.sql import functions as F, Window as W
 
-from drydock.functions.storage import cut
+from drydock.functions.storage import cut, spread
+
+from . import blocks
 
 WIDTH = 64
 #: Pivots of an index: the summaries of their cells are what a search broadcasts.
@@ -25,7 +27,8 @@ def features(text, width=WIDTH, most=None):
     """Counts of the words of a text (of the first `most`, where the encoder has a limit) by the md5 of each, `width` of them."""
     w = F.slice(words(text), 1, most) if most else words(text)
     at = F.transform(w, lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % width).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(at, lambda a: a == k)))
+    counted = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(at, lambda a: a == k)))
+    return F.get(F.transform(F.array(at), counted), F.lit(0))  # words are hashed once, not once for each place
 
 
 def entity_text(name, description):
@@ -39,7 +42,7 @@ def image_text(name, tag, packages):
 
 def encoded(texts, width=WIDTH, most=None):
     """texts(id, text) -> id, counts, norm; texts without words have norm 0 and are found by no search."""
-    c = texts.select(F.col("id").cast("long").alias("id"), features(F.col("text"), width, most).alias("counts"))
+    c = spread(texts.select("id", "text")).select(F.col("id").cast("long").alias("id"), features(F.col("text"), width, most).alias("counts"))
     return c.withColumn("norm", F.sqrt(F.aggregate("counts", F.lit(0).cast("double"), lambda s, x: s + x * x)))
 
 
@@ -107,21 +110,64 @@ def _angle(cos):
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 
-def candidates(spark, path, queries, k):
+def classes(spark, path, k):
+    """cell, vec_id, counts, norm, ids: the rows of an index by their vector, vec_id the least id and ids the k least of each."""
+    first = W.partitionBy("cell", "counts").orderBy("id")
+    few = rows_of(spark, path).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    return few.groupBy("cell", "counts").agg(F.min("id").alias("vec_id"), F.first("norm").alias("norm"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def _nearest(asked, known, k):
+    """query_id, id, cos: of known classes in the cells of asked(vec_id, counts, norm, cell) enough to hold the k rows of greatest
+    rounded cosine, ties to smaller ids; compared in blocks, of which a query takes 3 k classes at most.
+
+    Scores of nine places: those above the k-th of a block are fewer than k, and of those equal to it, or one unit below where
+    the two roundings may part, the k least ids do. Products of counts are whole numbers, so nothing is lost in a matrix.
+    """
+    import pyarrow as pa
+
+    def reduce(a, b):
+        x, y = blocks.matrix(a["counts"]).astype(float), blocks.matrix(b["counts"]).astype(float)
+        ids, nb, qn, qi = b["vec_id"].to_numpy(), b["norm"].to_numpy(), a["norm"].to_numpy(), a["vec_id"].to_numpy()
+        order = np.argsort(ids)
+        y, nb = y[order], nb[order]
+        q, at, dots = [], [], []
+        for lo in range(0, len(x), 256):
+            dot = x[lo:lo + 256] @ y.T
+            score = np.floor(dot / (qn[lo:lo + 256, None] * nb[None]) * 1e9 + 0.5)
+            level = np.partition(score, len(y) - k, axis=1)[:, len(y) - k] if len(y) > k else score.min(1)
+            for i in range(len(dot)):
+                above = np.flatnonzero(score[i] > level[i])
+                hit = np.concatenate([above, *(np.flatnonzero(score[i] == level[i] - d)[:k] for d in (0, 1))])
+                q.append(np.full(len(hit), qi[lo + i]))
+                at.append(hit)
+                dots.append(dot[i, hit])
+        at = np.concatenate(at)
+        took = b.select(["ids", "norm"]).take(pa.array(order[at]))
+        return pa.table({"query_id": np.concatenate(q), "ids": took["ids"], "norm": took["norm"], "dot": np.concatenate(dots).astype(np.int64)})
+
+    got = blocks.met(asked, known, "query_id long, ids array<long>, norm double, dot long", reduce, by="cell")
+    asks = asked.select(F.col("vec_id").alias("query_id"), F.col("norm").alias("q_norm")).distinct()
+    cos = F.col("dot") / (F.col("q_norm") * F.col("norm"))
+    return got.join(asks, "query_id").select("query_id", F.explode("ids").alias("id"), cos.alias("cos"))
+
+
+def candidates(spark, path, queries, k, known=None):
     """query_id, counts, norm, cell: the cells that may hold one of the k nearest rows of each query(id, counts, norm).
 
     The rows of the cells of the nearest pivots, as many as hold k, give an angle that the k-th neighbour cannot
     exceed; a cell whose nearest row must lie beyond it goes. Summaries are a row for each pivot, CELLS at most, and broadcast.
     """
+    known = classes(spark, path, k) if known is None else known
     q = queries.where("norm > 0").select(F.col("id").alias("query_id"), "counts", "norm")
     p_norm = F.sqrt(F.aggregate("pivot", F.lit(0).cast("double"), lambda s, x: s + x * x))
-    each = q.join(F.broadcast(summaries(spark, path)), F.lit(True))
+    each = spread(q).join(F.broadcast(summaries(spark, path)), F.lit(True))
     each = each.withColumn("to", _angle(dot(F.col("counts"), F.col("pivot")) / (F.col("norm") * p_norm)))
     best = F.greatest(F.lit(0.0), F.col("to") - F.col("high"), F.col("low") - F.col("to"))
     near = W.partitionBy("query_id").orderBy("to", "cell").rowsBetween(W.unboundedPreceding, 0)
     each = cut(each.withColumn("best", best).withColumn("ahead", F.sum("n").over(near) - F.col("n")).drop("pivot"))
-    first = each.where(F.col("ahead") < k).select("query_id", "cell", F.col("counts").alias("q_counts"), F.col("norm").alias("q_norm")).join(rows_of(spark, path), "cell")
-    cos = first.select("query_id", "id", (dot(F.col("q_counts"), F.col("counts")) / (F.col("q_norm") * F.col("norm"))).alias("cos"))
+    first = each.where(F.col("ahead") < k).select(F.col("query_id").alias("vec_id"), "counts", "norm", "cell")
+    cos = _nearest(first, known, k)
     kth = cos.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cos"), "id"))).where(F.col("rank") == k)
     floor = kth.select("query_id", _angle(F.col("cos")).alias("floor"))
     return each.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("best") <= F.col("floor") + SLACK)).select("query_id", "counts", "norm", "cell")
@@ -130,12 +176,18 @@ def candidates(spark, path, queries, k):
 def search(spark, path, queries, k=5, itself=True):
     """query_id, rank, id, score: the k rows of greatest cosine for each of queries(id, text), ties to smaller ids.
 
-    queries is a stated set of distinct ids; with itself = False a row of the query's own id takes no part.
+    queries is a stated set of distinct ids; with itself = False a row of the query's own id takes no part. Equal vectors, of
+    queries and of rows, are compared once.
     """
     q = cut(encoded(queries, *([len(r["counts"])] if (r := spark.read.parquet(f"{path}/pivots").first()) else [])))
-    hit = candidates(spark, path, q, k if itself else k + 1).withColumnsRenamed({"counts": "q_counts", "norm": "q_norm"})
-    pair = hit.join(rows_of(spark, path), "cell")
+    most = k if itself else k + 1
+    known, asked = cut(classes(spark, path, most)), cut(q.where("norm > 0").groupBy("counts").agg(F.min("id").alias("id"), F.first("norm").alias("norm")))
+    hit = candidates(spark, path, asked, most, known).withColumnRenamed("query_id", "vec_id")
+    found = _nearest(hit, known, most).withColumn("score", F.round("cos", 9)).withColumnRenamed("query_id", "asked")
+    best = W.partitionBy("asked").orderBy(F.desc("score"), "id")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("asked", "id", "score")
+    own = q.where("norm > 0").select(F.col("id").alias("query_id"), "counts").join(asked.select("counts", F.col("id").alias("asked")), "counts").select("query_id", "asked")
+    pair = own.join(found, "asked")
     pair = pair if itself else pair.where("id <> query_id")
-    score = F.round(dot(F.col("q_counts"), F.col("counts")) / (F.col("q_norm") * F.col("norm")), 9)
     top = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pair.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return pair.select("query_id", "id", "score").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -29,3 +29,28 @@ def test_rendering_joins_nothing_and_trees_are_spread(spark):
     assert "Join" not in plan(got)  # a small estimate of a grown table was sent to the driver as a broadcast
     assert n.rdd.getNumPartitions() >= 8 and tree.nodes(docs(spark).coalesce(1)).rdd.getNumPartitions() >= 8
     assert got.where((F.col("file_sha") == "3") & (F.size("root_ord") == 0)).first()["text"] == "A B v3 C D 3"
+
+
+def test_nearest_keeps_ties_to_smaller_ids_and_copies(spark, tmp_path):
+    from drydock.operators import entity_index as E
+    texts = [(k, ["a b", "a b c", "d e", "f"][k % 4] if k % 3 else f"w{k % 11} a b") for k in range(400)]
+    d = spark.createDataFrame(texts, "id long, text string")
+    path = E.build(d, str(tmp_path / "index"), pivots=8)
+    q = d.where("id % 20 = 0")
+    got = [tuple(r) for r in E.search(spark, path, q, 5, itself=False).orderBy("query_id", "rank").collect()]
+    e = {r["id"]: (r["counts"], r["norm"]) for r in E.encoded(d).collect()}
+    score = lambda a, b: round(sum(x * y for x, y in zip(e[a][0], e[b][0])) / (e[a][1] * e[b][1]), 9)
+    want = [(a, n + 1, b, -s) for a in range(0, 400, 20) for n, (s, b) in enumerate(sorted((-score(a, b), b) for b in e if b != a)[:5])]
+    assert got == want
+    # what a search compares are vectors, not rows: 400 rows have few
+    assert E.classes(spark, path, 6).count() == len({tuple(c) for c, _ in e.values()})
+    assert max(len(r["ids"]) for r in E.classes(spark, path, 6).collect()) == 6
+
+
+def test_symbols_make_their_node_table_once(spark):
+    from drydock.operators import symbols
+    t = {"type": "F", "children": [{"type": "DOCKER-ENV", "children": [{"type": "DOCKER-NAME", "value": "A", "children": []}, {"type": "DOCKER-LITERAL", "value": "x", "children": []}]}, {"type": "DOCKER-PATH", "value": "$A/$B", "children": []}]}
+    d = spark.createDataFrame([("f", json.dumps(t))], "file_sha string, ast string")
+    got = symbols.substituted(tree.nodes(d))
+    assert "MapInArrow" not in plan(got)  # trees were parsed anew for each of six readings
+    assert got.where("type = 'DOCKER-PATH'").first()["value"] == "x/$B"
