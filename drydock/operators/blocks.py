@@ -1,7 +1,7 @@
 """Distances between rows in blocks that reduce: what leaves a task is a row for each row, not for each pair.
 
 Rows are (vec_id, e array<double>, tag long). Blocks hold `size` rows at most in the mean, so memory is bounded
-whatever the number of rows; of a block of pairs only the sums, the k least or the links that hold it together
+whatever the number of rows, and of a block of pairs only the sums, the k least or the links that hold it together
 are returned.
 """
 import numpy as np
@@ -10,32 +10,59 @@ from pyspark.sql import functions as F
 
 from drydock.functions.storage import cut
 
-SIZE = 2000
+#: Rows of a block: a sixteenth of the table within these bounds, so small tables keep many tasks and large ones few copies of a row.
+SIZE, MOST, NEAR = 2000, 16000, 8000
+#: Rows that are compared with a block at once.
+CHUNK = 256
 
 
 def rows_of(vec, tag=None):
     """The form that blocks read; null tags are -1."""
     t = F.coalesce(F.col(tag).cast("long"), F.lit(-1)) if tag else F.lit(0).cast("long")
-    return vec.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"), t.alias("tag"))
+    kind = vec.schema["embedding"].dataType.elementType.typeName()  # floats travel as they are, and are doubles where they are compared
+    e = F.col("embedding") if kind == "float" else F.transform("embedding", lambda x: x.cast("double"))
+    return vec.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), t.alias("tag"))
 
 
 def matrix(column):
-    """The rows of a list column as one matrix, without Python objects."""
+    """The rows of a list column as one matrix of doubles, without Python objects."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def distances(x, y):
-    """A generator of (row of x, its distances to all of y), differences taken first so that near rows stay exact."""
-    for k in range(len(x)):
-        yield k, np.sqrt(((y - x[k]) ** 2).sum(1))
+def _exactly(x, y, i, j):
+    """Distances of pairs of rows, differences taken first."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 32768):
+        out[k:k + 32768] = np.sqrt(((y[j[k:k + 32768]] - x[i[k:k + 32768]]) ** 2).sum(1))
+    return out
 
 
-def met(left, right, schema, reduce, size=SIZE, by=None):
-    """reduce(left table, right table) -> rows of `schema`, for all pairs of blocks of two tables (of the same `by`).
+def distances(x, y, eps=None):
+    """A generator of (first row, distances of the next CHUNK rows of x to all of y) by one matrix product each.
 
-    Each side is dealt into blocks by a hash of the id; every left row meets every right row once.
+    Where a product loses digits (near rows, what is not finite, and distances at eps) differences are taken first.
+    """
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    for k in range(0, len(x), CHUNK):
+        part = x[k:k + CHUNK]
+        scale = nx[k:k + CHUNK, None] + ny[None]
+        d = scale - 2 * (part @ y.T)
+        doubt = ~(d >= 1e-4 * scale)
+        if eps is not None:
+            doubt |= np.abs(d - eps * eps) <= 1e-10 * (scale + eps * eps)
+        i, j = np.nonzero(doubt)
+        d = np.sqrt(np.maximum(d, 0))
+        d[i, j] = _exactly(part, y, i, j)
+        yield k, d
+
+
+def met(left, right, schema, reduce, size=None, by=None, *, most=MOST, same=False):
+    """reduce(left table, right table, both) -> rows of `schema`, for all pairs of blocks of two tables (of the same `by`).
+
+    Each side is dealt into blocks by a hash of the id; every left row meets every right row once. With `same`, for two
+    readings of one table, only one of two blocks' meetings takes place, and `both` says that it stands for both ways.
     """
     keys = [by] if by else []
     count = lambda d, n: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
@@ -45,17 +72,20 @@ def met(left, right, schema, reduce, size=SIZE, by=None):
     else:
         na, nb = left.count(), right.count()
         l, r = (d.withColumn("na", F.lit(na)).withColumn("nb", F.lit(nb)) for d in (left, right))
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(float(size))).cast("int"), F.lit(1))
+    held = lambda c: F.lit(float(size)) if size else F.least(F.greatest(F.col(c) / 16, F.lit(float(SIZE))), F.lit(float(most)))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / held(c)).cast("int"), F.lit(1))
     own = lambda c: F.pmod(F.xxhash64("vec_id"), blocks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    l = l.withColumn("i", own("na")).withColumn("j", every("nb")).drop("na", "nb")
-    r = r.withColumn("j", own("nb")).withColumn("i", every("na")).drop("na", "nb")
+    every = lambda c, lo=F.lit(0): F.explode(F.sequence(lo, blocks(c) - 1))
+    l = l.withColumn("i", own("na")).withColumn("j", every("nb", F.col("i")) if same else every("nb")).drop("na", "nb")
+    r = r.withColumn("j", own("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), "j")) if same else every("na")).drop("na", "nb")
     rename = lambda d: d.select(*[F.col(c).alias(f"{c}_") for c in d.columns])
     on = [*keys, "i", "j"]
 
     def run(a, b):
-        out = reduce(a, b.rename_columns([c[:-1] for c in b.column_names])) if a.num_rows and b.num_rows else []
-        return pa.Table.from_pylist(out, schema=arrow) if isinstance(out, list) else out.cast(arrow)
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_pylist([], schema=arrow)
+        both = same and a["i"][0].as_py() != a["j"][0].as_py()
+        return reduce(a, b.rename_columns([c[:-1] for c in b.column_names]), both).cast(arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -63,39 +93,80 @@ def met(left, right, schema, reduce, size=SIZE, by=None):
     return l.groupBy(*on).cogroup(rename(r).groupBy(*[f"{c}_" for c in on])).applyInArrow(run, schema)
 
 
+def _equal(ids, other):
+    """Places of equal ids of two arrays, as (places in the one, places in the other)."""
+    return np.nonzero(ids[:, None] == other[None])
+
+
 def label_sums(vec, tag, by=None):
     """a, tag, n, total: for each row the number of other rows of each tag and the sum of their distances (of its own
     tag alone with by = 'tag')."""
     rows = rows_of(vec, tag)
 
-    def reduce(a, b):
-        x, y, tags, ib = matrix(a["e"]), matrix(b["e"]), b["tag"].to_numpy(), b["vec_id"].to_numpy()
-        kinds, code = np.unique(tags, return_inverse=True)
-        ids, n, total = a["vec_id"].to_numpy(), np.zeros((len(x), len(kinds)), np.int64), np.zeros((len(x), len(kinds)))
+    def reduce(a, b, both):
+        def sides(t):
+            tags = t["tag"].to_numpy()
+            order = np.argsort(tags, kind="stable")
+            kinds, starts = np.unique(tags[order], return_index=True)
+            return matrix(t["e"])[order], t["vec_id"].to_numpy()[order], tags[order], kinds, starts
+        x, ia, ta, ka, sa = sides(a)
+        y, ib, tb, kb, sb = sides(b)
+        n, total = np.tile(np.diff(np.append(sb, len(y))), (len(x), 1)), np.zeros((len(x), len(kb)))
+        back = np.zeros((len(ka), len(y)))
         for k, d in distances(x, y):
-            other = ib != ids[k]
-            n[k] = np.bincount(code[other], minlength=len(kinds))
-            total[k] = np.bincount(code[other], d[other], minlength=len(kinds))
-        on = n.ravel() > 0
-        return pa.table({"a": np.repeat(ids, len(kinds))[on], "tag": np.tile(kinds, len(x))[on], "n": n.ravel()[on], "total": total.ravel()[on]})
-
-    got = met(rows, rows, "a long, tag long, n long, total double", reduce, by=by)
+            if not both:  # one block with itself: a row is not its own neighbour
+                i, j = _equal(ia[k:k + CHUNK], ib)
+                d[i, j] = 0
+                np.subtract.at(n, (k + i, np.searchsorted(kb, tb[j])), 1)
+            total[k:k + CHUNK] = np.add.reduceat(d, sb, axis=1)
+            if both:
+                own, starts = np.unique(ta[k:k + CHUNK], return_index=True)
+                back[np.searchsorted(ka, own)] += np.add.reduceat(d, starts, axis=0)
+        def table(ids, kinds, n, total):
+            on = n.ravel() > 0
+            return pa.table({"a": np.repeat(ids, len(kinds))[on], "tag": np.tile(kinds, len(ids))[on], "n": n.ravel()[on], "total": total.ravel()[on]})
+        got = table(ia, kb, n, total)
+        return pa.concat_tables([got, table(ib, ka, np.tile(np.diff(np.append(sa, len(x))), (len(y), 1)), back.T)]) if both else got
+
+    got = met(rows, rows, "a long, tag long, n long, total double", reduce, by=by, same=True)
     return got.groupBy("a", "tag").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def _smallest(d, k):
+    """The k least of each row of a matrix, which it may change; NaN after numbers."""
+    if k > 8 or d.shape[1] <= k or np.isnan(d).any():
+        return np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+    out, rows = np.empty((len(d), k)), np.arange(len(d))
+    for c in range(k):
+        at = d.argmin(1)
+        out[:, c] = d[rows, at]
+        d[rows, at] = np.inf
+    return out
+
+
 def least(vec, k):
     """a, dists: the k least distances of each row to others, ascending (all, if fewer)."""
     rows = rows_of(vec)
 
-    def reduce(a, b):
+    def reduce(a, b, both):
         x, y, ids, ib = matrix(a["e"]), matrix(b["e"]), a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        best = []
+        best, back = [], None
         for i, d in distances(x, y):
-            d = d[ib != ids[i]]
-            best.append(np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d).tolist())
-        return pa.table({"a": ids, "dists": pa.array(best, pa.list_(pa.float64()))})
-
-    got = met(rows, rows, "a long, dists array<double>", reduce)
+            if both:
+                down = _smallest(np.ascontiguousarray(d.T), k)
+                back = down if back is None else _smallest(np.concatenate([back, down], axis=1), k)
+                best += _smallest(d, k).tolist()
+                continue
+            p, q = _equal(ids[i:i + CHUNK], ib)
+            same = np.zeros(d.shape, bool)
+            same[p, q] = True
+            d[same] = np.inf
+            found, others = _smallest(d, k), d.shape[1] - same.sum(1)
+            best += [f[:n].tolist() for f, n in zip(found, others)]
+        out = pa.table({"a": ids, "dists": pa.array(best, pa.list_(pa.float64()))})
+        return pa.concat_tables([out, pa.table({"a": ib, "dists": pa.array(back.tolist(), pa.list_(pa.float64()))})]) if both else out
+
+    got = met(rows, rows, "a long, dists array<double>", reduce, same=True)
     return got.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("dists"))), 1, k).alias("dists"))
 
 
@@ -106,6 +177,8 @@ def cells(left, right, eps, pivots=64):
     nearest pivot. A left row goes to each cell that can hold a row within eps: by the triangle inequality one whose
     pivot is at most 2 eps farther than the nearest, and at most eps beyond the cell's radius.
     """
+    from pyspark.sql.types import StructType
+
     at = right.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     p = np.array([r["e"] for r in at], float)
 
@@ -115,7 +188,7 @@ def cells(left, right, eps, pivots=64):
         def run(batches):
             for b in batches:
                 x = matrix(b.column("e"))
-                d = np.sqrt(np.maximum(((x[:, None, :] - p[None]) ** 2).sum(2), 0)) if len(x) else np.zeros((0, len(p)))
+                d = np.concatenate([d for _, d in distances(x, p)]) if len(x) else np.zeros((0, len(p)))
                 home = d.argmin(1) if len(x) else np.zeros(0, int)
                 hit = np.zeros(d.shape, bool)
                 hit[np.arange(len(x)), home] = True
@@ -125,7 +198,7 @@ def cells(left, right, eps, pivots=64):
                 t = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell.astype(np.int64)), pa.array(d[row, cell])], names=[*b.schema.names, "cell", "far"])
 
-        return cut(rows.mapInArrow(run, "vec_id long, e array<double>, tag long, cell long, far double"))
+        return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("cell", "long").add("far", "double"))
 
     r = dealt(right, True)
     radius = np.full(len(p), -np.inf)
@@ -134,67 +207,83 @@ def cells(left, right, eps, pivots=64):
     return dealt(left, False, radius).drop("far"), r.drop("far")
 
 
-def within(left, right, eps, schema, reduce, pivots=64):
-    """met over the cells of rows that may lie within eps; reduce(left, right, near) gets a boolean matrix as well."""
+def within(left, right, eps, schema, reduce, pivots=64, same=False):
+    """met over the cells of rows that may lie within eps; reduce(left, right, near, both) gets a boolean matrix as well.
+
+    Where cells rule out less than half of the pairs, all blocks meet instead: rows then travel less, and of one table
+    with itself (`same`) each pair is compared once.
+    """
     if right.isEmpty():
         return left.sparkSession.createDataFrame([], schema)
-    l, r = cells(left, right, eps, pivots)
 
-    def run(a, b):
+    def run(a, b, both):
         x, y = matrix(a["e"]), matrix(b["e"])
         near = np.zeros((len(x), len(y)), bool)
-        for k, d in distances(x, y):
-            near[k] = d <= eps
-        near &= a["vec_id"].to_numpy()[:, None] != b["vec_id"].to_numpy()[None]
-        return reduce(a, b, near)
+        for k, d in distances(x, y, eps):
+            near[k:k + CHUNK] = d <= eps
+        if not both:
+            near &= a["vec_id"].to_numpy()[:, None] != b["vec_id"].to_numpy()[None]
+        return reduce(a, b, near, both)
+
+    l, r = cells(left, right, eps, pivots)
+    if 2 * _pairs(l, r) >= left.count() * right.count():
+        return met(left, right, schema, run, most=NEAR, same=same)
+    return met(cut(l), cut(r), schema, run, most=NEAR, by="cell")
 
-    return met(l, r, schema, run, by="cell")
+
+def _pairs(l, r):
+    n = l.groupBy("cell").count().join(r.groupBy("cell").agg(F.count(F.lit(1)).alias("own")), "cell")
+    return n.agg(F.sum(F.col("count") * F.col("own"))).first()[0] or 0
 
 
 def compared(left, right, eps, pivots=64):
     """Pairs that `within` compares: over the cells, the rows on one side times those on the other."""
     l, r = cells(left, right, eps, pivots)
-    n = l.groupBy("cell").count().join(r.groupBy("cell").agg(F.count(F.lit(1)).alias("own")), "cell")
-    return n.agg(F.sum(F.col("count") * F.col("own"))).first()[0] or 0
+    return _pairs(l, r)
 
 
 def neighbours(vec, eps, pivots=64):
     """vec_id, n: the other rows within eps."""
     rows = rows_of(vec)
-    got = within(rows, rows, eps, "vec_id long, n long", lambda a, b, near: pa.table({"vec_id": a["vec_id"], "n": near.sum(1)}), pivots)
+    counts = lambda t, n: pa.table({"vec_id": t["vec_id"], "n": n})
+    reduce = lambda a, b, near, both: pa.concat_tables([counts(a, near.sum(1)), *([counts(b, near.sum(0))] if both else [])])
+    got = within(rows, rows, eps, "vec_id long, n long", reduce, pivots, same=True)
     return vec.select("vec_id").join(got.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def forest(near, ia, ib):
     """Links (a, b) that connect what a block's near pairs connect: at most one for each of its rows."""
-    top = np.full(len(ia), len(ib), np.int64)
-    low = np.arange(len(ib))
-    if not near.any():
-        return []
-    while True:  # labels fall along the pairs of the block until none does
-        new = np.where(near.any(1), np.where(near, low[None], len(ib)).min(1), top)
-        down = np.minimum(low, np.where(near.any(0), np.where(near, new[:, None], len(ib)).min(0), low))
-        if (down == low).all() and (new == top).all():
-            break
-        top, low = new, down
-    on = near.any(1)
-    links = [(int(a), int(ib[t])) for a, t in zip(ia[on], top[on])]
-    on = near.any(0)
-    return links + [(int(b), int(ib[t])) for b, t in zip(ib[on], low[on])]
+    none = np.int32(len(ib))
+    top, low = np.full(len(ia), none), np.arange(len(ib), dtype=np.int32)
+    falls = near.any()
+    while falls:  # labels fall along the pairs of the block until none does
+        falls = False
+        for k in range(0, len(ia), CHUNK):
+            part = near[k:k + CHUNK]
+            new = np.where(part, low[None], none).min(1)
+            down = np.minimum(low, np.where(part, new[:, None], none).min(0))
+            falls |= bool((new != top[k:k + CHUNK]).any() or (down != low).any())
+            top[k:k + CHUNK], low = new, down
+    on, hit = near.any(1), near.any(0)
+    return np.stack([np.concatenate([ia[on], ib[hit]]), np.concatenate([ib[top[on]], ib[low[hit]]])], 1)
 
 
 def core_links(core, eps, pivots=64):
     """a, b: links between core rows within eps that connect the same rows as all such pairs do."""
     rows = rows_of(core)
-    reduce = lambda a, b, near: [{"a": x, "b": y} for x, y in forest(near, a["vec_id"].to_numpy(), b["vec_id"].to_numpy()) if x != y]
-    return within(rows, rows, eps, "a long, b long", reduce, pivots).distinct()
+
+    def reduce(a, b, near, both):
+        x, y = forest(near, a["vec_id"].to_numpy(), b["vec_id"].to_numpy()).T
+        return pa.table({"a": x[x != y], "b": y[x != y]})
+
+    return within(rows, rows, eps, "a long, b long", reduce, pivots, same=True).distinct()
 
 
 def least_tag(rest, core, eps, pivots=64):
     """vec_id, tag: for each row of rest(vec_id, e, tag) the least tag of the core rows within eps."""
-    def reduce(a, b, near):
+    def reduce(a, b, near, both):
         tags = b["tag"].to_numpy()
         on = near.any(1)
-        return pa.table({"vec_id": a["vec_id"].to_numpy()[on], "tag": np.where(near, tags[None], np.iinfo(np.int64).max).min(1)[on]})
+        return pa.table({"vec_id": a["vec_id"].to_numpy()[on], "tag": [tags[n].min() for n in near[on]]})
 
     return within(rest, core, eps, "vec_id long, tag long", reduce, pivots).groupBy("vec_id").agg(F.min("tag").alias("tag"))

@@ -126,8 +126,8 @@ def _nearest(asked, known, k):
     """
     import pyarrow as pa
 
-    def reduce(a, b):
-        x, y = blocks.matrix(a["counts"]).astype(float), blocks.matrix(b["counts"]).astype(float)
+    def reduce(a, b, both):
+        x, y = blocks.matrix(a["counts"]), blocks.matrix(b["counts"])
         ids, nb, qn, qi = b["vec_id"].to_numpy(), b["norm"].to_numpy(), a["norm"].to_numpy(), a["vec_id"].to_numpy()
         order = np.argsort(ids)
         y, nb = y[order], nb[order]

@@ -163,7 +163,7 @@ def _centers(member):
 
     rows = member.select(F.xxhash64("id").alias("vec_id"), "id", "bag", "weight", F.col("cluster").alias("tag"))
 
-    def reduce(a, b):
+    def reduce(a, b, both):
         bags_ = [[{x["word"]: x["n"] for x in bag} for bag in t["bag"].to_pylist()] for t in (a, b)]
         words = {w: i for i, w in enumerate(sorted({w for side in bags_ for m in side for w in m}))}
         x, y = (np.zeros((len(side), len(words))) for side in bags_)
@@ -172,7 +172,7 @@ def _centers(member):
                 for w, n in bag.items():
                     m[i, words[w]] = n
         weight = b["weight"].to_numpy()
-        return pa.table({"cluster": a["tag"], "id": a["id"], "total": pa.array([float((d * weight).sum()) for _, d in blocks.distances(x, y)])})
+        return pa.table({"cluster": a["tag"], "id": a["id"], "total": pa.array(np.concatenate([(d * weight).sum(1) for _, d in blocks.distances(x, y)]))})
 
     got = blocks.met(rows, rows, "cluster string, id string, total double", reduce, 500, "tag").groupBy("cluster", "id").agg(F.round(F.sum("total"), 9).alias("total"))
     return got.groupBy("cluster").agg(F.min_by("id", F.struct("total", "id")).alias("center"))

@@ -54,3 +54,35 @@ def test_symbols_make_their_node_table_once(spark):
     got = symbols.substituted(tree.nodes(d))
     assert "MapInArrow" not in plan(got)  # trees were parsed anew for each of six readings
     assert got.where("type = 'DOCKER-PATH'").first()["value"] == "x/$B"
+
+
+def test_distances_by_products_are_those_by_differences():
+    import numpy as np
+    from drydock.operators import blocks
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 16))
+    y = np.concatenate([x[:40], x[40:80] + 1e-9, r.normal(size=(300, 16)), [[np.inf] * 16, [np.nan] * 16]])
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((y[None] - x[:, None]) ** 2).sum(2))
+        got = np.concatenate([d for _, d in blocks.distances(x, y)])
+        eps = float(want[5, 100])
+        at = np.concatenate([d for _, d in blocks.distances(x, y, eps)])
+    assert np.allclose(got, want, rtol=1e-9, atol=0, equal_nan=True) and got[5, 5] == 0
+    assert ((at <= eps) == (want <= eps)).all()  # a row exactly at eps included
+
+
+def test_blocks_of_one_table_meet_once_and_rows_without_structure_leave_cells(spark, monkeypatch):
+    import numpy as np
+    from drydock.operators import blocks, vectors
+    r = np.random.default_rng(5)
+    x = r.normal(size=(230, 24))
+    d = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(blocks.met, "__defaults__", (60, None))
+    seen = []
+    monkeypatch.setattr(blocks, "met", lambda *a, f=blocks.met, **k: seen.append(k) or f(*a, **k))
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    eps = float(np.quantile(far, 0.1))
+    n = {a["vec_id"]: a["n"] for a in blocks.neighbours(d, eps).collect()}
+    assert n == {i: int((far[i] <= eps).sum()) - 1 for i in range(230)}
+    assert seen[-1]["same"]  # all blocks, each two once, as cells rule nothing out
+    assert vectors.dbscan(d, eps, 4).count() == 230 and abs(vectors.silhouette(d).first()[0]) < 1
