@@ -3,7 +3,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from drydock.functions.storage import cut
+from drydock.functions.storage import cut, spread
 
 
 def vertices(*parts):
@@ -110,7 +110,7 @@ def clarified(candidates, conflicts, e, depth=2):
     """
     from . import refactor, relations
 
-    c = cut(candidates.select("grp", "pos", F.concat_ws(":", F.col("grp").cast("string"), F.col("pos").cast("string")).alias("doc_id"), "text"))
+    c = cut(spread(candidates).select("grp", "pos", F.concat_ws(":", F.col("grp").cast("string"), F.col("pos").cast("string")).alias("doc_id"), "text"))
     named = cut(c.select("grp", "pos", "doc_id").join(refactor.entities(c.select("doc_id", "text")), "doc_id", "left"))
     against = relations.conflicts(conflicts, named.select(F.col("doc_id").alias("grp"), F.explode("entities").alias("id"))).groupBy(F.col("grp").alias("doc_id")).agg(F.collect_list("src").alias("conflicts"))
     order = cut(refactor.ranked(named.join(against, "doc_id", "left")))

@@ -1,6 +1,7 @@
 """Build files as instruction rows: parsing, extraction, unification, repair, retrieval texts."""
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.prefix import running_sums
 from drydock.functions.storage import cut
 
 #: Rewrites of commands, in order (fixed values: patterns and replacements must match).
@@ -217,8 +218,14 @@ def scored(candidates):
 
 
 def ranked(candidates):
-    """candidates(grp, pos, entities, conflicts) with score and rank within their group, ties by pos."""
-    return scored(candidates).withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), "pos")))
+    """candidates(grp, pos, entities, conflicts) with score and rank within their group, ties by pos.
+
+    A rank is a running count over ranges of the order, so a group of any size lies over many tasks.
+    """
+    s = scored(candidates)
+    s = s.withColumn("_none", F.col("score").isNull()).withColumn("_less", -F.col("score")).withColumn("_one", F.lit(1).cast("long"))
+    r = running_sums(s, ["grp"], ["_none", "_less", "pos"], "_one")
+    return r.withColumn("rank", (F.col("before") + 1).cast("int")).drop("_none", "_less", "_one", "before")
 
 
 def contexts(docs, rules):

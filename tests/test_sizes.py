@@ -86,3 +86,14 @@ def test_blocks_of_one_table_meet_once_and_rows_without_structure_leave_cells(sp
     assert n == {i: int((far[i] <= eps).sum()) - 1 for i in range(230)}
     assert seen[-1]["same"]  # all blocks, each two once, as cells rule nothing out
     assert vectors.dbscan(d, eps, 4).count() == 230 and abs(vectors.silhouette(d).first()[0]) < 1
+
+
+def test_ranks_of_a_large_group_lie_over_tasks(spark):
+    from drydock.operators import refactor
+    c = spark.range(3000).select(F.lit("g").alias("grp"), "id", (F.col("id") * 7 % 3000).alias("pos"), F.transform(F.sequence(F.lit(1), F.col("id") % 5 + 1), lambda x: x.cast("string")).alias("entities"), F.array().cast("array<string>").alias("conflicts"))
+    r = refactor.ranked(c)
+    got = [(x["pos"], x["rank"]) for x in r.collect()]
+    want = sorted((-(i % 5 + 1), i * 7 % 3000) for i in range(3000))
+    assert sorted(got, key=lambda x: x[1]) == [(p, n + 1) for n, (_, p) in enumerate(want)]
+    windows = [l for l in plan(r).splitlines() if "windowspecdefinition" in l]
+    assert windows and not any("pos#" in l for l in windows)  # a window by the group had all its rows in one task
