@@ -94,9 +94,9 @@ def first_base_image(instr, key="doc_id"):
 def last_creator(events, key, at, floor=None):
     """As-of join: for each use the last id at which its key was created before, `floor` at least.
 
-    events(key..., at, id, creates boolean, [floor]) -> rows of uses with `creator`.
+    events(key..., at, id, creates boolean, [floor]) -> rows of uses with `creator`. `at` may be several columns.
     """
-    before = W.partitionBy(*key).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*key).orderBy(*([at] if isinstance(at, str) else at)).rowsBetween(W.unboundedPreceding, -1)
     made = F.last(F.when(F.col("creates"), F.col("id")), ignorenulls=True).over(before)
     got = F.greatest(made, F.col(floor)) if floor else made
     return events.withColumn("creator", F.coalesce(got, F.col(floor)) if floor else got).where("NOT creates")

@@ -2,8 +2,11 @@
 
 node(file_sha, ord array<int>, parent_ord, depth, child_pos, type, value, leaf): `ord` is the path of
 child numbers from the root (itself empty), so pre-order is the order by ord and a subtree is a
-prefix. An empty value counts as none. Documents that are no tree go to the rejects.
+prefix. An empty value counts as none. Documents that are no tree go to the rejects. The same order in numbers: `pre` counts
+nodes from the root (0), `last` is that of the last node at or below one. `cmdid` and `instr` are place and type of the
+instruction, the child of the root at or above a node, and `parent_type` the type of its parent; null where there is none.
 """
+import itertools
 import json
 
 from pyspark.sql import functions as F, Window as W
@@ -12,7 +15,9 @@ from drydock.functions.storage import spread
 
 #: Rows that a task holds as Python objects before it passes them on, about.
 HELD = 20000
-NODE = "file_sha string, ord array<int>, parent_ord array<int>, depth int, child_pos int, type string, value string, leaf boolean"
+NODE = "file_sha string, ord array<int>, parent_ord array<int>, depth int, child_pos int, type string, value string, leaf boolean, pre int, last int, cmdid int, instr string, parent_type string"
+#: The same without places: what a window over one instruction needs.
+NUMBERED = "file_sha string, depth int, child_pos int, type string, value string, leaf boolean, pre int, last int, cmdid int, instr string, parent_type string"
 
 #: Value abstraction: name and pattern, searched anywhere in the value (fixed values).
 ABSTRACTIONS = [
@@ -90,42 +95,106 @@ def rejects(rows):
 
 
 def _rows(sha, tree):
-    for place, n in walk(tree):
+    each = list(walk(tree))
+    number = {place: k for k, (place, _) in enumerate(each)}
+    last = {}
+    for place, n in reversed(each):  # children come before their parents
+        last[place] = max([last[(*place, i)] for i in range(len(n.get("children") or []))], default=number[place])
+    kinds = {place: n["type"] for place, n in each}
+    for place, n in each:
         v = n.get("value")
-        yield {"file_sha": sha, "ord": list(place), "parent_ord": list(place[:-1]) if place else None, "depth": len(place), "child_pos": place[-1] if place else 0, "type": n["type"], "value": None if v in (None, "") else str(v), "leaf": not n.get("children")}
+        yield {"file_sha": sha, "ord": list(place), "parent_ord": list(place[:-1]) if place else None, "depth": len(place), "child_pos": place[-1] if place else 0, "type": n["type"], "value": None if v in (None, "") else str(v), "leaf": not n.get("children"), "pre": number[place], "last": last[place], "cmdid": place[0] if place else None, "instr": kinds[place[:1]] if place else None, "parent_type": kinds[place[:-1]] if place else None}
 
 
-def nodes(docs):
-    """The node table of docs(file_sha, ast); the rows of _rows, made by columns; documents that are no tree have none."""
+def _flat(tree, cols, places=None):
+    """A tree's nodes put behind the columns of NUMBERED but file_sha, in one walk in pre-order; their places behind
+    `places` if given. Returns their count; an error where it is no tree, with columns of unequal length then."""
+    depths, at, kinds, values, leaves, pres, lasts, cmds, instrs, ups = cols
+    start, parents = len(depths), []
+    todo = [(tree, 0, 0, -1, None, None, None, ())]
+    k = 0
+    while todo:
+        n, depth, pos, up, up_type, cmd, instr, place = todo.pop()
+        kind, kids, value = n["type"], n.get("children") or [], n.get("value")
+        if not isinstance(kind, str) or not isinstance(kids, list):
+            raise ValueError("not a tree of {type, children}")
+        if depth == 1:
+            cmd, instr = pos, kind
+        depths.append(depth)
+        at.append(pos)
+        kinds.append(kind)
+        values.append(None if value is None or value == "" else value if type(value) is str else str(value))
+        leaves.append(not kids)
+        pres.append(k)
+        cmds.append(cmd)
+        instrs.append(instr)
+        ups.append(up_type)
+        parents.append(up)
+        if places is not None:
+            places.append(place)
+            todo += [(kids[i], depth + 1, i, k, kind, cmd, instr, (*place, i)) for i in range(len(kids) - 1, -1, -1)]
+        elif kids:
+            todo += [(kids[i], depth + 1, i, k, kind, cmd, instr, place) for i in range(len(kids) - 1, -1, -1)]
+        k += 1
+    lasts += range(k)
+    for i in range(k - 1, 0, -1):
+        p, end = start + parents[i], lasts[start + i]
+        if end > lasts[p]:
+            lasts[p] = end
+    return k
+
+
+def _nodes(docs, schema):
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
+    import numpy as np
     import pyarrow as pa
 
-    arrow = to_arrow_schema(StructType.fromDDL(NODE))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    narrow = [f for f in NUMBERED.replace(",", "").split()[2::2]]
+
+    def lists(places, none):
+        cuts = np.cumsum([0, *map(len, places)], dtype=np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(places), np.int32, int(cuts[-1]))
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat), mask=pa.array(none, pa.bool_()) if none is not None else None)
+
+    def table(shas, cols, places):
+        got = dict(zip(narrow, cols), file_sha=shas)
+        if places is not None:
+            got["ord"], got["parent_ord"] = lists(places, None), lists([p[:-1] for p in places], [not p for p in places])
+        made = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
     def run(batches):
+        wide = "ord" in arrow.names
+        new = lambda: ([], [[] for _ in narrow], [] if wide else None)
         for b in batches:
-            cols = [[] for _ in arrow]
+            shas, cols, places = new()
             for sha, text in zip(b.column(0), b.column(1)):
+                n = len(shas)
                 try:
-                    each = list(walk(parsed(text.as_py())))
-                except Exception:
+                    more = _flat(json.loads(text.as_py()), cols, places)
+                except Exception:  # no tree: nothing of it stays
+                    for c in cols + ([places] if wide else []):
+                        del c[n:]
                     continue
-                places, found = [p for p, _ in each], [n for _, n in each]
-                cols[0] += [sha.as_py()] * len(each)
-                cols[1] += places
-                cols[2] += [p[:-1] if p else None for p in places]
-                cols[3] += map(len, places)
-                cols[4] += [p[-1] if p else 0 for p in places]
-                cols[5] += [n["type"] for n in found]
-                cols[6] += [None if (v := n.get("value")) in (None, "") else str(v) for n in found]
-                cols[7] += [not n.get("children") for n in found]
-                if len(cols[0]) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-                    cols = [[] for _ in arrow]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-
-    return spread(docs.select("file_sha", "ast")).mapInArrow(run, NODE)
+                shas += [sha.as_py()] * more
+                if len(shas) >= HELD:
+                    yield table(shas, cols, places)
+                    shas, cols, places = new()
+            yield table(shas, cols, places)
+
+    return spread(docs.select("file_sha", "ast")).mapInArrow(run, schema)
+
+
+def nodes(docs):
+    """The node table of docs(file_sha, ast); the rows of _rows, made by columns; documents that are no tree have none."""
+    return _nodes(docs, NODE)
+
+
+def numbered(docs):
+    """The node table without places: `pre` and `last` say what stands below what."""
+    return _nodes(docs, NUMBERED)
 
 
 def holds(node, types, key="file_sha"):

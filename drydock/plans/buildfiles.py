@@ -5,6 +5,7 @@ tables by other means: windows and joins in SQL.
 """
 from pyspark.sql import Window as W, functions as F
 
+from drydock.functions.storage import cut
 from drydock.operators import buildgraph, symbols, tree
 from drydock.plans.registered import query
 from drydock.sources import rules
@@ -16,7 +17,7 @@ def _node(kind, *children, value=None):
     parts = [F.lit('{"type":"' + kind + '"')]
     parts += [F.lit(',"value":'), F.to_json(F.struct(text(value).alias("v")))] if value is not None else []
     # of {"v":"..."} the value alone
-    parts = [F.regexp_extract(p, r'^\{"v":(.*)\}$', 1) if i == 2 else p for i, p in enumerate(parts)]
+    parts = [F.substr(p, F.lit(6), F.length(p) - 6) if i == 2 else p for i, p in enumerate(parts)]
     return F.concat(*parts, F.lit(',"children":['), *([F.concat_ws(",", *map(text, children))] if children else []), F.lit("]}"))
 
 
@@ -35,7 +36,7 @@ def _listed(kind, *values):
 
 def _files(rows, file, order, instruction):
     """docs(file_sha, ast): the instructions of each file, in order."""
-    each = F.array_sort(F.collect_list(F.struct(*order, instruction.alias("json"))))
+    each = F.sort_array(F.collect_list(F.struct(*order, instruction.alias("json"))))
     body = F.array_join(F.transform(each, lambda x: x["json"]), ",")
     return rows.groupBy(F.col(file).cast("string").alias("file_sha")).agg(F.concat(F.lit('{"type":"DOCKER-FILE","children":['), body, F.lit("]}")).alias("ast"))
 
@@ -45,7 +46,7 @@ def _names(spark):
 
 
 def _deps(docs, spark):
-    t = buildgraph.dependency_table(tree.nodes(docs), rules.install_rules(spark), rules.file_rules(spark), _names(spark))
+    t = buildgraph.dependency_table(tree.numbered(docs), rules.install_rules(spark), rules.file_rules(spark), _names(spark))
     return t.select("file_sha", "cmdid", F.array_join(F.col("cmd_dep").cast("array<string>"), ",").alias("cmd_dep"))
 
 
@@ -127,10 +128,10 @@ def rule_sets(t, spark):
     second = second.when(j == 4, _node("SC-UNZIP", _node("SC-UNZIP-FILE", _node("BASH-CONCAT", _literal("s"), _node("BASH-DOUBLE-QUOTED", _literal("no"))))))
     second = second.otherwise(_node("BASH-AND-IF", _literal("u"), _literal("two words"), _literal("/z")))
     docs = t("part").select(F.col("p_partkey").cast("string").alias("file_sha"), _node("DOCKER-FILE", _run(first, second)).alias("ast"))
-    d = buildgraph.dependency_table(tree.nodes(docs), rules.install_rules(spark), rules.file_rules(spark), _names(spark))
-    cut = lambda c: F.transform(c, lambda p: F.regexp_replace(p, r"^\./", ""))
-    raw = buildgraph.touched(tree.nodes(docs), rules.file_rules(spark))
-    return d.join(raw, ["file_sha", "cmdid"]).select("file_sha", *[F.array_join(c, ",").alias(c) for c in ("install_pkg", "used_pkg", "source", "target")])
+    node, ruled = cut(tree.numbered(docs)), rules.file_rules(spark)
+    raw = cut(buildgraph.touched(node, ruled))
+    d = buildgraph.dependency_table(node, rules.install_rules(spark), ruled, _names(spark), touches=raw)
+    return buildgraph.merged(d, raw, ["file_sha", "cmdid"]).select("file_sha", *[F.array_join(c, ",").alias(c) for c in ("install_pkg", "used_pkg", "source", "target")])
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS t, event_id AS id, event_id % 3 AS k, event_id // 3 % 3 AS m, event_id // 9 % 3 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),

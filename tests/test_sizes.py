@@ -97,3 +97,21 @@ def test_ranks_of_a_large_group_lie_over_tasks(spark):
     assert sorted(got, key=lambda x: x[1]) == [(p, n + 1) for n, (_, p) in enumerate(want)]
     windows = [l for l in plan(r).splitlines() if "windowspecdefinition" in l]
     assert windows and not any("pos#" in l for l in windows)  # a window by the group had all its rows in one task
+
+
+def test_dependency_tables_read_nodes_by_number_and_send_nothing_to_the_driver(spark):
+    from drydock.operators import buildgraph
+    from drydock.sources import rules
+    from .test_buildgraph import APT, COPY, FROM, MKDIR, RUN, TAR
+    from .test_operators import lit
+    d = spark.createDataFrame([("f", json.dumps(lit("DOCKER-FILE", None, FROM("one"), APT("p"), MKDIR("a"), TAR("a"), RUN(), COPY("a", stage="one"))))], "file_sha string, ast string")
+    n = tree.numbered(d)
+    assert "ord" not in n.columns
+    # what stands where was joined back by places, and each reading parsed and dealt the trees again
+    assert plan(buildgraph.touched(n, rules.file_rules(spark))).count("MapInArrow") == 1
+    assert "array<int>" not in str(buildgraph.commands(n).schema.simpleString())
+    names = spark.createDataFrame([("tar", "SC-TAR", "SC-TAR")], "command string, prefix string, name string")
+    t = buildgraph.dependency_table(n, rules.install_rules(spark), rules.file_rules(spark), names)
+    assert [r["cmd_dep"] for r in t.orderBy("cmdid").collect()] == [[], [0], [0], [0, 2], [1, 3], [4]]
+    # all tables here are small, as those of well packed files look: none may go to the driver for that
+    assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
