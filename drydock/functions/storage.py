@@ -23,3 +23,10 @@ def spread(df):
     """Rows dealt anew over as many tasks as a shuffle has, for work that costs far more than its rows weigh in files."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
+def parted(df, *by, rows=250_000):
+    """df dealt by columns over so many tasks that each takes about `rows` rows, however well they pack: AQE goes by
+    packed bytes. Counts df, so it should be cheap to read."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.count() // rows + 1), *by)

@@ -227,15 +227,18 @@ def reordered(table):
     """table(file_sha, cmdid, cmd_dep) with `level`, the longest way of dependencies below an instruction, and `place`, its
     number by level and then by cmdid: nothing stands before what it depends on.
 
-    Dependencies lead to smaller cmdids, so one fold over a file's instructions in order gives all levels.
+    Dependencies lead to smaller cmdids, so one fold over a file's instructions in order gives all levels, and their order
+    the places. A table that is dealt by file_sha already moves no more; files of no name go.
     """
-    rows = table.groupBy("file_sha").agg(F.array_sort(F.collect_list(F.struct("cmdid", "cmd_dep"))).alias("i"))
+    rows = table.where("file_sha IS NOT NULL").groupBy("file_sha").agg(F.sort_array(F.collect_list(F.struct("cmdid", "cmd_dep"))).alias("i"))
     none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
-    below = lambda env, deps: F.coalesce(F.array_max(F.transform(deps, lambda d: F.try_element_at(env, d))) + 1, F.lit(0))
-    step = lambda env, x: F.map_concat(env, F.map_from_arrays(F.array(x["cmdid"]), F.array(below(env, x["cmd_dep"]))))
-    each = rows.select("file_sha", F.explode(F.aggregate("i", none, step)).alias("cmdid", "level"))
-    order = W.partitionBy("file_sha").orderBy("level", "cmdid")
-    return table.join(each.withColumn("place", F.row_number().over(order) - 1), INSTR)
+    deepest = lambda env, deps: F.coalesce(F.array_max(F.transform(deps, lambda d: F.try_element_at(env, d))) + 1, F.lit(0))
+    step = lambda env, x: F.map_concat(env, F.map_from_arrays(F.array(x["cmdid"]), F.array(deepest(env, x["cmd_dep"]))))
+    each = F.arrays_zip(F.col("i"), F.map_values(F.aggregate("i", none, step)).alias("level"))
+    each = F.transform(each, lambda z: F.struct(z["level"].alias("level"), z["i"]["cmdid"].alias("cmdid"), z["i"]["cmd_dep"].alias("cmd_dep")))
+    out = rows.select("file_sha", F.posexplode(F.sort_array(each)).alias("place", "x")).select("file_sha", "x.cmdid", "x.cmd_dep", "x.level", "place")
+    more = [c for c in table.columns if c not in out.columns]
+    return merged(table, out.drop("cmd_dep"), INSTR) if more else out.select(*table.columns, "level", "place")
 
 
 #: What the dependency table reads of a node table.

@@ -3,9 +3,9 @@
 Each row becomes an instruction whose kind and names hang on its values, so the oracles work from the
 tables by other means: windows and joins in SQL.
 """
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
-from drydock.functions.storage import cut
+from drydock.functions.storage import cut, parted
 from drydock.operators import buildgraph, symbols, tree
 from drydock.plans.registered import query
 from drydock.sources import rules
@@ -99,12 +99,12 @@ r AS (SELECT f, i, 0 AS level FROM l UNION SELECT d.f, d.i, r.level + 1 FROM r J
 SELECT f::VARCHAR AS file_sha, i AS cmdid, level, (row_number() OVER (PARTITION BY f ORDER BY level, i) - 1)::INTEGER AS place FROM m""")
 def reordered(t, spark):
     """The lines of each order as instructions that rest on earlier ones: in the order of their levels."""
-    at = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    l = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.row_number().over(at) - 1).alias("cmdid"))
-    earlier = W.partitionBy("l_orderkey").orderBy("cmdid").rowsBetween(W.unboundedPreceding, -1)
-    l = l.withColumn("before", F.collect_list(F.struct("cmdid", "l_partkey")).over(earlier))
-    dep = F.transform(F.filter("before", lambda b: (b["l_partkey"] % 7 == F.col("l_suppkey") % 7) | (b["cmdid"] == F.col("cmdid") - 1 - F.col("l_partkey") % 3)), lambda b: b["cmdid"])
-    return buildgraph.reordered(l.select(F.col("l_orderkey").cast("string").alias("file_sha"), "cmdid", dep.alias("cmd_dep"))).select("file_sha", "cmdid", "level", "place")
+    l = t("lineitem").select(F.col("l_orderkey").cast("string").alias("file_sha"), "l_linenumber", "l_partkey", "l_suppkey")
+    lines = parted(l, "file_sha").groupBy("file_sha").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    before = lambda i: F.transform(F.slice("lines", F.lit(1), i), lambda b, k: F.struct(k.alias("cmdid"), b["l_partkey"].alias("l_partkey")))
+    on = lambda x, i: lambda b: (b["l_partkey"] % 7 == x["l_suppkey"] % 7) | (b["cmdid"] == i - 1 - x["l_partkey"] % 3)
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("cmdid"), F.transform(F.filter(before(i), on(x, i)), lambda b: b["cmdid"]).alias("cmd_dep")))
+    return buildgraph.reordered(lines.select("file_sha", F.inline(each))).select("file_sha", "cmdid", "level", "place")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size % 5 AS i, p_partkey % 6 AS j, lower(p_type) AS a, p_brand AS b FROM part),
