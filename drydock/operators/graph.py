@@ -28,6 +28,7 @@ def assembled(parents, relations, deps, conflicts):
     parents(image, parent), relations(image, used_pkgs, install_pkgs), deps(pkg1, pkg2, type, confidence),
     conflicts(pkg1, pkg2). Ids are `label:name`; packages of a conflict that nothing installs or names stay out.
     """
+    parents, relations, deps = cut(parents), cut(relations), cut(deps)  # vertices and edges read each several times
     name = lambda label, c: F.concat(F.lit(label + ":"), F.col(c))
     uses, installs = relations.select("image", F.explode("used_pkgs").alias("n")), relations.select("image", F.explode("install_pkgs").alias("n"))
     images = reduce(lambda a, b: a.unionByName(b), [parents.select(F.col("image").alias("n")), parents.select(F.col("parent").alias("n")), relations.select(F.col("image").alias("n"))])

@@ -5,6 +5,8 @@ every array that stands for a set comes sorted.
 """
 from pyspark.sql import functions as F, Window as W
 
+from drydock.functions.storage import cut
+
 
 def from_reference(children):
     """Image reference of `children` (array of struct type, value): name, tag, repository, alias.
@@ -41,11 +43,10 @@ def image_relations(uses):
 
     What a file installs into an image is not among what it uses there; across files the sets unite.
     """
-    each = uses.groupBy("file_sha", "image").agg(F.collect_set(F.when(F.col("kind") == "used", F.col("name"))).alias("u"), F.collect_set(F.when(F.col("kind") == "install", F.col("name"))).alias("i"))
-    each = each.select("image", F.array_except("u", "i").alias("u"), "i")
-    names = each.select("image", F.explode_outer(F.concat(F.transform("u", lambda x: F.struct(F.lit("u").alias("k"), x.alias("n"))), F.transform("i", lambda x: F.struct(F.lit("i").alias("k"), x.alias("n"))))).alias("x"))
-    got = lambda k: F.array_sort(F.collect_set(F.when(F.col("x.k") == k, F.col("x.n"))))
-    return names.groupBy("image").agg(got("u").alias("used_pkgs"), got("i").alias("install_pkgs"))
+    on = lambda k: F.bool_or(F.coalesce(F.col("kind") == k, F.lit(False)))
+    each = uses.groupBy("file_sha", "image", "name").agg(on("used").alias("u"), on("install").alias("i"))
+    got = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("name"))))
+    return each.groupBy("image").agg(got(F.col("u") & ~F.col("i")).alias("used_pkgs"), got(F.col("i")).alias("install_pkgs"))
 
 
 def frequency(items):
@@ -76,6 +77,7 @@ def seen_pairs(known, items):
 
 def dependencies(items, known, least=2, threshold=0.5):
     """Explicit dependencies (confidence 1) of seen packages and implicit ones that they do not hold."""
+    items = cut(items.select("image", "pkg").distinct())  # read six times below, so made once
     explicit = seen_pairs(known, items).select("pkg1", "pkg2").distinct()
     implied = implicit_dependencies(items, least, threshold).join(explicit, ["pkg1", "pkg2"], "left_anti")
     return explicit.select("pkg1", "pkg2", F.lit("explicit").alias("type"), F.lit(1.0).alias("confidence")).unionByName(implied.select("pkg1", "pkg2", F.lit("implicit").alias("type"), F.col("score").alias("confidence")))

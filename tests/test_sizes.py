@@ -115,3 +115,33 @@ def test_dependency_tables_read_nodes_by_number_and_send_nothing_to_the_driver(s
     assert [r["cmd_dep"] for r in t.orderBy("cmdid").collect()] == [[], [0], [0], [0, 2], [1, 3], [4]]
     # all tables here are small, as those of well packed files look: none may go to the driver for that
     assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_assembled_graph_makes_its_parts_once(spark):
+    from drydock.operators import graph, relations
+    r = spark.range(40).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file_sha"), (F.col("id") % 2).cast("string").alias("image"), F.when(F.col("id") % 5 == 0, "install").when(F.col("id") % 5 < 4, "used").alias("kind"), F.when(F.col("id") < 38, (F.col("id") % 7).cast("string")).alias("name"))
+    of = relations.image_relations(r)
+    assert "array_except" not in plan(of)  # arrays for each file and image
+    want = {}
+    for file in {(x["file_sha"], x["image"]) for x in r.collect()}:
+        got = {k: {x["name"] for x in r.collect() if (x["file_sha"], x["image"]) == file and x["kind"] == k and x["name"]} for k in ("used", "install")}
+        u, i = want.setdefault(file[1], (set(), set()))
+        u |= got["used"] - got["install"]
+        i |= got["install"]
+    assert {x["image"]: (set(x["used_pkgs"]), set(x["install_pkgs"])) for x in of.collect()} == want
+    parents, apart = spark.createDataFrame([("0", "1")], "image string, parent string"), spark.createDataFrame([("1", "2")], "pkg1 string, pkg2 string")
+    items = r.select("image", F.col("name").alias("pkg"))
+    v, e = graph.assembled(parents, of, relations.dependencies(items, apart), apart)
+    assert "Range" not in plan(v) + plan(e) and e.where("type = 'CONFLICTS_WITH'").count() == 1
+
+
+def test_reordering_is_one_aggregate_over_bounded_tasks(spark):
+    from drydock.functions.storage import parted
+    from drydock.operators import buildgraph
+    assert parted(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 101
+    t = spark.createDataFrame([("f", 0, []), ("f", 1, [0]), ("f", 2, [1]), ("f", 3, [0]), (None, 0, [])], "file_sha string, cmdid int, cmd_dep array<int>")
+    got = buildgraph.reordered(t)
+    assert "Window" not in plan(got) and "Join" not in plan(got)  # a window and a join sorted the table three times
+    assert [tuple(x) for x in got.orderBy("place").collect()] == [("f", 0, [], 0, 0), ("f", 1, [0], 1, 1), ("f", 3, [0], 1, 2), ("f", 2, [1], 2, 3)]
+    more = buildgraph.reordered(t.withColumn("x", F.lit("y"))).orderBy("place").collect()
+    assert [(x["cmdid"], x["x"], x["place"]) for x in more] == [(0, "y", 0), (1, "y", 1), (3, "y", 2), (2, "y", 3)]
