@@ -343,3 +343,25 @@ def test_licenses_common_notices(spark):
 @pytest.mark.parametrize("op", [lambda d: bpe.token_counts(d, P.path("byte_bpe_50k.json")), jaccard.joined, suffix.digests, sharding.sharded, quality.scored, pii.replaced, licenses.scan, packing.packed_documents])
 def test_empty(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_of_several_buckets_leave_a_task_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from drydock.llm import jaccard
+    blob = lambda x, t: np.array(x, t).tobytes()
+
+    def block(bucket, *pairs):
+        return (bucket, blob([s for s, _ in pairs], np.uint32), blob([d for _, d in pairs], np.int64), blob([1] * len(pairs), np.uint32))
+
+    def got(*rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sig", "doc", "run"])
+        return [m for b in jaccard._tiles([batch.slice(0, 1), batch.slice(1)]) for m in b.column("ms").to_pylist()]
+
+    near = [block(k, (7, 2), (7, 1), (9, 3)) for k in range(5)]  # two near copies in each bucket, and one text alone
+    more = block(5, (7, 1), (7, 2), (8, 2), (8, 3))
+    assert sorted(got(*near, more)) == [[1, 2], [2, 3]]
+    # equal signatures of unequal buckets are not one group; a bucket may lie over blocks
+    assert got(block(0, (7, 1)), block(1, (7, 2))) == [] and got(block(0, (7, 1)), block(0, (7, 2))) == [[1, 2]]
+    monkeypatch.setattr(jaccard, "KNOWN", 0)
+    assert got(*near) == [[1, 2]] * 5  # beyond what it knows a group leaves again
