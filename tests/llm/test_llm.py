@@ -104,6 +104,25 @@ def test_jaccard_parts_of_overlapping_tiles():
     assert all(linked(a, b) for a, b in pairs) and least(pairs) == least([(a, b) for a in range(n) for b in range(a) if linked(a, b)])
 
 
+def test_jaccard_pairs_of_many_tiles_are_compared_once(monkeypatch):
+    """Members that share 300 tiles are compared once for all of them, and texts hashed together get what each gets alone."""
+    import pyarrow as pa
+    rnd, seen, compare = np.random.default_rng(4), [], jaccard.ruled_out
+    monkeypatch.setattr(jaccard, "ruled_out", lambda *x: seen.append(len(x[-1])) or compare(*x))
+    sets = [np.unique(rnd.integers(0, 2**63, 60 + k // 10).astype(np.uint64)) for k in range(30)]
+    sets[7] = sets[3][:-2]
+    rows = sorted((t, r) for t in range(300) for r in range(30) if (t + r) % 7 or r in (3, 7))
+    tiles = pa.table({"task": [0] * len(rows), "tile": [t for t, _ in rows], "rep": [r for _, r in rows], "c": [r for _, r in rows]})
+    part = jaccard._active(tiles, pa.table({"rep": range(30), "n": [len(x) for x in sets], "sk": [jaccard.sketch(x).tobytes() for x in sets]}))
+    assert {3, 7} <= set(part["rep"].to_pylist()) and 0 < sum(seen) <= 30 * 29 // 2
+    texts = [None, "", "a b", SHARED, text(300), " " + SHARED.upper(), "a\x0bb c d e\n"] + TEXTS[8:]
+    whole = jaccard.shingle_sets([jaccard.lowered(t) for t in texts])
+    assert all(np.array_equal(x, jaccard.shingles(t)) for x, t in zip(whole, texts))
+    some = [x for x in whole if len(x)]
+    which, sig = jaccard.signatures(some)
+    assert all(np.array_equal(np.sort(sig[which == k]), np.sort(jaccard.signatures([x])[1])) for k, x in enumerate(some))
+
+
 def test_suffix(docs):
     seen, want = {}, {}
     for r in sorted(rows_of(docs), key=lambda r: (r["doc_id"] is None, r["doc_id"])):
