@@ -12,6 +12,8 @@ from drydock.functions.storage import cut
 
 #: Rows of a block: a sixteenth of the table within these bounds, so small tables keep many tasks and large ones few copies of a row.
 SIZE, MOST, NEAR = 2000, 16000, 8000
+#: Rows of the first part of a table that all others meet where a few near rows are enough.
+FIRST = 8000
 #: Rows that are compared with a block at once.
 CHUNK = 256
 
@@ -207,15 +209,8 @@ def cells(left, right, eps, pivots=64):
     return dealt(left, False, radius).drop("far"), r.drop("far")
 
 
-def within(left, right, eps, schema, reduce, pivots=64, same=False):
-    """met over the cells of rows that may lie within eps; reduce(left, right, near, both) gets a boolean matrix as well.
-
-    Where cells rule out less than half of the pairs, all blocks meet instead: rows then travel less, and of one table
-    with itself (`same`) each pair is compared once.
-    """
-    if right.isEmpty():
-        return left.sparkSession.createDataFrame([], schema)
-
+def _near(eps, reduce):
+    """reduce(left, right, near, both) as `met` calls it, with the boolean matrix of the pairs of other ids within eps."""
     def run(a, b, both):
         x, y = matrix(a["e"]), matrix(b["e"])
         near = np.zeros((len(x), len(y)), bool)
@@ -224,7 +219,19 @@ def within(left, right, eps, schema, reduce, pivots=64, same=False):
         if not both:
             near &= a["vec_id"].to_numpy()[:, None] != b["vec_id"].to_numpy()[None]
         return reduce(a, b, near, both)
+    return run
 
+
+def within(left, right, eps, schema, reduce, pivots=64, same=False):
+    """met over the cells of rows that may lie within eps; reduce(left, right, near, both) gets a boolean matrix as well.
+
+    Where cells rule out less than half of the pairs, all blocks meet instead: rows then travel less, and of one table
+    with itself (`same`) each pair is compared once.
+    """
+    if right.isEmpty():
+        return left.sparkSession.createDataFrame([], schema)
+
+    run = _near(eps, reduce)
     l, r = cells(left, right, eps, pivots)
     if 2 * _pairs(l, r) >= left.count() * right.count():
         return met(left, right, schema, run, most=NEAR, same=same)
@@ -251,6 +258,34 @@ def neighbours(vec, eps, pivots=64):
     return vec.select("vec_id").join(got.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def at_least(vec, eps, k, first=None):
+    """vec_id, on: whether k or more other rows lie within eps.
+
+    Rows meet a part of the table first, `first` rows or so by a hash of the id, then of those with fewer than k near rows
+    there each a part that is larger; who has k of them needs no more. Those left meet all rows, so the answer is exact.
+    """
+    rows, size = rows_of(vec), first or FIRST
+    total, todo = rows.count(), rows
+    reduce = lambda a, b, near, both: pa.table({"vec_id": a["vec_id"], "n": near.sum(1)})
+    share = F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(2**30))
+    found = lambda n: n.groupBy("vec_id").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("vec_id")
+    while 4 * size < total:
+        some = rows.where(share < int(2**30 * size / total))
+        sure = cut(found(met(todo, some, "vec_id long, n long", _near(eps, reduce), most=NEAR)))
+        todo, size = cut(todo.join(sure, "vec_id", "left_anti")), 16 * size
+        if todo.isEmpty():
+            break
+    left = todo.count() if todo is not rows else total
+    if 2 * left > total:  # of one table with itself each pair is compared once
+        sure = neighbours(vec, eps).where(F.col("n") >= k).select("vec_id").distinct()
+        return vec.select("vec_id").join(sure.withColumn("on", F.lit(True)), "vec_id", "left").select("vec_id", F.coalesce("on", F.lit(k <= 0)).alias("on"))
+    few = todo.select("vec_id").distinct()
+    if left:
+        few = few.join(found(within(todo, rows, eps, "vec_id long, n long", reduce)), "vec_id", "left_anti")
+    few = cut(few.withColumn("few", F.lit(True)))
+    return vec.select("vec_id").join(few, "vec_id", "left").select("vec_id", (F.col("few").isNull() | F.lit(k <= 0)).alias("on"))
+
+
 def forest(near, ia, ib):
     """Links (a, b) that connect what a block's near pairs connect: at most one for each of its rows."""
     none = np.int32(len(ib))

@@ -96,7 +96,7 @@ def medoids(vec, by="label"):
 
 def core_points(vec, eps, least):
     """vec_id, core: whether at least `least` rows (itself one) lie within eps."""
-    return blocks.neighbours(vec, eps).select("vec_id", (F.col("n") + 1 >= least).alias("core"))
+    return blocks.at_least(vec, eps, least - 1).select("vec_id", F.col("on").alias("core"))
 
 
 def connected(nodes, links):
@@ -130,6 +130,14 @@ def noise(clusters):
     return clusters.agg(F.count_if(F.col("cluster") == -1).alias("noise"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"))
 
 
+def noise_rows(vec, eps, least):
+    """vec_id of the rows of no cluster: not core and no core row within eps. Clusters are not made: no links, no labels."""
+    core = cut(core_points(vec, eps, least).where("core").select("vec_id").distinct())
+    rest = cut(vec.join(core, "vec_id", "left_anti").select("vec_id", "embedding"))
+    edge = blocks.least_tag(blocks.rows_of(rest), blocks.rows_of(vec.join(core, "vec_id", "left_semi")), eps)
+    return rest.select("vec_id").join(edge, "vec_id", "left_anti")
+
+
 def whitened(vec, keep):
     """Embeddings as (x - mean) U / sqrt(s), the first `keep` components, of length 1.
 

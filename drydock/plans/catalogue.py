@@ -293,7 +293,7 @@ def dbscan_core(t, spark):
 
 @query(f"WITH {_PAIR} SELECT count(*) AS noise FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = v.vec_id AND p.d <= {EPS} AND (SELECT count(*) FROM p q WHERE q.a = p.b AND q.d <= {EPS}) + 1 >= {LEAST}) AND (SELECT count(*) FROM p WHERE p.a = v.vec_id AND d <= {EPS}) + 1 < {LEAST}")
 def dbscan_noise(t, spark):
-    return vectors.noise(vectors.dbscan(_vec(t), EPS, LEAST)).select("noise")
+    return vectors.noise_rows(_vec(t), EPS, LEAST).agg(F.count(F.lit(1)).alias("noise"))
 
 
 @query(f"WITH RECURSIVE {_PAIR}, n AS (SELECT a, b FROM p WHERE d <= {EPS}), c AS (SELECT a FROM n GROUP BY a HAVING count(*) + 1 >= {LEAST}), l AS (SELECT a, b FROM n WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)), r AS (SELECT a AS x, a AS y FROM c UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y), k AS (SELECT x, min(y) AS k FROM r GROUP BY x), e AS (SELECT n.a, min(k.k) AS k FROM n JOIN k ON k.x = n.b GROUP BY n.a) SELECT v.vec_id, coalesce(k.k, e.k, -1) AS cluster FROM v LEFT JOIN k ON k.x = v.vec_id LEFT JOIN e ON e.a = v.vec_id")

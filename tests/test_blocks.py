@@ -53,6 +53,29 @@ def test_dbscan(spark, eps, least):
     assert [r["cluster"] for r in sorted(vectors.dbscan(d, eps, least).collect())] == brute_dbscan(x, eps, least)
 
 
+@pytest.mark.parametrize("eps,least", [(0.6, 4), (0.9, 3), (12.0, 5), (0.6, 1)])
+def test_core_and_noise_from_parts(spark, monkeypatch, eps, least):
+    """Core rows that a part of the table shows, and noise without clusters, are those of the whole."""
+    monkeypatch.setattr(blocks, "FIRST", 20)
+    x = np.concatenate([clustered(), RND.uniform(-20, 20, (40, 5))])
+    d = frame(spark, x)
+    core = (dist(x) <= eps).sum(1) >= least
+    assert [r["core"] for r in sorted(vectors.core_points(d, eps, least).collect())] == core.tolist()
+    want = [i for i, c in enumerate(brute_dbscan(x, eps, least)) if c == -1]
+    assert sorted(r["vec_id"] for r in vectors.noise_rows(d, eps, least).collect()) == want
+
+
+def test_core_rows_of_dense_tables_compare_few_pairs(spark, monkeypatch):
+    """Where near rows are many, pairs grow with the rows and not with their square; no link is made for noise."""
+    x = RND.normal(size=(900, 4))
+    d, seen, made = frame(spark, x), [], blocks.met
+    monkeypatch.setattr(blocks, "FIRST", 60)
+    monkeypatch.setattr(blocks, "met", lambda l, r, *a, **k: seen.append(l.count() * r.count()) or made(l, r, *a, **k))
+    assert all(r["core"] for r in vectors.core_points(d, 6.0, 4).collect()) and sum(seen) < 0.15 * len(x) ** 2
+    monkeypatch.setattr(blocks, "core_links", None)
+    assert vectors.noise_rows(d, 6.0, 4).isEmpty()
+
+
 def test_cells_compare_few_pairs(spark):
     rows = blocks.rows_of(frame(spark, x := clustered()))
     assert blocks.compared(rows, rows, 0.5) < 0.3 * len(x) ** 2
