@@ -13,6 +13,8 @@ repeated rows stay, each row with its own columns; an empty table gives no rows;
 bears the name of the count is replaced by it. Patterns hold no unbounded repeated group, so
 that neither their stack nor, by look-behinds, their time grows faster than a text.
 """
+from functools import reduce
+
 from pyspark.sql import functions as F, Window as W
 
 from .common import written
@@ -56,6 +58,30 @@ PATTERNS = [
     ("card", r"\b\d(?:[ -]?\d){12,18}\b"), ("name", NAMES),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: Where an entity may begin; single characters are looked up faster than classes.
+_BEGIN = r"(?<![\p{L}\p{N}])"
+_TITLES = f"{MEN}|{WOMEN}".split("|")
+
+
+def _names(begins, titles):
+    return NAMES.replace(_BEGIN + "(?=[MSHFDmsdГгΚκ])", f"(?=[{begins}]){_BEGIN}").replace(TITLE, rf"(?:{'|'.join(titles)})\.?[ \u00A0]")
+
+
+#: Patterns that together find something where ANY does, each with strings of which such a text holds one (none: any text).
+HINTS = [
+    (["@"], dict(PATTERNS)["email"]), (["AKIA", "ASIA"], dict(PATTERNS)["aws_key"]), (["=", ":"], dict(PATTERNS)["secret"]),
+    ([], "(?=[0123456789+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("phone", "ip", "ssn", "card")) + ")"),
+    ([], "(?=[ABCDEFGHIJKLMNOPQRSTUVWXYZ])" + dict(PATTERNS)["iban"]), ([], _names("MSHFDmsd", [t for t in _TITLES if t[0].isascii()])),
+    (list("ГгΚκ"), _names("ГгΚκ", [t for t in _TITLES if not t[0].isascii()])),
+]
+
+
+def holds_any():
+    """Whether ANY finds something in text, without its alternation: each of HINTS is looked for alone, which is several
+    times faster, and only where the strings that it needs are there. Null text: false."""
+    either = lambda xs: reduce(lambda a, b: a | b, xs)
+    hit = [either([F.contains("text", F.lit(x)) for x in held]) & F.col("text").rlike(p) if held else F.col("text").rlike(p) for held, p in HINTS]
+    return F.coalesce(either(hit), F.lit(False))
 
 
 def kind_of(e):
@@ -148,10 +174,9 @@ def surrogate_table(found, key, attempts=8):
 def replaced(docs, key="drydock", hot=1000, salts=16, counted="n_entities"):
     """docs with text rewritten and the number of entities added as `counted`; other columns stay."""
     names = [c for c in docs.columns if c.lower() != counted.lower()]
-    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    # the random key keeps the filter above the projection, so that it does not search each text twice
-    d = docs.select(F.struct(*names).alias("r"), "text", found.alias("m"), F.expr("uuid()").alias("u")).where(F.coalesce(F.size("m"), F.lit(0)) > 0)
-    d = written(d.select("r", "m", "u", F.split("text", ANY, -1).alias("p")), "found")
+    # texts that hold nothing, most of them, are told by single patterns; ANY reads the others alone
+    d = docs.where(holds_any()).select(F.struct(*names).alias("r"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m"), F.expr("uuid()").alias("u"), F.split("text", ANY, -1).alias("p"))
+    d = written(d, "found")
     table = surrogate_table(d, key)
     # every entity of the hot ones meets one of `salts` copies of its row in the table
     many = table.withColumn("salt", F.explode(F.when(F.col("n") >= hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
@@ -161,5 +186,5 @@ def replaced(docs, key="drydock", hot=1000, salts=16, counted="n_entities"):
     back = plain.unionByName(warm).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("x"))
     text = F.expr("concat_ws('', transform(p, (a, i) -> concat(a, coalesce(get(x, i).s, ''))))")
     new = d.join(back, "u").select(*[(text if c == "text" else F.col("r")[c]).alias(c) for c in names], F.size("m").cast("long").alias(counted))
-    rest = docs.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False))).select(*names, F.lit(0).cast("long").alias(counted))
+    rest = docs.where(~holds_any()).select(*names, F.lit(0).cast("long").alias(counted))
     return new.unionByName(rest)
